@@ -39,6 +39,9 @@ def _byte_characters() -> list[str]:
 
 BYTE_CHARACTERS = _byte_characters()
 _TO_PRINTABLE = dict(enumerate(BYTE_CHARACTERS))
+#: A byte that no UTF-8 text holds, written as a space.
+_SEPARATOR = b"\xff"
+_JOINED = _TO_PRINTABLE | {0xFF: " "}
 
 
 def printable(raw: bytes) -> str:
@@ -150,8 +153,11 @@ class Encoder:
                 rest.append(w)
             else:
                 self.known[w] = struct.pack("<i", i)
-        for w, ids in zip(rest, self.pieces.encode([printable(w.encode()) for w in rest], num_threads=1)):
-            self.known[w] = np.array(ids, "<i4").tobytes()
+        for i in range(0, len(rest), 5000):  # one call for many words: a space is no piece, so it parts them as unknown
+            words = rest[i : i + 5000]
+            ids = np.array(self.pieces.EncodeAsIds(_SEPARATOR.join(map(str.encode, words)).decode("latin-1").translate(_JOINED)) + [self.size], "<i4")
+            at, ids = np.flatnonzero(ids == self.size) * 4, ids.tobytes()
+            self.known.update(zip(words, map(ids.__getitem__, map(slice, [0, *(at[:-1] + 4).tolist()], at.tolist()))))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as consecutive little-endian 32-bit integers."""
