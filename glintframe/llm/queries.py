@@ -11,6 +11,12 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import page_derivatives
+
+    return page_derivatives(_read(spark, sf_dir, "pages"))
+
+
 def op5_byte_cnn_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .langid import language_of_documents
 
@@ -36,4 +42,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from .warc import PAGE_DERIVATIVES_SQL
+
+    return {"op1_warc_derivatives": PAGE_DERIVATIVES_SQL}
