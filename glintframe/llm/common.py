@@ -1,6 +1,6 @@
 """Helpers shared by the operators of this subpackage.
 
-The text operators run numpy over chunks of about a megabyte, so a worker's
+The text operators run numpy over chunks of about a quarter megabyte, so a worker's
 memory does not depend on how many documents a partition or a batch holds.
 """
 
@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that numpy handles at once.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 #: Bytes of text that one block of documents should hold.
 BLOCK_BYTES = 12 << 20
 

@@ -37,11 +37,18 @@ def op9_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op10_rlz_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .rlz import rlz_digests
+
+    return rlz_digests(_read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
+    from .rlz import RLZ_SQL
     from .warc import PAGE_DERIVATIVES_SQL
 
-    return {"op1_warc_derivatives": PAGE_DERIVATIVES_SQL}
+    return {"op1_warc_derivatives": PAGE_DERIVATIVES_SQL, "op10_rlz_dedup": RLZ_SQL}
