@@ -17,6 +17,12 @@ def op1_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_derivatives(_read(spark, sf_dir, "pages"))
 
 
+def op4_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pst import language_model_scores
+
+    return language_model_scores(_read(spark, sf_dir, "documents"))
+
+
 def op5_byte_cnn_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .langid import language_of_documents
 
