@@ -17,6 +17,12 @@ def op1_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_derivatives(_read(spark, sf_dir, "pages"))
 
 
+def op2_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import contaminated_documents
+
+    return contaminated_documents(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def op4_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pst import language_model_scores
 
@@ -60,7 +66,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
+    from .decontaminate import CONTAMINATION_SQL
     from .rlz import RLZ_SQL
     from .warc import PAGE_DERIVATIVES_SQL
 
-    return {"op1_warc_derivatives": PAGE_DERIVATIVES_SQL, "op10_rlz_dedup": RLZ_SQL}
+    return {"op1_warc_derivatives": PAGE_DERIVATIVES_SQL, "op2_simhash_decontamination": CONTAMINATION_SQL, "op10_rlz_dedup": RLZ_SQL}
