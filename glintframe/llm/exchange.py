@@ -130,8 +130,11 @@ class Corpus:
 
         return self.blocks.groupBy("block").cogroup(self.answers.groupBy("block")).applyInArrow(both, schema)
 
-    def round(self, step: int, ask: Asking, answer: Answering) -> None:
-        """Ask from every block, answer at every owner, and keep the answers as ``step``."""
+    def round(self, step: int, ask: Asking, answer: Answering) -> DataFrame:
+        """Ask from every block, answer at every owner, and keep the answers as ``step``.
+
+        Returns the questions as dealt to their owners.
+        """
         n = self.n
 
         def asked(block: Block, told: dict, sums: dict) -> pa.Table:
@@ -155,8 +158,10 @@ class Corpus:
             })
 
         width = max(n, shuffle_width(self.spark))
-        answers = self._each(asked, QUESTION).repartition(width, "owner").groupBy("owner").applyInArrow(answered, ANSWER).repartition(width, "block")
+        questions = self._each(asked, QUESTION).repartition(width, "owner")
+        answers = questions.groupBy("owner").applyInArrow(answered, ANSWER).repartition(width, "block")
         self.answers = answers if self.answers is None else self.answers.unionByName(answers)
+        return questions
 
     def finish(self, run: Callable[[Block, dict, dict], pa.Table], schema: str) -> DataFrame:
         return self._each(run, schema)

@@ -35,6 +35,12 @@ def op5_byte_cnn_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_of_documents(_read(spark, sf_dir, "documents"))
 
 
+def op6_partenum_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .partenum import near_duplicates
+
+    return near_duplicates(_read(spark, sf_dir, "documents"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
