@@ -23,6 +23,12 @@ def op2_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated_documents(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op3_inverted_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .imi import nearest_of_twentieth
+
+    return nearest_of_twentieth(_read(spark, sf_dir, "embeddings"))
+
+
 def op4_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pst import language_model_scores
 
