@@ -161,6 +161,20 @@ class Benchmark:
                             out[k] = (count + 1, max(best, x), min(first, s))
         return out
 
+    def scan(self, column: pa.Array) -> list[tuple]:
+        """Of a column of texts: row, item, matching windows, best similarity, first start."""
+        low = pa.array([None if t is None else t if t.isascii() else t.lower() for t in column.to_pylist()], pa.string())
+        offsets, data = utf8_buffers(low)
+        found: list[tuple] = []
+        for i, j in chunks(np.diff(offsets)):
+            shingles, first = shingle_codes(lower_ascii(data[offsets[i] : offsets[j]]), offsets[i : j + 1] - offsets[i])
+            hits = self.hits(shingles)
+            cut = np.searchsorted(hits, first)
+            for d in np.flatnonzero(np.diff(cut)):
+                got = self.matches(shingles[first[d] : first[d + 1]], hits[cut[d] : cut[d + 1]] - first[d])
+                found += [(i + d, self.ids[k], *v) for k, v in sorted(got.items())]
+        return found
+
 
 def _indexes(benchmark: DataFrame, id_col: str, text_col: str) -> list[list[tuple[int, str]]]:
     """The items, in parts of at most ``INDEX_BYTES`` of text (a longer item is a part alone)."""
@@ -190,17 +204,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index = Benchmark(shared.value)
             for b in batches:
-                low = pa.array([None if t is None else t if t.isascii() else t.lower() for t in b.column(1).to_pylist()], pa.string())
-                offsets, data = utf8_buffers(low)
-                found: list[tuple] = []
-                for i, j in chunks(np.diff(offsets)):
-                    shingles, first = shingle_codes(lower_ascii(data[offsets[i] : offsets[j]]), offsets[i : j + 1] - offsets[i])
-                    hits = index.hits(shingles)
-                    cut = np.searchsorted(hits, first)
-                    for d in np.flatnonzero(np.diff(cut)):
-                        got = index.matches(shingles[first[d] : first[d + 1]], hits[cut[d] : cut[d + 1]] - first[d])
-                        found += [(i + d, index.ids[k], *v) for k, v in sorted(got.items())]
-                cols = list(zip(*found)) or [()] * 5
+                cols = list(zip(*index.scan(b.column(1)))) or [()] * 5
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(cols[0], pa.int64())), *(pa.array(c, t) for c, t in zip(cols[1:], (pa.int64(), pa.int64(), pa.float64(), pa.int64())))], names=["doc_id", "item_id", "n_windows", "similarity", "first_word"])
 
         return rows.mapInArrow(run, schema)
@@ -212,6 +216,27 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return out
 
 
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that ``contamination`` would not report, with all their columns; no shuffle."""
+    spark, at = tuned(docs.sparkSession), docs.columns.index(text_col)
+
+    def apply(rows: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
+        shared = spark.sparkContext.broadcast(items)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            index = Benchmark(shared.value)
+            for b in batches:
+                keep = np.ones(b.num_rows, bool)
+                keep[[x[0] for x in index.scan(b.column(at))]] = False
+                yield b.filter(pa.array(keep))
+
+        return rows.mapInArrow(run, docs.schema)
+
+    for items in _indexes(benchmark, item_col, item_text):
+        docs = apply(docs, items)
+    return docs
+
+
 def contaminated_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row for each contaminated document and item."""
     return contamination(docs, benchmark).withColumn("similarity", F.round("similarity", 9))

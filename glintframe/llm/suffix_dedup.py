@@ -1,6 +1,6 @@
 """Suffix-array dedup by a depth-limited most-significant-digit radix sort.
 
-Only the first 400 bytes of a suffix matter, so suffixes are ordered by digits up
+Only the first 400 bytes (or a number of words) of a suffix matter, so suffixes are ordered by digits up
 to that depth and no further; suffixes that are still together at the end are
 exactly the repeated windows.  The first digit of a suffix is its anchor, a
 200-byte gram chosen by content inside the window: suffixes that are alone with
@@ -14,31 +14,54 @@ each task orders its share of the rest (``grouped``).
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import anchored
-from .common import byte_codes, mix, range_hash
+from .common import byte_codes, mix, range_hash, word_bounds, word_hashes
 from .exchange import Block, Corpus, grouped, look_up, totals
 
-WINDOW, GRAM = 400, 200
+#: Bytes of a window.
+WINDOW = 400
 _NONE = np.zeros(0, np.uint64)
 
 
-def _anchors(block: Block):
-    """By chunk: rows, offsets, bytes, prefix; by anchor: first and last window start, the two digits."""
+@dataclass(frozen=True)
+class Depth:
+    """How many tokens of a suffix count, and what a token is: a byte, or a word with the white space after it."""
+
+    window: int = WINDOW
+    words: bool = False
+
+    def anchored(self, data: np.ndarray, offsets: np.ndarray):
+        """What ``anchors.anchored`` gives, then the byte where each token begins, and the end."""
+        if not self.words:
+            return *anchored(byte_codes(data), offsets, self.window, self.window // 2), None
+        starts, ends, first = word_bounds(data, offsets)
+        begin = np.append(starts, len(data))
+        stop = offsets[1:][np.diff(first) > 0]
+        last = first[1:][np.diff(first) > 0] - 1
+        end = begin[1:].copy()
+        end[last] = stop
+        return *anchored(word_hashes(data, starts, ends), first, self.window, self.window // 2), (starts, end)
+
+
+def _anchors(block: Block, depth: Depth):
+    """By chunk: rows, offsets, bytes, prefix, tokens; by anchor: first and last window start, the two digits."""
     for i, j, offsets, data in block.parts():
-        at, place, grams, prefix = anchored(byte_codes(data), offsets, WINDOW, GRAM)
+        at, place, grams, prefix, tokens = depth.anchored(data, offsets)
         new = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (np.diff(at) != 1)])) if len(at) else np.zeros(0, np.int64)
         low, high = at[new], at[np.append(new[1:], len(at)) - 1] if len(at) else at
-        yield i, j, offsets, data, prefix, low, high, grams[place[new]] if len(at) else _NONE, range_hash(prefix, low, high + WINDOW) ^ mix(place[new] - low if len(at) else low)
+        yield i, j, offsets, data, tokens, prefix, low, high, grams[place[new]] if len(at) else _NONE, range_hash(prefix, low, high + depth.window) ^ mix(place[new] - low if len(at) else low)
 
 
-def _pairs(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _pairs(block: Block, depth: Depth) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct (anchor, run) pairs by anchor, and how often each occurs in the block."""
-    parts = [p[-2:] for p in _anchors(block)]
+    parts = [p[-2:] for p in _anchors(block, depth)]
     anchor, run = np.concatenate([_NONE, *(p[0] for p in parts)]), np.concatenate([_NONE, *(p[1] for p in parts)])
     order = np.lexsort((run, anchor))
     anchor, run = anchor[order], run[order]
@@ -46,8 +69,8 @@ def _pairs(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return anchor[new], run[new], np.diff(np.append(new, len(anchor)))
 
 
-def _ask_anchors(block: Block, told: dict, sums: dict) -> tuple[np.ndarray, list[np.ndarray]]:
-    anchor, run, count = _pairs(block)
+def _ask_anchors(block: Block, depth: Depth) -> tuple[np.ndarray, list[np.ndarray]]:
+    anchor, run, count = _pairs(block, depth)
     return anchor, [run, (count > 1).astype(np.uint64)]
 
 
@@ -69,13 +92,13 @@ def _answer_anchors(keys: np.ndarray, values: list[np.ndarray]) -> tuple[list[np
     return [repeats + 2 * (mixed & lead).astype(np.uint64)], []
 
 
-def _settled(block: Block, told: dict):
+def _settled(block: Block, told: dict, depth: Depth):
     """As ``_anchors``, with each anchor's answer instead of its digits."""
-    anchor, run, _ = _pairs(block)
+    anchor, run, _ = _pairs(block, depth)
     pair = mix(anchor ^ mix(run))
     order = np.argsort(pair)
     pair, answer = pair[order], (told[1][0] if 1 in told else _NONE)[order]
-    for *head, a, r in _anchors(block):
+    for *head, a, r in _anchors(block, depth):
         yield *head, look_up(mix(a ^ mix(r)), pair, answer)
 
 
@@ -86,18 +109,18 @@ def _spread(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + low[owner], owner
 
 
-def _ask_windows(block: Block, told: dict, sums: dict) -> tuple[np.ndarray, list[np.ndarray]]:
+def _ask_windows(block: Block, told: dict, depth: Depth) -> tuple[np.ndarray, list[np.ndarray]]:
     keys, counts, led = [_NONE], [np.zeros(0, np.int64)], set()
-    for *_, prefix, low, high, answer in _settled(block, told):
+    for *_, prefix, low, high, answer in _settled(block, told, depth):
         pick = np.flatnonzero(answer >= 2)
         if not len(pick):
             continue
-        whole = range_hash(prefix, low[pick], high[pick] + WINDOW)
+        whole = range_hash(prefix, low[pick], high[pick] + depth.window)
         first = np.array([int(w) not in led for w in whole]) & (np.isin(np.arange(len(whole)), np.unique(whole, return_index=True)[1]))
         led.update(map(int, whole))
         pick = pick[first]  # a run that the block holds several times is sent once, as repeated
         start, owner = _spread(low[pick], high[pick])
-        keys.append(range_hash(prefix, start, start + WINDOW))
+        keys.append(range_hash(prefix, start, start + depth.window))
         counts.append((1 + (answer[pick] & np.uint64(1)).astype(np.int64))[owner])
     distinct, count = totals(np.concatenate(keys), np.concatenate(counts))
     return distinct, [(count > 1).astype(np.uint64)]
@@ -108,24 +131,29 @@ def _answer_windows(keys: np.ndarray, values: list[np.ndarray]) -> tuple[list[np
     return [look_up(keys, distinct, (count > 1).astype(np.uint64))], []
 
 
-def _apply(block: Block, told: dict, sums: dict) -> pa.Table:
-    keys = _ask_windows(block, told, sums)[0]
+def _apply(block: Block, told: dict, depth: Depth) -> pa.Table:
+    keys = _ask_windows(block, told, depth)[0]
     repeated = keys[(told[2][0] if 2 in told else _NONE) > 0]
     out: list[list] = [[], [], [], []]
-    for i, j, offsets, data, prefix, low, high, answer in _settled(block, told):
+    for i, j, offsets, data, tokens, prefix, low, high, answer in _settled(block, told, depth):
         # Windows of repeated runs all repeat; those sent alone do where their own digit does.
-        cover = np.zeros(len(data) + 1, np.int64)
+        cover = np.zeros(len(prefix), np.int64)
         done = (answer & np.uint64(1)) > 0
         np.add.at(cover, low[done], 1)
-        np.add.at(cover, high[done] + WINDOW, -1)
+        np.add.at(cover, high[done] + depth.window, -1)
         open_ = np.flatnonzero((answer >= 2) & ~done)
         if len(open_) and len(repeated):
             start, _ = _spread(low[open_], high[open_])
-            key = range_hash(prefix, start, start + WINDOW)
+            key = range_hash(prefix, start, start + depth.window)
             start = start[repeated[np.minimum(np.searchsorted(repeated, key), len(repeated) - 1)] == key]
             np.add.at(cover, start, 1)
-            np.add.at(cover, start + WINDOW, -1)
+            np.add.at(cover, start + depth.window, -1)
         gone = np.cumsum(cover)[:-1] > 0
+        if tokens:
+            mask = np.zeros(len(data) + 1, np.int32)
+            np.add.at(mask, tokens[0][gone], 1)
+            np.add.at(mask, tokens[1][gone], -1)
+            gone = np.cumsum(mask)[:-1] > 0
         head = np.zeros(len(data), bool)
         head[offsets[:-1][offsets[:-1] < len(data)]] = True
         begins = gone & np.concatenate([[True], ~gone[:-1]])[: len(gone)] | gone & head
@@ -142,18 +170,20 @@ def _apply(block: Block, told: dict, sums: dict) -> pa.Table:
     return pa.table([block.ids, pa.array(block.more), *(pa.concat_arrays(c) for c in out)], names=["id", "more", "n_bytes", "n_removed", "spans", "kept"])
 
 
-def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Remove every byte under a 400-byte string that starts anywhere else too.
+def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, words: bool = False) -> DataFrame:
+    """Remove every byte under a string of ``window`` tokens that starts anywhere else too.
 
-    Returns ``doc_id, n_bytes, n_removed, spans, kept``: the maximal removed runs and
-    the remaining bytes (cut characters are possible, so they are binary).  A null
-    text counts as empty; matches never cross rows, and rows that share an id, or
-    have none, are rows like all others.
+    Tokens are bytes, or with ``words`` runs other than ASCII white space, which are
+    removed with the white space after them.  Returns ``doc_id, n_bytes, n_removed,
+    spans, kept``: the maximal removed runs and the remaining bytes (cut characters
+    are possible, so they are binary).  A null text counts as empty; matches never
+    cross rows, and rows that share an id, or have none, are rows like all others.
     """
+    depth = Depth(window, words)
     corpus = Corpus(docs, id_col, text_col)
-    corpus.round(1, _ask_anchors, _answer_anchors)
-    corpus.round(2, _ask_windows, _answer_windows)
-    out = corpus.finish(_apply, f"id {corpus.id_type}, more int, n_bytes bigint, n_removed bigint, spans array<struct<start:bigint,bytes:bigint>>, kept binary")
+    corpus.round(1, lambda block, told, sums: _ask_anchors(block, depth), _answer_anchors)
+    corpus.round(2, lambda block, told, sums: _ask_windows(block, told, depth), _answer_windows)
+    out = corpus.finish(lambda block, told, sums: _apply(block, told, depth), f"id {corpus.id_type}, more int, n_bytes bigint, n_removed bigint, spans array<struct<start:bigint,bytes:bigint>>, kept binary")
     return out.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "spans", "kept")
 
 
