@@ -7,6 +7,7 @@ import math
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..plans.neighbours import NEXT, PREV, around, col
 from ..schema import KEY, TS, channels
@@ -118,9 +119,7 @@ def splines(source: DataFrame, targets: DataFrame, columns: list[str], degree: i
     """``targets`` with spline values, one recording per task (a spline depends on all its samples)."""
     names = {c: f"s{i}" for i, c in enumerate(columns)}
     left = source.select(col(key).alias("k"), col(ts).alias("t"), *[col(c).cast("double").alias(n) for c, n in names.items()])
-    schema = targets.schema
-    for c in columns:
-        schema = schema.add(c, "double")
+    schema = T.StructType([*targets.schema.fields, *[T.StructField(c, T.DoubleType()) for c in columns]])
 
     def run(samples, asked):
         samples = samples.dropna(subset=["t"]).sort_values(["t", *names.values()]).drop_duplicates("t")

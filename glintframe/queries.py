@@ -421,7 +421,7 @@ def _(spark, d):
     return short(out, col(START).alias("t"), F.round(col("fixation x [surface coord]"), 5).alias("sx"), F.round(col("fixation y [surface coord]"), 5).alias("sy"))
 
 
-@query("find_homographies", "SELECT event_id AS t, 2.0 AS h00, 0.0 AS h01, 10.0 AS h02, 4.0 AS h11, 20.0 AS h12, 1.0 AS h22 FROM events WHERE event_type = 'signup'")
+@query("find_homographies", "SELECT event_id AS t, 2::DOUBLE AS h00, 0::DOUBLE AS h01, 10::DOUBLE AS h02, 4::DOUBLE AS h11, 20::DOUBLE AS h12, 1::DOUBLE AS h22 FROM events WHERE event_type = 'signup'")
 def _(spark, d):
     """Frames that see a layout of two markers halved and quartered: the scale and shift are found again."""
     layout = spark.createDataFrame([("a", 4.0, 100.0, 100.0), ("b", 8.0, 300.0, 200.0)], "`marker name` string, size double, `center x` double, `center y` double")
@@ -440,7 +440,7 @@ def _(spark, d):
     return short(out, col("x bin").alias("x"), col("y bin").alias("y"), F.col("count").alias("n"))
 
 
-@query("contour_order", "SELECT id, 0.0 + least(a, b) AS tlx, 0.0 AS tly, greatest(a, b) + 20.0 AS brx, 50.0 AS bry FROM (SELECT event_id AS id, event_id % 7 AS a, event_id % 11 AS b FROM events)")
+@query("contour_order", "SELECT id, least(a, b)::DOUBLE AS tlx, 0::DOUBLE AS tly, greatest(a, b)::DOUBLE + 20 AS brx, 50::DOUBLE AS bry FROM (SELECT event_id AS id, event_id % 7 AS a, event_id % 11 AS b FROM events)")
 def _(spark, d):
     e = samples(spark, d).select("id", (F.col("id") % 7).cast("double").alias("a"), (F.col("id") % 11).cast("double").alias("b"))
     p = lambda x, y: F.struct(x.alias("x"), F.lit(y).alias("y"))
@@ -449,7 +449,7 @@ def _(spark, d):
     return e.select("id", F.col("c")[0]["x"].alias("tlx"), F.col("c")[0]["y"].alias("tly"), F.col("c")[2]["x"].alias("brx"), F.col("c")[2]["y"].alias("bry"))
 
 
-@query("rect_score", "SELECT id, round(-10.0 * abs(greatest(w, 5.0) / least(w, 5.0) - 1), 6) + 0.0 AS score FROM (SELECT event_id AS id, (1 + event_id % 9)::DOUBLE AS w FROM events)")
+@query("rect_score", "SELECT id, round(-10::DOUBLE * abs(greatest(w, 5) / least(w, 5) - 1), 6) + 0.0 AS score FROM (SELECT event_id AS id, (1 + event_id % 9)::DOUBLE AS w FROM events)")
 def _(spark, d):
     e = samples(spark, d).select("id", (1 + F.col("id") % 9).cast("double").alias("w"))
     p = lambda x, y: F.struct(x.alias("x"), F.lit(y).alias("y"))
@@ -515,7 +515,7 @@ def _(spark, d):
     return short(out, "timestamp", "x_coordinate", r6(F.col("left_pupil_diameter"), "left_pupil_diameter"))
 
 
-@query("bids_physioevents", BASE + "SELECT rec, a AS onset, ms / 1000.0 AS duration, 'blink' AS trial_type, NULL AS message FROM e UNION ALL SELECT rec, t, NULL, NULL, kind FROM s WHERE kind = 'signup'")
+@query("bids_physioevents", BASE + "SELECT rec, a AS onset, ms / 1000::DOUBLE AS duration, 'blink' AS trial_type, NULL AS message FROM e UNION ALL SELECT rec, t, NULL, NULL, kind FROM s WHERE kind = 'signup'")
 def _(spark, d):
     messages = samples(spark, d).where("kind = 'signup'").select(col(KEY), col(TS), F.col("kind").alias("name"))
     return short(bids.event_rows({"blinks": interval_events(spark, d), "events": messages}), "onset", "duration", "trial_type", "message")
