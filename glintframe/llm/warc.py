@@ -20,6 +20,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import tuned
 
@@ -142,7 +143,7 @@ def with_bytes(records: DataFrame) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([serialise(x) for x in b.to_pylist()], pa.binary())], names=[*b.schema.names, "warc"])
 
-    return records.mapInArrow(run, records.schema.add("warc", "binary"))
+    return records.mapInArrow(run, T.StructType([*records.schema.fields, T.StructField("warc", T.BinaryType())]))
 
 
 def parse(data: bytes) -> Iterator[dict]:
