@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from .common import block_count, chunks, shuffle_width, tuned, utf8_buffers
 
 _ZSTD = pa.Codec("zstd", 1)
+#: Text that a task gathers before it writes out bundles.
+BUNDLE_BYTES = 32 << 20
 QUESTION = "block int, owner int, keys binary, told array<binary>"
 ANSWER = "block int, owner int, step int, told array<binary>, sums array<double>"
 _TOLD = pa.list_(pa.binary())
@@ -47,9 +49,24 @@ def unpack(data: bytes) -> np.ndarray:
     return np.cumsum(x, dtype=np.uint64) if data[0] & 128 else x
 
 
+def order_of(keys: np.ndarray) -> np.ndarray:
+    """An order that sorts the keys: leading bits and place are sorted as one integer, which is fast."""
+    if len(keys) >= 1 << 22:
+        return np.argsort(keys, kind="stable")
+    low = np.uint64((1 << 22) - 1)
+    order = (np.sort(keys & ~low | np.arange(len(keys), dtype=np.uint64)) & low).astype(np.int64)
+    ranked = keys[order]
+    lead = ranked & ~low
+    if (tied := np.flatnonzero((lead[1:] == lead[:-1]) & (ranked[1:] < ranked[:-1]))).size:  # keys that differ in the low bits only
+        for value in np.unique(lead[tied]):
+            i, j = np.searchsorted(lead, value, "left"), np.searchsorted(lead, value, "right")
+            order[i:j] = order[i:j][np.argsort(ranked[i:j], kind="stable")]
+    return order
+
+
 def grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The order that sorts the keys, where each distinct key begins in it, and the distinct keys."""
-    order = np.argsort(keys, kind="stable")
+    order = order_of(keys)
     ranked = keys[order]
     begin = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]])) if len(keys) else np.zeros(0, np.int64)
     return order, begin, ranked[begin]
@@ -69,7 +86,13 @@ def totals(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def look_up(keys: np.ndarray, known: np.ndarray, values: np.ndarray) -> np.ndarray:
     """Values of keys that are all among the sorted ``known``."""
-    return values[np.searchsorted(known, keys)] if len(known) else np.zeros(len(keys), values.dtype)
+    if not len(known):
+        return np.zeros(len(keys), values.dtype)
+    if len(keys) < 1000:
+        return values[np.searchsorted(known, keys)]
+    order, out = order_of(keys), np.empty(len(keys), values.dtype)
+    out[order] = values[np.searchsorted(known, keys[order])]
+    return out
 
 
 @dataclass
@@ -88,9 +111,38 @@ class Block:
             yield i, j, self.offsets[i : j + 1] - self.offsets[i], self.data[self.offsets[i] : self.offsets[j]]
 
 
-def _block(table: pa.Table) -> Block:
-    whole = lambda name: pa.concat_arrays(table.column(name).chunks)
-    return Block(table.column("block")[0].as_py(), whole("id"), *utf8_buffers(whole("text")), table.column("more").to_numpy())
+def _unbundled(table: pa.Table) -> Block:
+    parts = pa.concat_tables([pa.ipc.open_stream(x).read_all() for x in table.column("body").to_pylist()])
+    whole = lambda name: pa.concat_arrays(parts.column(name).chunks)
+    return Block(table.column("block")[0].as_py(), whole("id"), *utf8_buffers(whole("text")), parts.column("more").to_numpy())
+
+
+def _bundles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of one block as one compressed table: text travels and waits at half its size."""
+    held, size = [], 0
+
+    def flush() -> pa.RecordBatch:
+        table = pa.Table.from_batches(held)
+        block = table.column("block").to_numpy()
+        order = np.argsort(block, kind="stable")
+        table, block = table.take(pa.array(order)).drop_columns("block"), block[order]
+        begin = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
+        bodies = []
+        for a, b in zip(begin, np.append(begin[1:], len(block))):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=_ZSTD)) as writer:
+                writer.write_table(table.slice(a, b - a).combine_chunks())
+            bodies.append(sink.getvalue().to_pybytes())
+        return pa.RecordBatch.from_arrays([pa.array(block[begin]), pa.array(bodies, pa.binary())], names=["block", "body"])
+
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= BUNDLE_BYTES:
+            yield flush()
+            held, size = [], 0
+    if size or any(b.num_rows for b in held):
+        yield flush()
 
 
 #: What a block asks: sorted distinct keys and, for each, the values told with it.
@@ -110,13 +162,13 @@ class Corpus:
         self.id_type = rows.schema["id"].dataType.simpleString()
         # Rows without an id are dealt by their text: they may be many.
         block = F.pmod(F.when(F.col("id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("id")), F.lit(self.n)).cast("int")
-        self.blocks = rows.withColumn("block", block).repartition(max(self.n, shuffle_width(self.spark)), "block")
+        self.blocks = rows.withColumn("block", block).mapInArrow(_bundles, "block int, body binary").repartition(max(self.n, shuffle_width(self.spark)), "block")
         self.answers: DataFrame | None = None
 
     def _each(self, run: Callable[[Block, dict, dict], pa.Table], schema: str) -> DataFrame:
         """Apply ``run`` to every block with the answers of all rounds so far."""
         if self.answers is None:
-            return self.blocks.groupBy("block").applyInArrow(lambda t: run(_block(t), {}, {}), schema)
+            return self.blocks.groupBy("block").applyInArrow(lambda t: run(_unbundled(t), {}, {}), schema)
 
         def both(left: pa.Table, right: pa.Table) -> pa.Table:
             told: dict[int, list[list[np.ndarray]]] = {}
@@ -126,7 +178,7 @@ class Corpus:
                 told.setdefault(step, []).append([unpack(x) for x in right.column("told")[k].as_py()])
                 s = np.array(right.column("sums")[k].as_py())
                 sums[step] = sums.get(step, 0) + s
-            return run(_block(left), {s: [np.concatenate(x) for x in zip(*v)] for s, v in told.items()}, sums)
+            return run(_unbundled(left), {s: [np.concatenate(x) for x in zip(*v)] for s, v in told.items()}, sums)
 
         return self.blocks.groupBy("block").cogroup(self.answers.groupBy("block")).applyInArrow(both, schema)
 

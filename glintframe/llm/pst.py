@@ -32,6 +32,8 @@ PRIOR_ONE, PRIOR_TWO = 8.0, 4.0
 _END, _START = np.uint64(0x8D2F1A6B39C4E705), np.uint64(0x51E7C3D2980B6FA4)
 _TWO, _THREE, _STEP = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25), np.uint64(0xD6E8FEB86659FD93)
 _ONE_BIT = np.uint64(1)
+#: Pairs, triples and contexts have fingerprints of 56 bits, words of 64.
+_SHORT = ~np.uint64(0xFF)
 
 
 def _tokens(block: Block) -> dict[str, np.ndarray]:
@@ -56,11 +58,11 @@ def _uni(t: dict) -> np.ndarray:
 
 
 def _pair(one: np.ndarray, word: np.ndarray) -> np.ndarray:
-    return mix(one * _TWO + word) | _ONE_BIT
+    return mix(one * _TWO + word) & _SHORT | _ONE_BIT
 
 
 def _triple(t: dict) -> np.ndarray:
-    return mix((t["two"] * _THREE + t["one"]) * _TWO + t["word"])
+    return mix((t["two"] * _THREE + t["one"]) * _TWO + t["word"]) & _SHORT
 
 
 def _sum_answer(keys: np.ndarray, values: list[np.ndarray]) -> tuple[list[np.ndarray], list[float]]:
@@ -130,11 +132,11 @@ def _mixed_answer(keys: np.ndarray, values: list[np.ndarray]) -> tuple[list[np.n
 
 
 def _context_one(t: dict, pick: np.ndarray) -> np.ndarray:
-    return mix(t["one"][pick] ^ _STEP) & ~_ONE_BIT
+    return mix(t["one"][pick] ^ _STEP) & _SHORT
 
 
 def _context_two(t: dict, pick: np.ndarray) -> np.ndarray:
-    return mix(t["two"][pick] * _THREE + t["one"][pick] ^ _STEP) & ~_ONE_BIT
+    return mix(t["two"][pick] * _THREE + t["one"][pick] ^ _STEP) & _SHORT
 
 
 def _second_question(t: dict):
