@@ -27,12 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, lower_ascii, mix, range_hash, prefix_hash, tuned, window_hashes, word_bounds, word_hashes
+from .common import cut, lower_ascii, mix, prefix_hash, range_hash, shuffle_width, tuned, window_hashes, word_bounds, word_hashes
 from .components import components
 from .exchange import Block, Corpus, pack, unpack
 
 #: Vertices that share a signature before it counts as crowded.
 CROWD = 48
+#: Members of a group that are compared at once; a larger group makes several blocks.
+UNIT = 2048
 #: 64-bit words of a parity sketch.
 SKETCH = 8
 _NONE = np.zeros(0, np.uint64)
@@ -63,6 +65,11 @@ class Bands:
             self.low.append(max(self.low[-1] + 1, self.low[-1] * 100 // self.percent + 1))
         return int(np.searchsorted(self.low, size, side="right")) - 1
 
+    def all(self, sizes: np.ndarray) -> np.ndarray:
+        """The bands of many sizes."""
+        self.of(int(sizes.max()) if len(sizes) else 1)
+        return np.searchsorted(self.low, sizes, side="right") - 1
+
     def most(self, a: int, b: int) -> int:
         """How many elements two similar sets of these sizes can differ in."""
         return (a + b) * (100 - self.percent) // (100 + self.percent)
@@ -83,28 +90,39 @@ class Bands:
         return self.plans[band]
 
 
-def signatures(own: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of a set of hashes: signatures, the (tag, part) each belongs to (tag 0: own band, 1: next), and which are light."""
-    band = bands.of(len(own))
-    sig, part, light = [], [], []
-    for tag in (0, 1):
-        p = bands.plan(band + tag)
-        salt = mix(np.array([band + tag + 1], np.uint64))[0]
-        x = mix(own ^ salt)
-        where = ((x >> np.uint64(32)) * np.uint64(p.parts * p.sub) >> np.uint64(32)).astype(np.int64)
-        order = np.argsort(where, kind="stable")
-        running = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(x)[order], dtype=np.uint64)])
-        count = np.bincount(where, minlength=p.parts * p.sub)
-        end = np.cumsum(count)
-        total = (running[end] - running[end - count]).reshape(p.parts, p.sub)
-        count = count.reshape(p.parts, p.sub)
-        for c, left in enumerate(combinations(range(p.sub), p.out)):
-            kept = np.setdiff1d(np.arange(p.sub), left)
-            content = count[:, kept].sum(1)
-            sig.append(mix(mix(total[:, kept].sum(1, dtype=np.uint64) + salt) ^ (np.arange(p.parts, dtype=np.uint64) * np.uint64(64) + np.uint64(c))))
-            part.append(np.arange(p.parts) + (tag << 32))
-            light.append(content < p.least)
-    return np.concatenate(sig), np.concatenate(part), np.concatenate(light)
+def signatures(sets: list[np.ndarray], bands: Bands) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of all sets: signatures, the set and the (tag, part) of each (tag 0: own band, 1: next), which are light.
+
+    Also the spare parts of each set by tag.  Sets of one band are handled together.
+    """
+    sizes = np.array([len(x) for x in sets], np.int64)
+    band_of = bands.all(sizes)
+    sig, vertex, part, light, spare = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)], np.zeros((len(sets), 2), np.int64)
+    for band in np.unique(band_of).tolist():
+        members = np.flatnonzero(band_of == band)
+        for some in np.array_split(members, max(1, int(sizes[members].sum()) >> 18)):
+            own, m = np.concatenate([sets[v] for v in some]), len(some)
+            owner = np.repeat(np.arange(m), sizes[some])
+            for tag in (0, 1):
+                p = bands.plan(band + tag)
+                spare[some, tag] = p.spare
+                cells = p.parts * p.sub
+                salt = mix(np.array([band + tag + 1], np.uint64))[0]
+                x = mix(own ^ salt)
+                slot = owner * cells + ((x >> np.uint64(32)) * np.uint64(cells) >> np.uint64(32)).astype(np.int64)
+                running = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(x)[np.argsort(slot, kind="stable")], dtype=np.uint64)])
+                count = np.bincount(slot, minlength=m * cells)
+                end = np.cumsum(count)
+                total = (running[end] - running[end - count]).reshape(m, p.parts, p.sub)
+                count = count.reshape(m, p.parts, p.sub)
+                for c, left in enumerate(combinations(range(p.sub), p.out)):
+                    kept = np.setdiff1d(np.arange(p.sub), left)
+                    name = np.arange(p.parts, dtype=np.uint64) * np.uint64(64) + np.uint64(c)
+                    sig.append(mix(mix(total[:, :, kept].sum(2, dtype=np.uint64) + salt) ^ name).ravel())
+                    vertex.append(np.repeat(some, p.parts))
+                    part.append(np.tile(np.arange(p.parts) + (tag << 32), m))
+                    light.append((count[:, :, kept].sum(2) < p.least).ravel())
+    return np.concatenate(sig), np.concatenate(vertex), np.concatenate(part), np.concatenate(light), spare
 
 
 def sketch(own: np.ndarray) -> np.ndarray:
@@ -144,13 +162,9 @@ def _vertices(block: Block, words: int) -> tuple[np.ndarray, np.ndarray, np.ndar
 def _of_block(block: Block, words: int, bands: Bands):
     """All vertices' signatures as (signature, vertex) pairs in order, with the (tag, part) and lightness of each."""
     keys, sizes, distinct, sets = _vertices(block, words)
-    found = [signatures(x, bands) for x in sets]
-    n = np.array([len(f[0]) for f in found], np.int64)
-    join = lambda k, kind: np.concatenate([np.zeros(0, kind), *(f[k] for f in found)])
-    sig, vertex, part, light = join(0, np.uint64), np.repeat(np.arange(len(sets)), n), join(1, np.int64), join(2, bool)
+    sig, vertex, part, light, spare = signatures(sets, bands)
     # A signature stays unless it is light and its set can do without: at most `spare` light parts for its tag.
     tag = part >> 32
-    spare = np.array([[bands.plan(bands.of(len(x)) + t).spare for t in (0, 1)] for x in sets], np.int64).reshape(-1, 2)
     bad = _parts_of(light, vertex, part, len(sets))
     keep = ~light | (bad[vertex, tag] > spare[vertex, tag])
     sig, vertex, part, light = sig[keep], vertex[keep], part[keep], light[keep]
@@ -256,6 +270,43 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return near.select("a", "b", "na", "nb", "ea", "eb").mapInArrow(run, "a bigint, b bigint")
 
 
+def _near_mates(member: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Group mates (``group, key, label``) with different labels whose sketches allow a link.
+
+    Sketches are compared inside the tasks, so only pairs that may be links become
+    rows.  A large group is dealt into blocks, and every pair of blocks is a unit.
+    """
+    spark = member.sparkSession
+    size = member.groupBy("group").agg(F.ceil(F.count("*") / UNIT).cast("int").alias("blocks"))
+    rows = member.join(size, "group").join(sets.select("key", "n", "sketch"), "key")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).withColumn("bucket", F.pmod(F.xxhash64("group", "i", "j"), F.lit(shuffle_width(spark))).cast("int"))
+
+    def compare(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("group", "ascending"), ("i", "ascending"), ("j", "ascending"), ("key", "ascending")])
+        group, i, j, own, key, label, n = (table.column(c).to_numpy() for c in ("group", "i", "j", "own", "key", "label", "n"))
+        sketches = pa.concat_arrays(table.column("sketch").chunks).flatten().to_numpy().view(np.uint64).reshape(-1, SKETCH)
+        begin = np.flatnonzero(np.concatenate([[True], (group[1:] != group[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))
+        out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)]]
+        for x, y in zip(begin, np.append(begin[1:], len(group))):
+            for r in range(x, y, 128):
+                left, right = slice(r, min(r + 128, y)), slice(x, y)
+                ok = (key[left, None] < key[None, right]) & (label[left, None] != label[None, right])
+                if i[x] != j[x]:
+                    ok &= own[left, None] != own[None, right]
+                total = n[left, None] + n[None, right]
+                ok &= 100 * np.minimum(n[left, None], n[None, right]) >= percent * np.maximum(n[left, None], n[None, right])
+                a, b = np.nonzero(ok)
+                if len(a):
+                    apart = sum(np.bitwise_count(sketches[r + a, k] ^ sketches[x + b, k]).astype(np.int64) for k in range(SKETCH))
+                    near = apart * (100 + percent) <= total[a, b] * (100 - percent)
+                    out[0].append(key[r + a[near]])
+                    out[1].append(key[x + b[near]])
+        return pa.table({"a": np.concatenate(out[0]), "b": np.concatenate(out[1])})
+
+    return rows.groupBy("bucket").applyInArrow(compare, "a bigint, b bigint").distinct()
+
+
 def similarity_join(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Link documents whose sets of ``words``-grams have Jaccard similarity of ``percent`` hundredths or more.
 
@@ -288,12 +339,11 @@ def similarity_join(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     star = member.groupBy("key").agg(F.min("low").alias("a")).where("a < key").select("a", F.col("key").alias("b"))
     links = cut(_linked(star, sets, percent))
     label = components(links)
-    # Group mates of different components: all their pairs, in both orders of component.
+    # Group mates of different components: all their pairs.
     now = member.join(label.withColumnRenamed("node", "key"), "key", "left").select("group", "key", F.coalesce("label", "key").alias("label"))
     mixed = now.groupBy("group").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("group")
     now = cut(now.join(mixed, "group", "left_semi"))
-    rest = now.select("group", F.col("key").alias("a"), F.col("label").alias("la")).join(now.select("group", F.col("key").alias("b"), F.col("label").alias("lb")), "group").where("a < b and la <> lb").select("a", "b").distinct()
-    links = links.union(_linked(rest, sets, percent))
+    links = links.union(_linked(_near_mates(now, sets, percent), sets, percent))
     label = components(links).select(F.col("node").alias("key"), "label")
     done = rows.select("id", "n", "key").join(label, "key", "left").select("id", "n", F.coalesce("label", "key").alias("label"))
     least = done.where("n > 0").groupBy("label").agg(F.min("id").alias("component_id"))
