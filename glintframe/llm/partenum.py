@@ -12,8 +12,8 @@ them meet in the large groups after all.  Candidates are pruned by parity sketch
 (never more apart than the sets are) and then compared exactly.
 
 Equal sets are one vertex.  Groups are not expanded into all pairs: each vertex is
-first compared with its smallest group mate, components are formed, and only group
-mates in different components are compared then.
+first compared with its smallest group mate; then, of mates in different components,
+the nearest ones that could join them; at last all mates still in different ones.
 """
 
 from __future__ import annotations
@@ -270,9 +270,31 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return near.select("a", "b", "na", "nb", "ea", "eb").mapInArrow(run, "a bigint, b bigint")
 
 
-def _near_mates(member: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _forest(label_a: np.ndarray, label_b: np.ndarray, apart: np.ndarray) -> np.ndarray:
+    """Of candidate pairs, nearest first, those that join labels not yet joined by an earlier one."""
+    up: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (y := up.get(x, x)) != x:
+            up[x] = up.get(y, y)
+            x = y
+        return x
+
+    keep, left = [], len(np.unique(np.concatenate([label_a, label_b]))) - 1
+    order = np.argsort(apart, kind="stable")
+    for k, a, b in zip(order.tolist(), label_a[order].tolist(), label_b[order].tolist()):
+        if (a := root(a)) != (b := root(b)):
+            up[a] = b
+            keep.append(k)
+            if len(keep) == left:
+                break
+    return np.array(keep, np.int64)
+
+
+def _near_mates(member: DataFrame, sets: DataFrame, percent: int, forest: bool) -> DataFrame:
     """Group mates (``group, key, label``) with different labels whose sketches allow a link.
 
+    With ``forest`` only as many nearest pairs as would join a unit's labels, else all.
     Sketches are compared inside the tasks, so only pairs that may be links become
     rows.  A large group is dealt into blocks, and every pair of blocks is a unit.
     """
@@ -289,6 +311,7 @@ def _near_mates(member: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         begin = np.flatnonzero(np.concatenate([[True], (group[1:] != group[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))
         out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)]]
         for x, y in zip(begin, np.append(begin[1:], len(group))):
+            found: list[list[np.ndarray]] = [[], [], []]
             for r in range(x, y, 128):
                 left, right = slice(r, min(r + 128, y)), slice(x, y)
                 ok = (key[left, None] < key[None, right]) & (label[left, None] != label[None, right])
@@ -300,8 +323,15 @@ def _near_mates(member: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 if len(a):
                     apart = sum(np.bitwise_count(sketches[r + a, k] ^ sketches[x + b, k]).astype(np.int64) for k in range(SKETCH))
                     near = apart * (100 + percent) <= total[a, b] * (100 - percent)
-                    out[0].append(key[r + a[near]])
-                    out[1].append(key[x + b[near]])
+                    for column, v in zip(found, (r + a[near], x + b[near], apart[near] / total[a, b][near])):
+                        column.append(v)
+            if found[0]:
+                a, b, apart = map(np.concatenate, found)
+                if forest and len(a) > 1:
+                    k = _forest(label[a], label[b], apart)
+                    a, b = a[k], b[k]
+                out[0].append(key[a])
+                out[1].append(key[b])
         return pa.table({"a": np.concatenate(out[0]), "b": np.concatenate(out[1])})
 
     return rows.groupBy("bucket").applyInArrow(compare, "a bigint, b bigint").distinct()
@@ -338,12 +368,12 @@ def similarity_join(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     member = cut(member.join(lead, "group"))
     star = member.groupBy("key").agg(F.min("low").alias("a")).where("a < key").select("a", F.col("key").alias("b"))
     links = cut(_linked(star, sets, percent))
-    label = components(links)
-    # Group mates of different components: all their pairs.
-    now = member.join(label.withColumnRenamed("node", "key"), "key", "left").select("group", "key", F.coalesce("label", "key").alias("label"))
-    mixed = now.groupBy("group").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("group")
-    now = cut(now.join(mixed, "group", "left_semi"))
-    links = links.union(_linked(_near_mates(now, sets, percent), sets, percent))
+    # Group mates of different components: first the nearest that could join them, then all pairs that are left.
+    for forest in (True, False):
+        now = member.join(components(links).withColumnRenamed("node", "key"), "key", "left").select("group", "key", F.coalesce("label", "key").alias("label"))
+        mixed = now.groupBy("group").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("group")
+        now = cut(now.join(mixed, "group", "left_semi"))
+        links = cut(links.union(_linked(_near_mates(now, sets, percent, forest), sets, percent)))
     label = components(links).select(F.col("node").alias("key"), "label")
     done = rows.select("id", "n", "key").join(label, "key", "left").select("id", "n", F.coalesce("label", "key").alias("label"))
     least = done.where("n > 0").groupBy("label").agg(F.min("id").alias("component_id"))
