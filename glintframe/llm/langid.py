@@ -155,12 +155,11 @@ def train_langid(docs: DataFrame, modulus: int = 3, remainder: int = 1, max_labe
     each = max(1, max_labelled // len(langs))
     size = F.greatest(F.length("__text") - WINDOW, F.lit(0))
     pieces = F.array(*[F.substring(F.col("__text"), (1 + size * F.lit(i) / (WINDOWS_PER_DOC - 1)).cast("int"), F.lit(WINDOW)) for i in range(WINDOWS_PER_DOC)])
-    order = F.xxhash64("__id", "__text")
-    # A top-k aggregate per language keeps only `each` rows of it at a time.
-    picked = [rows.where(F.col("__lang") == lang).orderBy(order).limit(each).select("__lang", F.explode(F.array_distinct(pieces)).alias("p")) for lang in langs]
+    # The pieces are cut before the top-k, which then holds a kilobyte a row, whatever the text's length.
+    cut = rows.select("__lang", F.array_distinct(pieces).alias("__p"), F.xxhash64("__id", "__text").alias("__h"))
     got: list = []
-    for part in picked:
-        got += part.collect()
+    for lang in langs:
+        got += cut.where(F.col("__lang") == lang).orderBy("__h", "__p").limit(each).select("__lang", F.explode("__p").alias("p")).collect()
     code = {x: i for i, x in enumerate(sorted(langs))}
     texts = sorted((code[r["__lang"]], r["p"].encode()[:WINDOW]) for r in got)
     data, off = np.frombuffer(b"".join(t for _, t in texts), np.uint8), np.cumsum([0, *(len(t) for _, t in texts)])
