@@ -42,11 +42,30 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return with_quality(docs, model, out="__quality").where(F.col("__quality") >= THRESHOLD).drop("__quality")
 
 
+def _row(docs: DataFrame):
+    """The id, nulls last, and a hash of all columns: only rows that are equal throughout have the same."""
+    every = [F.col(f"`{c}`") for c in docs.columns]
+    every += [c.isNull() for c in every]  # the hash itself passes over nulls
+    hashes = [F.nullif(F.xxhash64(F.lit(k), *every), F.lit(0)).alias(f"hash{k}") for k in (0, 1)]
+    # All fields can be null, as they come back from Python; null stands before 1.
+    return F.struct(F.when(F.col("doc_id").isNull(), 1).alias("none"), "doc_id", *hashes)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each group at five words and similarity 0.8; rows without an id stay."""
-    found = similarity_join(docs, words=5, percent=80)
-    gone = found.where("component_id < doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """The first row of each group at five words and similarity 0.8, by id (nulls last), then by a hash of the row.
+
+    Rows are told apart by all their columns, so ids may be null or repeated.  Of
+    rows that are equal throughout any one is the first.  Rows without words stay.
+    """
+    rows = docs.withColumn("__row", _row(docs))
+    found = similarity_join(rows, words=5, percent=80, id_col="__row").where("n_shingles > 0")
+    found = found.groupBy(F.col("doc_id").alias("__row")).agg(F.max(F.expr("component_id < doc_id")).alias("later"), F.count("*").alias("n"))
+    found = cut(found.where("later or n > 1"))
+    out = rows.join(found, "__row", "left_anti")
+    repeated = found.where("not later").select("__row")
+    if not repeated.isEmpty():
+        out = out.unionByName(rows.join(repeated, "__row", "left_semi").dropDuplicates(["__row"]))
+    return out.select(*docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

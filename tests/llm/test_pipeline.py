@@ -30,6 +30,24 @@ def test_stages(spark, docs, empty, corpus, tmp_path, monkeypatch):
     assert corpus_pipeline.ORACLE_SQL is None
 
 
+def test_copies_are_dropped_by_row(spark, empty):
+    long = {i: " ".join(f"{c}{k}" for k in range(70)) for i, c in enumerate("abcdefg")}
+    near = long[4].replace("e69", "edit")
+    rows = [(None, long[0], "en", "s", 1)] * 3 + [(None, long[0], None, "en", 1), (None, long[0], "en", None, 1)]  # copies without ids
+    rows += [(7, long[1], "en", "s", 1)] * 4  # one row repeated
+    rows += [(8, long[2], "en", "s", 1), (8, long[3], "en", "s", 1)]  # one id, two texts
+    rows += [(1, long[4], "en", "s", 1), (9, near, "en", "s", 1), (9, long[5], "en", "s", 1)]  # a dropped near copy and a clean text of its id
+    rows += [(None, long[6], "en", "s", 1), (3, long[6], "en", "s", 1), (3, long[6], "en", "s", 1)]  # an id comes before none
+    rows += [(5, "", "en", "s", 1)] * 2 + [(None, None, "en", "s", 1)] * 2  # no words
+    df = spark.createDataFrame(rows, empty.schema).repartition(5)
+    kept = corpus_pipeline.near_duplicates(spark, df, "")
+    assert kept.columns == df.columns
+    want = [(None, long[0]), (7, long[1]), (8, long[2]), (8, long[3]), (1, long[4]), (9, long[5]), (3, long[6])] + [(5, "")] * 2 + [(None, None)] * 2
+    assert Counter((r["doc_id"], r["text"]) for r in kept.collect()) == Counter(want)
+    texts = Counter(r["text"] for r in corpus_pipeline.repeated_passages(spark, kept, "").collect() if r["text"])
+    assert texts == Counter(long.values())
+
+
 def test_stages_take_nothing(spark, empty, tmp_path):
     folder = str(tmp_path)
     for name, schema in (("benchmark", "item_id long, text string"), ("labels", "doc_id long, quality int, toxic int")):
