@@ -160,16 +160,20 @@ def _vertices(block: Block, words: int) -> tuple[np.ndarray, np.ndarray, np.ndar
 
 
 def _of_block(block: Block, words: int, bands: Bands):
-    """All vertices' signatures as (signature, vertex) pairs in order, with the (tag, part) and lightness of each."""
+    """All vertices' signatures as (signature, vertex) pairs in order, with the (tag, part) of each.
+
+    Then the spare parts by vertex and tag, and the vertex and (tag, part) of every light signature, dropped or not.
+    """
     keys, sizes, distinct, sets = _vertices(block, words)
     sig, vertex, part, light, spare = signatures(sets, bands)
     # A signature stays unless it is light and its set can do without: at most `spare` light parts for its tag.
     tag = part >> 32
     bad = _parts_of(light, vertex, part, len(sets))
     keep = ~light | (bad[vertex, tag] > spare[vertex, tag])
-    sig, vertex, part, light = sig[keep], vertex[keep], part[keep], light[keep]
+    weak = vertex[light], part[light]
+    sig, vertex, part = sig[keep], vertex[keep], part[keep]
     order = np.lexsort((vertex, sig))
-    return keys, sizes, distinct, sets, sig[order], vertex[order], part[order], light[order], spare, bad
+    return keys, sizes, distinct, sets, sig[order], vertex[order], part[order], spare, weak
 
 
 def _parts_of(flag: np.ndarray, vertex: np.ndarray, part: np.ndarray, n: int) -> np.ndarray:
@@ -214,14 +218,14 @@ _ROW = "id {id}, n bigint, key bigint, vertex bigint, sketch array<bigint>, elem
 def _apply(words: int, percent: int):
     def apply(block: Block, told: dict, sums: dict) -> pa.Table:
         bands = Bands(percent)
-        keys, sizes, distinct, sets, sig, vertex, part, light, spare, bad = _of_block(block, words, bands)
+        keys, sizes, distinct, sets, sig, vertex, part, spare, weak = _of_block(block, words, bands)
         answer = told[1][0] if 1 in told else _NONE
         grouped = np.zeros(len(sets), bool)
         grouped[vertex[answer > 0]] = True
         crowded = answer > 1
-        parts = _parts_of(crowded | light, vertex, part, len(sets)) if len(sets) else bad
+        given, of = np.concatenate([vertex[crowded], weak[0]]), np.concatenate([part[crowded], weak[1]])
         # With more crowded or light parts than it can spare, a set meets others in the crowds.
-        busy = np.maximum(parts, bad) > spare
+        busy = _parts_of(np.ones(len(given), bool), given, of, len(sets)) > spare
         member = crowded & busy[vertex, part >> 32] if len(sets) else crowded
         crowds: list[list[int]] = [[] for _ in sets]
         for v, s in zip(vertex[member].tolist(), sig[member].view(np.int64).tolist()):

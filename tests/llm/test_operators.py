@@ -6,6 +6,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from brute import lower, prose, sha, words
 
@@ -343,6 +344,27 @@ def test_similar_sets_share_a_signature(percent):
         assert apart <= len(np.setxor1d(a, b))
 
 
+def test_light_and_crowded_parts_count_together():
+    seen = 0
+    for n in range(92, 161):
+        data = np.frombuffer(" ".join(f"w{n}x{k}" for k in range(n)).encode(), np.uint8)
+        block = exchange.Block(0, pa.array([1]), np.array([0, len(data)]), data, np.zeros(1, np.int64))
+        bands = partenum.Bands(80)
+        sets = partenum._vertices(block, 1)[3]
+        _, vertex, part, light, spare = partenum.signatures(sets, bands)
+        weak, spare = np.unique(part[light & (part >> 32 == 0)]), int(spare[0, 0])
+        if not 0 < len(weak) <= spare:
+            continue
+        seen += 1
+        sig, _, of = partenum._of_block(block, 1, bands)[4:7]
+        other = [k for k in range(bands.plan(bands.of(n)).parts) if k not in weak]
+        for crowded, joins in ((spare, True), (spare - len(weak), False)):  # beyond what the set can spare, and within
+            told = {1: [2 * np.isin(of, other[:crowded]).astype(np.uint64)]}
+            crowds = partenum._apply(1, 80)(block, told, {}).column("crowds")[0].as_py()
+            assert bool(crowds) == joins
+    assert seen > 3
+
+
 # --- 7 byte-level BPE --------------------------------------------------------------------
 
 
