@@ -22,8 +22,8 @@ from .common import chunks, held_out, tuned, utf8_buffers
 
 #: Bytes of one window.
 WINDOW = 256
-#: Labelled documents that a model learns from, at most, and the share of one language in them.
-MAX_LABELLED, MAX_LANGUAGES = 4_000, 256
+#: Labelled documents that a model learns from; with more languages than that, one of each.
+MAX_LABELLED = 4_000
 #: Windows of one document that training may use.
 WINDOWS_PER_DOC = 4
 WIDTHS = (2, 3, 4)
@@ -142,14 +142,15 @@ def _softmax(x: np.ndarray) -> np.ndarray:
 def train_langid(docs: DataFrame, modulus: int = 3, remainder: int = 1, max_labelled: int = MAX_LABELLED) -> ByteCnn:
     """Learn from documents with a language outside the held-out fold.
 
-    At most ``max_labelled`` documents are used, dealt evenly over the languages
-    (at most ``MAX_LANGUAGES``, the most frequent), each with up to
-    ``WINDOWS_PER_DOC`` windows from even places of its text.
+    Every language present is learned.  At most ``max_labelled`` documents are used
+    (but one of each language at least), dealt evenly over the languages, each with
+    up to ``WINDOWS_PER_DOC`` windows from even places of its text.
     """
     tuned(docs.sparkSession)
     rows = docs.select(F.col("text").alias("__text"), F.col("lang").cast("string").alias("__lang"), F.col("doc_id").alias("__id"))
     rows = rows.where(F.col("__lang").isNotNull() & F.col("__text").rlike(r"\p{L}") & ~held_out(F.col("__id"), modulus, remainder))
-    langs = [r["__lang"] for r in rows.groupBy("__lang").count().orderBy(F.desc("count"), "__lang").limit(MAX_LANGUAGES).collect()]
+    counts = {r["__lang"]: r["count"] for r in rows.groupBy("__lang").count().collect()}
+    langs = sorted(counts)
     if not langs:
         return ByteCnn()
     each = max(1, max_labelled // len(langs))
@@ -157,14 +158,17 @@ def train_langid(docs: DataFrame, modulus: int = 3, remainder: int = 1, max_labe
     pieces = F.array(*[F.substring(F.col("__text"), (1 + size * F.lit(i) / (WINDOWS_PER_DOC - 1)).cast("int"), F.lit(WINDOW)) for i in range(WINDOWS_PER_DOC)])
     # The pieces are cut before the top-k, which then holds a kilobyte a row, whatever the text's length.
     cut = rows.select("__lang", F.array_distinct(pieces).alias("__p"), F.xxhash64("__id", "__text").alias("__h"))
-    got: list = []
+    rare = [x for x in langs if counts[x] <= each]  # taken whole, in one job
+    got: list = cut.where(F.col("__lang").isin(rare)).select("__lang", F.explode("__p").alias("p")).collect() if rare else []
     for lang in langs:
+        if counts[lang] <= each:
+            continue
         got += cut.where(F.col("__lang") == lang).orderBy("__h", "__p").limit(each).select("__lang", F.explode("__p").alias("p")).collect()
-    code = {x: i for i, x in enumerate(sorted(langs))}
+    code = {x: i for i, x in enumerate(langs)}
     texts = sorted((code[r["__lang"]], r["p"].encode()[:WINDOW]) for r in got)
     data, off = np.frombuffer(b"".join(t for _, t in texts), np.uint8), np.cumsum([0, *(len(t) for _, t in texts)])
     x, owner, _ = windows(data, off)
-    return ByteCnn.fresh(sorted(langs)).train(x, np.array([c for c, _ in texts])[owner])
+    return ByteCnn.fresh(langs).train(x, np.array([c for c, _ in texts])[owner])
 
 
 def identify(docs: DataFrame, model: ByteCnn, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

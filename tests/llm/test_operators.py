@@ -287,6 +287,14 @@ def test_cnn_tables_equal_convolution():
     assert np.allclose(m.log_probabilities(x, m.tables()), want, atol=1e-4)
 
 
+def test_langid_learns_every_language(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MAX_LANGUAGES", 2, raising=False)  # the bound there was
+    rows = [(i, f"word {i}", lang) for i, lang in enumerate(["a"] * 60 + ["b"] * 30 + ["c"] * 12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for most in (4_000, 30, 1):
+        assert langid.train_langid(df, max_labelled=most).classes == ["a", "b", "c"]
+
+
 # --- 6 similarity join -------------------------------------------------------------------
 
 
