@@ -1,11 +1,9 @@
-"""Substring dedup by relative Lempel-Ziv parsing over words.
+"""Substring dedup by an index of 13-word windows; the name is older, no relative Lempel-Ziv parse takes place.
 
-The reference of a document is every document with a smaller id.  Reference
-blocks are indexed by the fingerprints of their 13-word windows, each with the
-smallest id that holds it; a document is factored greedily against the index, a
-factor growing while consecutive windows come from the same reference.  Factors
-are at least a window long; windows across factor boundaries are looked up too, so
-the spans are exactly the words under some repeated window.
+The reference of a document is every document with a smaller id.  Windows are
+indexed by their fingerprints, each with the smallest id that holds it; removed are
+exactly the words under a window of a smaller id.  Spans group consecutive windows
+with the same smallest id, which need not lie side by side in that document.
 
 Windows whose anchor occurs in one document only cannot repeat and are never sent.
 """
@@ -102,7 +100,7 @@ def _answer_windows(keys: np.ndarray, values: list[np.ndarray]) -> tuple[list[np
 
 
 def factors(at: np.ndarray, reference: np.ndarray) -> list[dict]:
-    """Greedy factors of one document from the windows that have a reference (start, smallest id)."""
+    """Runs of one smallest id in one document from the windows that have a reference (start, smallest id)."""
     if not len(at):
         return []
     new = np.flatnonzero(np.concatenate([[True], (np.diff(at) != 1) | (reference[1:] != reference[:-1])]))
@@ -153,7 +151,7 @@ def rlz_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     """Remove every word under a 13-word window that also starts in a document of smaller id.
 
     Words are runs of bytes other than ASCII white space.  Returns ``doc_id,
-    n_words, n_removed, spans, kept``: the factors with their reference document,
+    n_words, n_removed, spans, kept``: the runs with their smallest document,
     and the kept words joined by one space.  A null text has no words.  A row with
     a null id is kept whole and is no reference; rows that share an id are not
     references of each other.  Windows are compared by 64-bit fingerprints.
