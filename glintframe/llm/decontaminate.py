@@ -190,7 +190,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     Returns one row for each such document and item: ``doc_id, item_id, n_windows``
     (starts of matching windows), ``similarity`` (the best) and ``first_word``.  A
-    document shorter than the item is one window.  Texts that are null or have no
+    document shorter than the item is one window.  An item of fewer than five words is
+    one shingle, so it is found only in documents of exactly these words.  Texts that are null or have no
     words match nothing; repeated rows are judged each; items with equal text are
     all reported.  The index that is broadcast is bounded by ``INDEX_BYTES``.
     """
