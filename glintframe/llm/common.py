@@ -6,6 +6,7 @@ memory does not depend on how many documents a partition or a batch holds.
 
 from __future__ import annotations
 
+import ctypes
 import math
 import uuid
 
@@ -32,17 +33,51 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not found:
         jvm = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = jvm.get() if jvm.isDefined() else None
+    if not found and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return found or "file:/tmp/checkpoints"
 
 
-def cut(df: DataFrame, partitions: int | None = None) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: later plans start there."""
+def cut(df: DataFrame, made: list[str] | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it again: later plans start there.
+
+    ``made``: gets the folder's path, for ``discard`` when no plan needs it any more.
+    """
     spark = df.sparkSession
     where = f"{checkpoint_dir(spark)}/glintframe-{uuid.uuid4().hex}"
-    (df.coalesce(partitions) if partitions else df).write.parquet(where)
+    df.write.parquet(where)
+    if made is not None:
+        made.append(where)
     return spark.read.schema(df.schema).parquet(where)
 
 
+def discard(spark: SparkSession, made: list[str]) -> None:
+    """Delete written tables through Spark's own file system; frames that read them are of no use afterwards."""
+    jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
+    for where in made:
+        path = jvm.org.apache.hadoop.fs.Path(where)
+        path.getFileSystem(conf).delete(path, True)
+    made.clear()
+
+
+#: Rows of one 64-bit key that may be broadcast: some 60 MB in an executor.
+BROADCAST_ROWS = 2_000_000
+
+
+def small_enough(keys: DataFrame) -> DataFrame:
+    """A written table of one 64-bit key, marked for broadcast if its count allows it; else joins shuffle."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
+
+
+def trim(result):
+    """Give the memory of a worker's large arrays back to the system, once ``result`` is made from them."""
+    pa.default_memory_pool().release_unused()
+    free = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if free is not None:
+        free(0)
+    return result
+
+
 def held_out(doc_id, modulus: int, remainder: int):
     """True where crc32 of the id as text leaves ``remainder``; a null id counts as the text 'null'."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("null")).cast("binary")) % modulus == remainder
