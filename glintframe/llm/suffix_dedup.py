@@ -1,15 +1,15 @@
-"""Suffix-array dedup by a depth-limited most-significant-digit radix sort.
-
-Only the first 400 bytes (or a number of words) of a suffix matter, so suffixes are ordered by digits up
-to that depth and no further; suffixes that are still together at the end are
-exactly the repeated windows.  The first digit of a suffix is its anchor, a
-200-byte gram chosen by content inside the window: suffixes that are alone with
-their anchor leave at once.  The second digit is the run of text that an anchor's
-windows cover together; where all of an anchor's suffixes agree on it they are
-settled as a group.  Only mixed groups go to the last digit, the window itself.
-Digits are 64-bit fingerprints: their order is not the alphabet's, their groups are
-the same.  Leading bits of a digit are dealt over the cluster (the first pass),
-each task orders its share of the rest (``grouped``).
+"""Suffix dedup: groups of equal suffixes, limited in depth, in three passes of fingerprints.
+
+This finds the groups that a suffix array ordered to the depth of the window (400
+bytes, or a number of words) would hold, but it does not order suffixes by the
+alphabet, and its passes are not digits of the text: see the README for the figures
+of a radix sort over all suffixes.  The first pass groups suffixes by their anchor,
+a 200-byte gram chosen by content inside the window: suffixes that are alone with
+their anchor leave at once, which are nearly all.  The second is the run of text
+that an anchor's windows cover together; where all of an anchor's suffixes agree on
+it they are settled as a group.  Only mixed groups go to the last pass, the window
+itself.  Groups are told apart by 128 bits (anchor and run) or 96 (window and half
+of its anchor), so chance does not join them at any size of corpus.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .anchors import anchored
 from .common import byte_codes, mix, range_hash, word_bounds, word_hashes
-from .exchange import Block, Corpus, grouped, look_up, totals
+from .exchange import Block, Corpus, grouped, look_up
 
 #: Bytes of a window.
 WINDOW = 400
@@ -56,7 +56,7 @@ def _anchors(block: Block, depth: Depth):
         at, place, grams, prefix, tokens = depth.anchored(data, offsets)
         new = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (np.diff(at) != 1)])) if len(at) else np.zeros(0, np.int64)
         low, high = at[new], at[np.append(new[1:], len(at)) - 1] if len(at) else at
-        yield i, j, offsets, data, tokens, prefix, low, high, grams[place[new]] if len(at) else _NONE, range_hash(prefix, low, high + depth.window) ^ mix(place[new] - low if len(at) else low)
+        yield i, j, offsets, data, tokens, prefix, low, high, mix(grams[place[new]]) if len(at) else _NONE, range_hash(prefix, low, high + depth.window) ^ mix(place[new] - low if len(at) else low)
 
 
 def _pairs(block: Block, depth: Depth) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -93,13 +93,13 @@ def _answer_anchors(keys: np.ndarray, values: list[np.ndarray]) -> tuple[list[np
 
 
 def _settled(block: Block, told: dict, depth: Depth):
-    """As ``_anchors``, with each anchor's answer instead of its digits."""
+    """As ``_anchors``, with each anchor's first digit and its answer."""
     anchor, run, _ = _pairs(block, depth)
     pair = mix(anchor ^ mix(run))
     order = np.argsort(pair)
     pair, answer = pair[order], (told[1][0] if 1 in told else _NONE)[order]
     for *head, a, r in _anchors(block, depth):
-        yield *head, look_up(mix(a ^ mix(r)), pair, answer)
+        yield *head, a, look_up(mix(a ^ mix(r)), pair, answer)
 
 
 def _spread(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -110,8 +110,8 @@ def _spread(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _ask_windows(block: Block, told: dict, depth: Depth) -> tuple[np.ndarray, list[np.ndarray]]:
-    keys, counts, led = [_NONE], [np.zeros(0, np.int64)], set()
-    for *_, prefix, low, high, answer in _settled(block, told, depth):
+    keys, counts, checks, led = [_NONE], [np.zeros(0, np.int64)], [_NONE], set()
+    for *_, prefix, low, high, anchor, answer in _settled(block, told, depth):
         pick = np.flatnonzero(answer >= 2)
         if not len(pick):
             continue
@@ -122,20 +122,29 @@ def _ask_windows(block: Block, told: dict, depth: Depth) -> tuple[np.ndarray, li
         start, owner = _spread(low[pick], high[pick])
         keys.append(range_hash(prefix, start, start + depth.window))
         counts.append((1 + (answer[pick] & np.uint64(1)).astype(np.int64))[owner])
-    distinct, count = totals(np.concatenate(keys), np.concatenate(counts))
-    return distinct, [(count > 1).astype(np.uint64)]
+        checks.append((anchor[pick] >> np.uint64(32))[owner])
+    order, begin, distinct = grouped(np.concatenate(keys))
+    if not len(begin):
+        return distinct, [_NONE, _NONE]
+    count = np.add.reduceat(np.concatenate(counts)[order], begin)
+    return distinct, [(count > 1).astype(np.uint64), np.concatenate(checks)[order[begin]]]
 
 
 def _answer_windows(keys: np.ndarray, values: list[np.ndarray]) -> tuple[list[np.ndarray], list[float]]:
-    distinct, count = totals(keys, (1 + values[0]).astype(np.int64))
-    return [look_up(keys, distinct, (count > 1).astype(np.uint64))], []
+    many, check = values  # a window is the same where its digit and 32 bits of its anchor's are
+    order = np.lexsort((check, keys))
+    new = np.concatenate([[True], (np.diff(keys[order]) > 0) | (check[order][1:] != check[order][:-1])])[: len(keys)]
+    begin, out = np.flatnonzero(new), np.zeros(len(keys), np.uint64)
+    if len(begin):
+        out[order] = np.repeat(np.add.reduceat(1 + many[order], begin) > 1, np.diff(np.append(begin, len(keys))))
+    return [out], []
 
 
 def _apply(block: Block, told: dict, depth: Depth) -> pa.Table:
     keys = _ask_windows(block, told, depth)[0]
     repeated = keys[(told[2][0] if 2 in told else _NONE) > 0]
     out: list[list] = [[], [], [], []]
-    for i, j, offsets, data, tokens, prefix, low, high, answer in _settled(block, told, depth):
+    for i, j, offsets, data, tokens, prefix, low, high, _, answer in _settled(block, told, depth):
         # Windows of repeated runs all repeat; those sent alone do where their own digit does.
         cover = np.zeros(len(prefix), np.int64)
         done = (answer & np.uint64(1)) > 0
