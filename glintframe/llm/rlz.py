@@ -1,10 +1,16 @@
-"""Substring dedup by an index of 13-word windows; the name is older, no relative Lempel-Ziv parse takes place.
-
-The reference of a document is every document with a smaller id.  Windows are
-indexed by their fingerprints, each with the smallest id that holds it; removed are
-exactly the words under a window of a smaller id.  Spans group consecutive windows
-with the same smallest id, which need not lie side by side in that document.
-
+"""Substring dedup by relative Lempel-Ziv parsing.
+
+The reference of a document is every document with a smaller id.  References are
+indexed by their windows of 13 words: each with the smallest id that holds it and
+its place there.  A document is parsed greedily: a factor starts at a window that
+the index holds, and grows while the reference goes on word by word as the document
+does.  Factors of 13 words and more are duplicate spans.  Where a factor ends, the
+windows over the boundary are looked up as well, so a match that another reference
+holds across it gives a factor that overlaps.  Removed are the words of the factors.
+
+The index holds one reference for each window, so a factor is the longest match
+with the first document that holds its windows, and not with any document; the words
+covered are the same, as every window of a longer match is in the index too.
 Windows whose anchor occurs in one document only cannot repeat and are never sent.
 """
 
@@ -16,12 +22,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import anchored
-from .common import range_hash, word_bounds, word_hashes
-from .exchange import Block, Corpus, grouped, least, look_up
+from .common import mix, range_hash, word_bounds, word_hashes
+from .exchange import Block, Corpus, grouped
 
 WINDOW, GRAM = 13, 5
 _SIGN = np.uint64(1 << 63)
-SPANS = "spans array<struct<start:bigint,words:bigint,reference:bigint>>"
+SPANS = "spans array<struct<start:bigint,words:bigint,reference:bigint,place:bigint>>"
+_NONE = np.zeros(0, np.uint64)
 
 
 def _ordinal(ids: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -45,7 +52,7 @@ def _anchor_pairs(block: Block) -> tuple[np.ndarray, np.ndarray]:
     keys, docs = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
     for *_, at, place, grams, prefix, owner in _windows(block):
         new = np.concatenate([[True], (place[1:] != place[:-1]) | (owner[1:] != owner[:-1])]) & known[owner] if len(at) else np.zeros(0, bool)
-        keys.append(grams[place[new]])
+        keys.append(mix(grams[place[new]]))
         docs.append(ids[owner[new]])
     return np.concatenate(keys), np.concatenate(docs)
 
@@ -60,67 +67,101 @@ def _ask_anchors(block: Block, told: dict, sums: dict) -> tuple[np.ndarray, list
 
 
 def _answer_anchors(keys: np.ndarray, values: list[np.ndarray]) -> tuple[list[np.ndarray], list[float]]:
-    """Does the anchor occur in several documents?  An id is in one block, so two blocks are two documents."""
+    """May the anchor occur in several documents?  Two blocks count as two, though rows that share an id lie in several."""
     _, inverse, count = np.unique(keys, return_inverse=True, return_counts=True)
     several = count + np.bincount(inverse, values[0], len(count)) > 1
     return [several[inverse].astype(np.uint64)], []
 
 
 def _shared_windows(block: Block, told: dict):
-    """As ``_windows``, with the windows whose anchor several documents hold and their keys."""
+    """As ``_windows``, with the windows whose anchor several documents hold: start, place in the document, key, anchor, document."""
     keys, _ = _anchor_pairs(block)
     distinct, shared = np.unique(keys), told[1][0] if 1 in told else np.zeros(0, np.uint64)
     known = _ordinal(block.ids)[1]
     distinct = distinct[shared > 0]
-    for *head, at, place, grams, prefix, owner in _windows(block):
+    for i, *head, at, place, grams, prefix, owner in _windows(block):
+        head = [i, *head]
         anchor = grams[place] if len(at) else np.zeros(0, np.uint64)
         found = np.zeros(len(at), bool)
         if len(distinct) and len(at):
             new = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
-            x = anchor[new]
+            x = mix(anchor[new])
             k = np.minimum(np.searchsorted(distinct, x), len(distinct) - 1)
             found = np.repeat(distinct[k] == x, np.diff(np.append(new, len(at))))
             found &= known[owner]
-        yield *head, at[found], range_hash(prefix, at[found], at[found] + WINDOW), owner[found]
+        own = owner[found]
+        yield *head, at[found], (at[found] - head[-1][own - i]).astype(np.uint64), range_hash(prefix, at[found], at[found] + WINDOW), mix(anchor[found]), own
 
 
 def _ask_windows(block: Block, told: dict, sums: dict) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Of each window: the smallest id here that holds it, where it first stands in that document, a check."""
     ids, _ = _ordinal(block.ids)
-    keys, docs = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
-    for *_, _at, key, owner in _shared_windows(block, told):
+    keys, docs, places, checks = [_NONE], [_NONE], [_NONE], [_NONE]
+    for *_, place, key, anchor, owner in _shared_windows(block, told):
         keys.append(key)
         docs.append(ids[owner])
-    distinct, low = least(np.concatenate(keys), np.concatenate(docs))
-    return distinct, [low]
+        places.append(place)
+        checks.append(anchor >> np.uint64(32))
+    keys, docs, places, checks = map(np.concatenate, (keys, docs, places, checks))
+    order, begin, distinct = grouped(keys)
+    if not len(begin):
+        return distinct, [_NONE] * 3
+    low, place = _first_place(docs[order], places[order], begin)
+    return distinct, [low, place, checks[order[begin]]]
 
 
-def _answer_windows(keys: np.ndarray, values: list[np.ndarray]) -> tuple[list[np.ndarray], list[float]]:
-    distinct, low = least(keys, values[0])
-    return [look_up(keys, distinct, low)], []
+def _first_place(docs: np.ndarray, places: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each run of rows: the smallest id, and the smallest place with that id."""
+    low = np.minimum.reduceat(docs, begin)
+    own = docs == np.repeat(low, np.diff(np.append(begin, len(docs))))
+    return low, np.minimum.reduceat(np.where(own, places, ~np.uint64(0)), begin)
 
 
-def factors(at: np.ndarray, reference: np.ndarray) -> list[dict]:
-    """Runs of one smallest id in one document from the windows that have a reference (start, smallest id)."""
+def _answer_windows(keys: np.ndarray, values: list[np.ndarray]) -> tuple[list[np.ndarray], list[float]]:
+    docs, places, checks = values
+    order = np.lexsort((checks, keys))
+    begin = np.flatnonzero(np.concatenate([[True], (np.diff(keys[order]) > 0) | (checks[order][1:] != checks[order][:-1])])[: len(keys)])
+    out = [np.zeros(len(keys), np.uint64), np.zeros(len(keys), np.uint64)]
+    if len(begin):
+        size = np.diff(np.append(begin, len(keys)))
+        for to, v in zip(out, _first_place(docs[order], places[order], begin)):
+            to[order] = np.repeat(v, size)
+    return out, []
+
+
+def factors(at: np.ndarray, reference: np.ndarray, place: np.ndarray) -> list[dict]:
+    """The greedy parse of one document: from its windows that a reference holds (start, id and place there), the factors.
+
+    A factor starts at the first window that no factor before it holds whole, and grows
+    word by word while the reference goes on there as the document does.  The windows
+    over the boundary of two factors are windows like others, so what they cover starts
+    a factor of its own, which overlaps.
+    """
     if not len(at):
         return []
-    new = np.flatnonzero(np.concatenate([[True], (np.diff(at) != 1) | (reference[1:] != reference[:-1])]))
+    new = np.flatnonzero(np.concatenate([[True], (np.diff(at) != 1) | (reference[1:] != reference[:-1]) | (np.diff(place) != 1)]))
     last = np.append(new[1:], len(at)) - 1
-    return [{"start": int(a), "words": int(b - a + WINDOW), "reference": int(r)} for a, b, r in zip(at[new], at[last], reference[new])]
+    return [{"start": int(a), "words": int(b - a + WINDOW), "reference": int(r), "place": int(p)} for a, b, r, p in zip(at[new], at[last], reference[new], place[new])]
 
 
 def _apply(block: Block, told: dict, sums: dict) -> pa.Table:
     ids, _ = _ordinal(block.ids)
     parts = list(_shared_windows(block, told))
-    keys = np.unique(np.concatenate([np.zeros(0, np.uint64), *(p[-2] for p in parts)]))
-    low = told[2][0] if 2 in told else np.zeros(0, np.uint64)
+    keys = np.unique(np.concatenate([_NONE, *(p[-3] for p in parts)]))
+    low, place_of = told[2] if 2 in told else (_NONE, _NONE)
     out: list[list] = [[], [], [], []]
-    for i, j, offsets, data, starts, ends, first, at, key, owner in parts:
-        reference = look_up(key, keys, low)
+    for i, j, offsets, data, starts, ends, first, at, _, key, _, owner in parts:
+        index = np.searchsorted(keys, key)
+        reference, place = low[index], place_of[index].astype(np.int64)
         hit = reference < ids[owner]
-        at, reference, owner = at[hit], (reference[hit] ^ _SIGN).view(np.int64), owner[hit]
+        at, reference, place, owner = at[hit], (reference[hit] ^ _SIGN).view(np.int64), place[hit], owner[hit]
+        cut = np.searchsorted(owner, np.arange(i, j + 1))
+        parsed = [factors(at[a:b] - first[k], reference[a:b], place[a:b]) for k, (a, b) in enumerate(zip(cut[:-1], cut[1:]))]
+        # Removed are the words of the factors.
         cover = np.zeros(len(starts) + 1, np.int64)
-        np.add.at(cover, at, 1)
-        np.add.at(cover, at + WINDOW, -1)
+        spans = np.array([(first[k] + f["start"], f["words"]) for k, fs in enumerate(parsed) for f in fs], np.int64).reshape(-1, 2)
+        np.add.at(cover, spans[:, 0], 1)
+        np.add.at(cover, spans.sum(1), -1)
         kept = np.cumsum(cover)[:-1] == 0
         n_kept = np.concatenate([[0], np.cumsum(kept)])[first]
         words = np.diff(first)
@@ -140,9 +181,7 @@ def _apply(block: Block, told: dict, sums: dict) -> pa.Table:
         body = body[mask]
         out[0].append(pa.array(words))
         out[1].append(pa.array(words - np.diff(n_kept)))
-        cut = np.searchsorted(owner, np.arange(i, j + 1))
-        base = first[:-1]
-        out[2].append(pa.array([factors(at[a:b] - base[k], reference[a:b]) for k, (a, b) in enumerate(zip(cut[:-1], cut[1:]))], pa.list_(pa.struct([("start", pa.int64()), ("words", pa.int64()), ("reference", pa.int64())]))))
+        out[2].append(pa.array(parsed, pa.list_(pa.struct([(n, pa.int64()) for n in ("start", "words", "reference", "place")]))))
         out[3].append(pa.Array.from_buffers(pa.string(), j - i, [None, pa.py_buffer(size), pa.py_buffer(body)]))
     return pa.table([block.ids, *(pa.concat_arrays(c) for c in out)], names=["doc_id", "n_words", "n_removed", "spans", "kept"])
 
@@ -151,10 +190,11 @@ def rlz_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     """Remove every word under a 13-word window that also starts in a document of smaller id.
 
     Words are runs of bytes other than ASCII white space.  Returns ``doc_id,
-    n_words, n_removed, spans, kept``: the runs with their smallest document,
-    and the kept words joined by one space.  A null text has no words.  A row with
+    n_words, n_removed, spans, kept``: the factors with their reference and the place
+    there, and the kept words joined by one space.  A null text has no words.  A row with
     a null id is kept whole and is no reference; rows that share an id are not
-    references of each other.  Windows are compared by 64-bit fingerprints.
+    references of each other (and place is the first in any of them).  Windows are
+    compared by fingerprints of 64 bits and 32 bits of their anchor's.
     """
     corpus = Corpus(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")))
     corpus.round(1, _ask_anchors, _answer_anchors)
