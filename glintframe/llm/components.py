@@ -5,21 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, discard
 
 
 def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_003), F.sum(F.xxhash64("b", "a") % 999_983)).first())
 
 
-def components(edges: DataFrame, partitions: int | None = None) -> DataFrame:
+def components(edges: DataFrame, made: list[str] | None = None) -> DataFrame:
     """``node, label`` for every node of the undirected edges (``a``, ``b``); the label is the least node.
 
     Each round aggregates minima (combined before the shuffle) and is written to the
     shared folder, so a lost executor costs one round.  The number of rounds grows
-    with the logarithm of a component's size.
+    with the logarithm of a component's size.  ``made`` gets the last folder; earlier
+    ones are deleted when the next is written.
     """
-    now = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), partitions)
+    old: list[str] = []
+    now = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), old)
     seen = _mark(now)
     while seen[0]:
         both = now.union(now.select("b", "a"))
@@ -27,9 +29,14 @@ def components(edges: DataFrame, partitions: int | None = None) -> DataFrame:
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct("a", "m"), F.struct(F.col("b").alias("a"), "m"))).alias("e")).select("e.a", F.col("e.m").alias("b")).where("a <> b").distinct()
-        now = cut(small, partitions)
+        new: list[str] = []
+        now = cut(small, new)
+        discard(edges.sparkSession, old)
+        old = new
         before, seen = seen, _mark(now)
         if before == seen:
             break
+    if made is not None:
+        made += old
     stars = now.groupBy("a").agg(F.min("b").alias("label")).select(F.col("a").alias("node"), "label")
     return stars.union(now.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())

@@ -11,9 +11,10 @@ as long as they lie in at most ``spare`` of its parts; the few sets with more of
 them meet in the large groups after all.  Candidates are pruned by parity sketches
 (never more apart than the sets are) and then compared exactly.
 
-Equal sets are one vertex.  Groups are not expanded into all pairs: each vertex is
-first compared with its smallest group mate; then, of mates in different components,
-the nearest ones that could join them; at last all mates still in different ones.
+Equal sets are one vertex.  Groups are not expanded into all pairs: of each group
+only as many near pairs are compared exactly as would join all mates that may be
+linked at all.  If all of them are links, no other pair can join anything; only in
+groups where one is none, all near pairs of different components are compared.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, lower_ascii, mix, prefix_hash, range_hash, shuffle_width, tuned, window_hashes, word_bounds, word_hashes
+from .common import cut, discard, lower_ascii, mix, prefix_hash, range_hash, shuffle_width, small_enough, trim, tuned, window_hashes, word_bounds, word_hashes
 from .components import components
 from .exchange import Block, Corpus, pack, unpack
 
@@ -37,6 +38,10 @@ CROWD = 48
 UNIT = 2048
 #: 64-bit words of a parity sketch.
 SKETCH = 8
+#: Text of a block: less than elsewhere, as signatures of a set take more room than its text.
+BLOCK = 8 << 20
+#: Signatures have 48 bits: a chance group costs a comparison of sketches and gives no link.
+_SHORT = ~np.uint64(0xFFFF)
 _NONE = np.zeros(0, np.uint64)
 
 
@@ -118,7 +123,7 @@ def signatures(sets: list[np.ndarray], bands: Bands) -> tuple[np.ndarray, np.nda
                 for c, left in enumerate(combinations(range(p.sub), p.out)):
                     kept = np.setdiff1d(np.arange(p.sub), left)
                     name = np.arange(p.parts, dtype=np.uint64) * np.uint64(64) + np.uint64(c)
-                    sig.append(mix(mix(total[:, :, kept].sum(2, dtype=np.uint64) + salt) ^ name).ravel())
+                    sig.append((mix(mix(total[:, :, kept].sum(2, dtype=np.uint64) + salt) ^ name) & _SHORT).ravel())
                     vertex.append(np.repeat(some, p.parts))
                     part.append(np.tile(np.arange(p.parts) + (tag << 32), m))
                     light.append((count[:, :, kept].sum(2) < p.least).ravel())
@@ -195,8 +200,8 @@ def _answer(keys: np.ndarray, values: list[np.ndarray]) -> tuple[list[np.ndarray
 
 def _groups(table: pa.Table) -> pa.Table:
     """At an owner: the members of every group that is no crowd; equal groups once."""
-    blocks, keys, told = table.column("block").to_numpy(), [unpack(x) for x in table.column("keys").to_pylist()], [unpack(x[0]) for x in table.column("told").to_pylist()]
-    vertex = np.concatenate([_NONE, *(t + (np.uint64(b) << np.uint64(32)) for b, t in zip(blocks, told))])
+    keys, told = [unpack(x) for x in table.column("keys").to_pylist()], [unpack(x[0]) for x in table.column("told").to_pylist()]
+    vertex = np.concatenate([_NONE, *told])
     keys = np.concatenate([_NONE, *keys])
     n = _sizes_of(keys)
     pick = (n > 1) & (n <= CROWD)
@@ -247,15 +252,18 @@ def _apply(words: int, percent: int):
     return apply
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of candidate pairs (``a`` < ``b`` keys), those that are similar enough, exactly."""
-    small = sets.select("key", "n", "sketch")
-    left = pairs.join(small.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), "a")
-    both = left.join(small.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb")), "b")
+def _linked(pairs: DataFrame, sets: DataFrame, whole: DataFrame, percent: int, made: list[str]) -> DataFrame:
+    """Of candidate pairs (``a`` < ``b`` keys), those that are similar enough, exactly.
+
+    ``sets`` holds sketches, ``whole`` the elements, which only sets of pairs that pass the sketches need.
+    """
+    left = pairs.join(sets.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), "a")
+    both = left.join(sets.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb")), "b")
     apart = sum((F.bit_count(F.col("sa")[i].bitwiseXOR(F.col("sb")[i])) for i in range(1, SKETCH)), F.bit_count(F.col("sa")[0].bitwiseXOR(F.col("sb")[0])))
-    near = both.where((apart * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))).select("a", "b", "na", "nb")
-    whole = sets.select("key", "elements")
-    near = near.join(whole.select(F.col("key").alias("b"), F.col("elements").alias("eb")), "b").join(whole.select(F.col("key").alias("a"), F.col("elements").alias("ea")), "a")
+    near = cut(both.where((apart * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))).select("a", "b", "na", "nb"), made)
+    needed = cut(near.select(F.explode(F.array("a", "b")).alias("key")).distinct(), made)
+    elements = cut(whole.join(small_enough(needed), "key", "left_semi").dropDuplicates(["key"]), made)
+    near = near.join(elements.select(F.col("key").alias("b"), F.col("elements").alias("eb")), "b").join(elements.select(F.col("key").alias("a"), F.col("elements").alias("ea")), "a")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -296,17 +304,21 @@ def _forest(label_a: np.ndarray, label_b: np.ndarray, apart: np.ndarray) -> np.n
 
 
 def _near_mates(member: DataFrame, sets: DataFrame, percent: int, forest: bool) -> DataFrame:
-    """Group mates (``group, key, label``) with different labels whose sketches allow a link.
+    """Of group mates (``group, key, label``), pairs (``group, a, b``) of different labels whose sketches allow a link.
 
-    With ``forest`` only as many nearest pairs as would join a unit's labels, else all.
-    Sketches are compared inside the tasks, so only pairs that may be links become
-    rows.  A large group is dealt into blocks, and every pair of blocks is a unit.
+    With ``forest`` only so many, near ones first, that they join all labels of a unit
+    that such pairs join at all.  Sketches are compared inside the tasks, in strips, so
+    neither rows nor memory follow the square of a group.  A large group is dealt into
+    blocks, and every pair of blocks is a unit.
     """
     spark = member.sparkSession
-    size = member.groupBy("group").agg(F.ceil(F.count("*") / UNIT).cast("int").alias("blocks"))
+    size = member.groupBy("group").agg(F.count("*").alias("n")).where("n > 1").select("group", F.ceil(F.col("n") / UNIT).cast("int").alias("blocks"))
     rows = member.join(size, "group").join(sets.select("key", "n", "sketch"), "key")
     rows = rows.withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).withColumn("bucket", F.pmod(F.xxhash64("group", "i", "j"), F.lit(shuffle_width(spark))).cast("int"))
+    rows = rows.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
+    # Small units share buckets; a unit of a large group is a bucket of its own.
+    bucket = F.xxhash64(F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("group"), F.lit(8 * shuffle_width(spark)))).otherwise(F.xxhash64("group", "i", "j")))
+    rows = rows.withColumn("bucket", bucket)
 
     def compare(table: pa.Table) -> pa.Table:
         table = table.sort_by([("group", "ascending"), ("i", "ascending"), ("j", "ascending"), ("key", "ascending")])
@@ -315,33 +327,35 @@ def _near_mates(member: DataFrame, sets: DataFrame, percent: int, forest: bool)
         begin = np.flatnonzero(np.concatenate([[True], (group[1:] != group[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))
         out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)]]
         for x, y in zip(begin, np.append(begin[1:], len(group))):
-            found: list[list[np.ndarray]] = [[], [], []]
-            for r in range(x, y, 128):
-                left, right = slice(r, min(r + 128, y)), slice(x, y)
-                ok = (key[left, None] < key[None, right]) & (label[left, None] != label[None, right])
-                if i[x] != j[x]:
-                    ok &= own[left, None] != own[None, right]
-                total = n[left, None] + n[None, right]
-                ok &= 100 * np.minimum(n[left, None], n[None, right]) >= percent * np.maximum(n[left, None], n[None, right])
-                a, b = np.nonzero(ok)
-                if len(a):
+            root = np.unique(label[x:y], return_inverse=True)[1]
+            for share in (2, 1) if forest else (1,):  # at most half as far apart as a link may be, then the rest
+                for r in range(x, y, 128):
+                    left, right = slice(r, min(r + 128, y)), slice(x, y)
+                    ok = (key[left, None] < key[None, right]) & (root[left.start - x : left.stop - x, None] != root[None])
+                    if i[x] != j[x]:
+                        ok &= own[left, None] != own[None, right]
+                    total = n[left, None] + n[None, right]
+                    ok &= 100 * np.minimum(n[left, None], n[None, right]) >= percent * np.maximum(n[left, None], n[None, right])
+                    a, b = np.nonzero(ok)
+                    if not len(a):
+                        continue
                     apart = sum(np.bitwise_count(sketches[r + a, k] ^ sketches[x + b, k]).astype(np.int64) for k in range(SKETCH))
-                    near = apart * (100 + percent) <= total[a, b] * (100 - percent)
-                    for column, v in zip(found, (r + a[near], x + b[near], apart[near] / total[a, b][near])):
-                        column.append(v)
-            if found[0]:
-                a, b, apart = map(np.concatenate, found)
-                if forest and len(a) > 1:
-                    k = _forest(label[a], label[b], apart)
-                    a, b = a[k], b[k]
-                out[0].append(key[a])
-                out[1].append(key[b])
-        return pa.table({"a": np.concatenate(out[0]), "b": np.concatenate(out[1])})
-
-    return rows.groupBy("bucket").applyInArrow(compare, "a bigint, b bigint").distinct()
-
-
-def similarity_join(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+                    near = share * apart * (100 + percent) <= total[a, b] * (100 - percent)
+                    apart, a, b = (apart / total[a, b])[near], a[near] + r - x, b[near]
+                    if forest and len(a):
+                        k = _forest(root[a], root[b], apart)
+                        a, b = a[k], b[k]
+                        for p, q in zip(a, b):
+                            root[root == root[p]] = root[q]
+                    out[0].append(x + a)
+                    out[1].append(x + b)
+        a, b = map(np.concatenate, out)
+        return trim(pa.table({"group": group[a], "a": key[a], "b": key[b]}))
+
+    return rows.groupBy("bucket").applyInArrow(compare, "group bigint, a bigint, b bigint")
+
+
+def similarity_join(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", made: list[str] | None = None) -> DataFrame:
     """Link documents whose sets of ``words``-grams have Jaccard similarity of ``percent`` hundredths or more.
 
     Words are ASCII-lower-cased runs of bytes other than ASCII white space; a text
@@ -349,36 +363,39 @@ def similarity_join(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     Returns ``doc_id, n_shingles, component_id``: the set's size and the smallest id
     reachable by links.  Rows with a null id belong to components but name none.
     Links are compared exactly (elements by 48-bit fingerprints); equal sets are
-    always linked; repeated rows are rows like others.
+    always linked; repeated rows are rows like others.  ``made`` gets the folders
+    that the result is read from.
     """
     spark = tuned(docs.sparkSession)
-    corpus = Corpus(docs, id_col, text_col)
+    corpus = Corpus(docs, id_col, text_col, block_bytes=BLOCK)
 
     def ask(block: Block, told: dict, sums: dict) -> tuple[np.ndarray, list[np.ndarray]]:
         _, _, _, _, sig, vertex, *_ = _of_block(block, words, Bands(percent))
-        return sig, [vertex.astype(np.uint64)]
+        return sig, [vertex.astype(np.uint64) + (np.uint64(block.number) << np.uint64(32))]
 
     questions = corpus.round(1, ask, _answer)
     rows = corpus.finish(_apply(words, percent), _ROW.format(id=corpus.id_type))
     groups = questions.groupBy("owner").applyInArrow(_groups, "group bigint, vertex bigint").distinct()
     # One job writes both, so they share the shuffles.
-    both = cut(rows.withColumn("group", F.lit(None).cast("bigint")).unionByName(groups, allowMissingColumns=True))
+    both = cut(rows.withColumn("group", F.lit(None).cast("bigint")).unionByName(groups, allowMissingColumns=True), made)
     rows, groups = both.where("group is null").drop("group"), both.where("group is not null").select("group", "vertex")
     named = rows.where("vertex is not null")
-    sets = cut(named.dropDuplicates(["key"]).select("key", "n", "sketch", "elements"))
+    spent: list[str] = []
+    sets, whole = cut(named.dropDuplicates(["key"]).select("key", "n", "sketch"), spent), named.select("key", "elements")
     named = named.select("vertex", "key", "crowds")
-    member = groups.join(named.select("vertex", "key"), "vertex").select("group", "key").union(named.select(F.explode("crowds").alias("group"), "key")).distinct()
-    lead = member.groupBy("group").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low < high")
-    member = cut(member.join(lead, "group"))
-    star = member.groupBy("key").agg(F.min("low").alias("a")).where("a < key").select("a", F.col("key").alias("b"))
-    links = cut(_linked(star, sets, percent))
-    # Group mates of different components: first the nearest that could join them, then all pairs that are left.
-    for forest in (True, False):
-        now = member.join(components(links).withColumnRenamed("node", "key"), "key", "left").select("group", "key", F.coalesce("label", "key").alias("label"))
-        mixed = now.groupBy("group").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("group")
-        now = cut(now.join(mixed, "group", "left_semi"))
-        links = cut(links.union(_linked(_near_mates(now, sets, percent, forest), sets, percent)))
-    label = components(links).select(F.col("node").alias("key"), "label")
+    member = groups.join(named.select("vertex", "key"), "vertex").select("group", "key").union(named.select(F.explode("crowds").alias("group"), "key"))
+    member = cut(member.distinct(), spent)
+    pairs = cut(_near_mates(member.withColumn("label", F.col("key")), sets, percent, True), spent)
+    links = cut(_linked(pairs.select("a", "b").distinct(), sets, whole, percent, spent), spent)
+    # Only a group with a near pair that is no link can hold a link that joins what is still apart.
+    open_ = cut(pairs.join(links, ["a", "b"], "left_anti").select("group").distinct(), spent)
+    if not open_.isEmpty():
+        label = components(links, spent)
+        now = member.join(small_enough(open_), "group", "left_semi").join(label.withColumnRenamed("node", "key"), "key", "left")
+        now = cut(now.select("group", "key", F.coalesce("label", "key").alias("label")), spent)
+        links = cut(links.union(_linked(_near_mates(now, sets, percent, False).select("a", "b").distinct(), sets, whole, percent, spent)), spent)
+    label = components(links, made).select(F.col("node").alias("key"), "label")
+    discard(spark, spent)
     done = rows.select("id", "n", "key").join(label, "key", "left").select("id", "n", F.coalesce("label", "key").alias("label"))
     least = done.where("n > 0").groupBy("label").agg(F.min("id").alias("component_id"))
     out = done.join(least.withColumn("n0", F.lit(True)), (done["label"] == least["label"]) & (done["n"] > 0), "left")

@@ -422,6 +422,23 @@ def test_suffix_dedup(spark, corpus):
     assert suffix_dedup.suffix_dedup(df.limit(0)).count() == 0
 
 
+def test_hubs_change_nothing(spark, corpus, monkeypatch):
+    """The same results where blocks ask by hubs, in n * sqrt(n) messages and not n * n."""
+    rows = corpus + [(7, "one id on very many rows " * 20)] * 400
+    df = spark.createDataFrame([(*x, 1) for x in rows], "doc_id long, text string, kept int").repartition(2)
+    monkeypatch.setattr(exchange, "block_count", lambda *_: 30)
+    corpus_ = exchange.Corpus(df)
+    sizes = [r["n"] for r in corpus_._each(lambda block, told, sums: pa.table({"n": [len(block.ids)]}), "n bigint").collect()]
+    assert sum(sizes) == len(rows) and max(sizes) < 200  # 400 equal rows are not one block's
+    results, messages = [], []
+    for direct in (4096, 4):
+        monkeypatch.setattr(exchange, "DIRECT", direct)
+        messages.append(exchange.Corpus(df).round(1, pst._ask_counts, pst._sum_answer).count())
+        results.append([sorted(map(tuple, f(df).collect()), key=repr) for f in (suffix_dedup.suffix_digests, rlz.rlz_digests, partenum.near_duplicates)])
+        results[-1].append(sorted(((r["doc_id"], r["n_known"], r["train_tokens"], round(r["score"], 9)) for r in pst.language_model_scores(df).collect()), key=repr))
+    assert results[0] == results[1] and messages[0] == len(sizes) * 30 and messages[1] <= 6 * 5 * 6
+
+
 def test_suffix_dedup_of_words(spark, corpus):
     rows = [(d, t) for d, t in corpus if d >= 6]
     got = collect(suffix_dedup.suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string"), window=20, words=True))
@@ -482,4 +499,17 @@ def test_rlz(spark, corpus):
     assert sorted((tuple(r) for r in rlz.rlz_digests(df).collect()), key=repr) == sorted(want, key=repr)
     spans = collect(rlz.rlz_dedup(df))[95][0]["spans"]
     assert spans and all(s["words"] >= 13 and s["reference"] < 95 for s in spans)
+    text = dict(corpus)
+    for d, found in collect(rlz.rlz_dedup(df.where("doc_id <> 30"))).items():
+        own, covered = words(text.get(d)), set()
+        for f in found[0]["spans"] if d is not None else []:  # every factor stands in its reference, at its place
+            assert f["reference"] < d and own[f["start"] : f["start"] + f["words"]] == words(text[f["reference"]])[f["place"] : f["place"] + f["words"]]
+            covered |= set(range(f["start"], f["start"] + f["words"]))
+        assert len(covered) == found[0]["n_removed"]
     assert rlz.rlz_dedup(df.limit(0)).count() == 0
+
+
+def test_factors_break_where_the_reference_does():
+    at, ref = np.array([3, 4, 5, 6, 7, 20]), np.array([1, 1, 1, 1, 2, 2])
+    got = rlz.factors(at, ref, np.array([10, 11, 40, 41, 42, 0]))
+    assert [(f["start"], f["words"], f["reference"], f["place"]) for f in got] == [(3, 14, 1, 10), (5, 14, 1, 40), (7, 13, 2, 42), (20, 13, 2, 0)]
