@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glintframe.llm.bpe import byte_bpe
-from glintframe.llm.common import cut
+from glintframe.llm.common import cut, discard, small_enough
 from glintframe.llm.decontaminate import without_contaminated
 from glintframe.llm.partenum import similarity_join
 from glintframe.llm.quality_gam import THRESHOLD, train_quality, with_quality
@@ -57,14 +57,19 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Rows are told apart by all their columns, so ids may be null or repeated.  Of
     rows that are equal throughout any one is the first.  Rows without words stay.
     """
-    rows = docs.withColumn("__row", _row(docs))
-    found = similarity_join(rows, words=5, percent=80, id_col="__row").where("n_shingles > 0")
+    rows, made = docs.withColumn("__row", _row(docs)), []
+    found = similarity_join(rows, words=5, percent=80, id_col="__row", made=made).where("n_shingles > 0")
     found = found.groupBy(F.col("doc_id").alias("__row")).agg(F.max(F.expr("component_id < doc_id")).alias("later"), F.count("*").alias("n"))
     found = cut(found.where("later or n > 1"))
-    out = rows.join(found, "__row", "left_anti")
+    discard(spark, made)
+    # Most rows are told by one hash alone, so their texts are not shuffled.
+    own = F.coalesce("__row.hash0", F.lit(0)).alias("__hash")
+    hashes, rows = small_enough(cut(found.select(own).distinct())), rows.select("*", own)
+    met = rows.join(hashes, "__hash", "left_semi")
+    out = rows.join(hashes, "__hash", "left_anti").select(*met.columns).union(met.join(found, "__row", "left_anti").select(*met.columns))
     repeated = found.where("not later").select("__row")
     if not repeated.isEmpty():
-        out = out.unionByName(rows.join(repeated, "__row", "left_semi").dropDuplicates(["__row"]))
+        out = out.union(met.join(repeated, "__row", "left_semi").dropDuplicates(["__row"]).select(*met.columns))
     return out.select(*docs.columns)
 
 
