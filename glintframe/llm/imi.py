@@ -2,9 +2,11 @@
 
 Two codebooks quantise the two halves of a vector separately; a pair of centroids
 names a cell.  A query visits cells in the order of summed distance, found by a heap
-over the two sorted distance lists, until enough entries are seen; the entries are
-then reranked by the exact inner product, in blocks of queries against shards of
-entries.  Codebooks are fitted on a bounded sample, every row is indexed.
+over the two sorted distance lists, until enough entries are seen; distance is the
+negative inner product of a half with its centroid, as the inner product is asked
+for.  The inverted lists lie in the order of cells, cut into shards; a query goes to
+the shards that hold cells it visits, and there it is multiplied with the entries of
+those cells alone.  Codebooks are fitted on a bounded sample, every row is indexed.
 """
 
 from __future__ import annotations
@@ -19,17 +21,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, tuned
+from .common import cut, mix, tuned
 
 #: Vectors that the codebooks are fitted on, at most (those of smallest id hash).
 SAMPLE = 10_000
-CENTROIDS = 64
+#: Centroids of a half: they grow with the fourth root of the rows, between these.
+LEAST_CENTROIDS, MOST_CENTROIDS = 128, 256
 #: Share of the entries that a query sees.  Vectors without any cluster structure need this much
 #: for a recall of 0.93 and more; clustered ones need far less.
-FRACTION = 0.6
+FRACTION = 0.45
 SHARD, QUERY_BLOCK = 16_384, 4_096
 
 
+def centroids_for(n: int) -> int:
+    """A power of two near ``8 * n ** (1 / 4)``."""
+    return int(min(MOST_CENTROIDS, max(LEAST_CENTROIDS, 2 ** round(math.log2(8 * max(n, 1) ** 0.25)))))
+
+
 def _kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 1) -> np.ndarray:
     r = np.random.default_rng(seed)
     c = x[r.choice(len(x), min(k, len(x)), replace=False)].copy()
@@ -48,42 +56,99 @@ class Codebooks:
     second: np.ndarray
 
     @staticmethod
-    def fit(x: np.ndarray, k: int = CENTROIDS) -> Codebooks:
+    def fit(x: np.ndarray, k: int = LEAST_CENTROIDS) -> Codebooks:
         half = x.shape[1] // 2
         return Codebooks(_kmeans(x[:, :half], k, seed=1), _kmeans(x[:, half:], k, seed=2))
 
-    def distances(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Squared distances of both halves to their centroids, less the half's own square."""
+    def cells(self, x: np.ndarray) -> np.ndarray:
+        """The pair of nearest centroids of each vector."""
         half = self.first.shape[1]
-        one = lambda y, c: (c * c).sum(1) - 2 * y @ c.T
-        return one(x[:, :half], self.first), one(x[:, half:], self.second)
+        one = lambda y, c: ((c * c).sum(1) - 2 * y @ c.T).argmin(1)
+        return one(x[:, :half], self.first) * len(self.second) + one(x[:, half:], self.second) if len(x) else np.zeros(0, np.int64)
 
-    def cells(self, x: np.ndarray) -> np.ndarray:
-        a, b = self.distances(x)
-        return a.argmin(1) * len(self.second) + b.argmin(1) if len(x) else np.zeros(0, np.int64)
+    def distances(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Negative inner products of both halves with their centroids."""
+        half = self.first.shape[1]
+        return -x[:, :half] @ self.first.T, -x[:, half:] @ self.second.T
 
     def visit(self, a: np.ndarray, b: np.ndarray, held: np.ndarray, enough: int) -> np.ndarray:
-        """Cells in the order of summed distance until they hold ``enough`` entries, as flags."""
+        """Cells in the order of summed distance until they hold ``enough`` entries, as flags.
+
+        The heap has, of every first centroid begun, the pair with the next second one;
+        a first centroid begins when the one before it has given its first pair.
+        """
         seen, n = np.zeros(held.size, bool), 0
-        ia, ib = a.argsort(kind="stable").tolist(), b.argsort(kind="stable").tolist()
-        a, b, size, width = np.sort(a).tolist(), np.sort(b).tolist(), held.tolist(), len(b)
-        heap, pushed = [(a[0] + b[0], 0, 0)], {(0, 0)}
+        ia, ib = a.argsort(kind="stable"), b.argsort(kind="stable").tolist()
+        a, b, size, width = a[ia].tolist(), np.sort(b).tolist(), held.tolist(), len(b)
+        base = (ia * width).tolist()
+        heap, visited = [(a[0] + b[0], 0, 0)], []
         while heap and n < enough:
-            _, i, j = heapq.heappop(heap)
-            cell = ia[i] * width + ib[j]
-            seen[cell] = True
+            _, i, j = heap[0]
+            cell = base[i] + ib[j]
+            visited.append(cell)
             n += size[cell]
-            for x, y in ((i + 1, j), (i, j + 1)):
-                if x < len(a) and y < width and (x, y) not in pushed:
-                    pushed.add((x, y))
-                    heapq.heappush(heap, (a[x] + b[y], x, y))
+            if j + 1 < width:
+                heapq.heapreplace(heap, (a[i] + b[j + 1], i, j + 1))
+            else:
+                heapq.heappop(heap)
+            if j == 0 and i + 1 < len(a):
+                heapq.heappush(heap, (a[i + 1] + b[0], i + 1, 0))
+        seen[visited] = True
         return seen
 
 
+@dataclass
+class Shards:
+    """Cells in order, cut where about ``SHARD`` entries are full; a larger cell is dealt over several shards."""
+
+    first: np.ndarray  # by cell: its first shard
+    count: np.ndarray  # by cell: its shards
+    low: np.ndarray  # by shard: first cell, and the end
+    high: np.ndarray
+
+    @staticmethod
+    def of(held: np.ndarray, most: int = SHARD) -> Shards:
+        first, count, low, high, n = np.zeros(len(held), np.int64), np.ones(len(held), np.int64), [0], [], 0
+        for cell, size in enumerate(held.tolist()):
+            parts = -(-size // most)
+            if n and (n + size > most or parts > 1):
+                high.append(cell)
+                low.append(cell)
+                n = 0
+            first[cell], n = len(low) - 1, n + size
+            if parts > 1:
+                count[cell] = parts
+                high += [cell + 1] * parts
+                low += [cell] * (parts - 1) + [cell + 1]
+                n = 0
+        return Shards(first, count, np.array(low), np.array([*high, len(held)]))
+
+    def place(self, cell: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """The shard of each entry."""
+        return self.first[cell] + (mix(ids.view(np.uint64)) % self.count[cell].astype(np.uint64)).astype(np.int64)
+
+
+def visited_scores(q: np.ndarray, seen: np.ndarray, e: np.ndarray, cell: np.ndarray) -> tuple[np.ndarray, int]:
+    """Inner products of queries with the entries (in order of cells) of the cells they see, else minus infinity; how many."""
+    score, n = np.full((len(q), len(e)), -np.inf), 0
+    begin = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]])) if len(cell) else np.zeros(0, np.int64)
+    for a, b in zip(begin.tolist(), [*begin[1:].tolist(), len(cell)]):
+        who = np.flatnonzero(seen[:, cell[a]])
+        if len(who):
+            score[who, a:b] = q[who] @ e[a:b].T
+            n += len(who) * (b - a)
+    return score, n
+
+
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
 
+def _steps(count: np.ndarray) -> np.ndarray:
+    """0 to count - 1 for each count, one after another."""
+    return np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+
+
 def valid_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """``vec_id, v``: vectors that take part.
 
@@ -97,7 +162,7 @@ def valid_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str =
     return rows.where(F.col("vec_id").isNotNull() & v.isNotNull() & ~F.exists(v, bad) & F.exists(v, lambda x: x != 0))
 
 
-def nearest(vectors: DataFrame, query: str, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", fraction: float = FRACTION, centroids: int = CENTROIDS) -> DataFrame:
+def nearest(vectors: DataFrame, query: str, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", fraction: float = FRACTION, centroids: int | None = None) -> DataFrame:
     """The ``k`` nearest found of every row that satisfies the SQL expression ``query`` over ``vec_id``.
 
     Nearest is largest inner product in double precision, ties to the smaller id.
@@ -115,7 +180,7 @@ def nearest(vectors: DataFrame, query: str, k: int = 20, id_col: str = "vec_id",
     rows = rows.where(F.size("v") == dim).distinct()
     few = Window.partitionBy("v").orderBy("vec_id")
     sample = np.array([r["v"] for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()])
-    books = Codebooks.fit(sample, centroids)
+    books = Codebooks.fit(sample, centroids or centroids_for(rows.count()))
     n_cells = len(books.first) * len(books.second)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,29 +195,40 @@ def nearest(vectors: DataFrame, query: str, k: int = 20, id_col: str = "vec_id",
     enough = min(total, max(math.ceil(fraction * total), 4 * k))
     asked = cut(rows.where(query).groupBy("v").agg(F.min("vec_id").alias("q")))
     n_queries = asked.count()
-    blocks, shards = max(1, math.ceil(n_queries / QUERY_BLOCK)), max(1, math.ceil(total / SHARD))
+    blocks, shards = max(1, math.ceil(n_queries / QUERY_BLOCK)), Shards.of(held)
 
     def traverse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             first, second = books.distances(_matrix(b.column(0), dim))
-            seen = [np.packbits(books.visit(x, y, held, enough)).tobytes() for x, y in zip(first, second)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(seen, pa.binary())], names=["v", "q", "seen"])
+            row, shard, seen = [], [], []
+            for r, (x, y) in enumerate(zip(first, second)):
+                flags = books.visit(x, y, held, enough)
+                for k in np.unique(np.repeat(shards.first[flags], shards.count[flags]) + _steps(shards.count[flags])).tolist():
+                    row.append(r)
+                    shard.append(k)
+                    seen.append(np.packbits(flags[shards.low[k] : shards.high[k]]).tobytes())
+            pick = pa.array(row, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pick), b.column(1).take(pick), pa.array(shard, pa.int32()), pa.array(seen, pa.binary())], names=["v", "q", "shard", "seen"])
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = shards.place(b.column(2).to_numpy().astype(np.int64), b.column(0).to_numpy(zero_copy_only=False))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(at, pa.int32())], names=["vec_id", "v", "cell", "shard"])
 
-    deal = lambda of, n: F.pmod(F.xxhash64(of), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = asked.repartition(max(1, min(n_queries // 64 + 1, 4 * spark.sparkContext.defaultParallelism))).mapInArrow(traverse, "v array<double>, q bigint, seen binary")
-    left = left.select("*", deal("q", blocks).alias("block"), every(shards).alias("shard"))
-    right = entries.select("*", every(blocks).alias("block"), deal("vec_id", shards).alias("shard"))
+    deal = F.pmod(F.xxhash64("q"), F.lit(blocks)).cast("int").alias("block")
+    left = asked.repartition(max(1, min(n_queries // 64 + 1, 4 * spark.sparkContext.defaultParallelism))).mapInArrow(traverse, "v array<double>, q bigint, shard int, seen binary").select("*", deal)
+    right = entries.mapInArrow(place, "vec_id bigint, v array<double>, cell int, shard int").select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
 
     def rerank(queries: pa.Table, shard: pa.Table) -> pa.Table:
+        shard = shard.sort_by("cell")
         ids, cell = shard.column("vec_id").to_numpy(), shard.column("cell").to_numpy()
         e = _matrix(shard.column("v").combine_chunks(), dim) if shard.num_rows else np.zeros((0, dim))
         out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]]
         for at in range(0, queries.num_rows if len(e) else 0, 256):
             part = queries.slice(at, 256)
-            q = _matrix(part.column("v").combine_chunks(), dim)
-            seen = np.unpackbits(np.frombuffer(b"".join(part.column("seen").to_pylist()), np.uint8).reshape(len(q), -1), axis=1, count=n_cells).astype(bool)
-            score = np.where(seen[:, cell], q @ e.T, -np.inf)
+            q, low, high = _matrix(part.column("v").combine_chunks(), dim), *(x[part.column("shard")[0].as_py()] for x in (shards.low, shards.high))
+            seen = np.unpackbits(np.frombuffer(b"".join(part.column("seen").to_pylist()), np.uint8).reshape(len(q), -1), axis=1, count=high - low).astype(bool)
+            score, _ = visited_scores(q, seen, e, cell - low)
             m = min(k + 1, len(e))
             bar = np.partition(score, len(e) - m, axis=1)[:, len(e) - m] - 1e-9
             r, c = np.nonzero((score >= bar[:, None]) & np.isfinite(score))

@@ -206,6 +206,19 @@ def test_heap_visits_pairs_in_order():
         assert set(np.flatnonzero(seen)) == set(order[:n]) and (held[order[:n]].sum() >= enough or n == 30) and (n == 0 or held[order[: n - 1]].sum() < enough)
 
 
+def test_shards_hold_cells_and_only_visited_cells_are_multiplied():
+    r = np.random.default_rng(3)
+    held = np.array([0, 3, 5, 40, 0, 1, 9, 2, 0])
+    shards = imi.Shards.of(held, most=10)
+    cell = np.repeat(np.arange(9), held)
+    at = shards.place(cell, np.arange(len(cell)))
+    assert (shards.low[at] <= cell).all() and (cell < shards.high[at]).all() and len(set(at[cell == 3])) == 4 and shards.count.tolist() == [1, 1, 1, 4, 1, 1, 1, 1, 1]
+    assert all(np.bincount(at[cell != 3]) <= 10)
+    q, e, seen = r.normal(size=(6, 4)), r.normal(size=(len(cell), 4)), r.random((6, 9)) < 0.4
+    score, n = imi.visited_scores(q, seen, e, cell)
+    assert n == seen[:, cell].sum() and np.allclose(score, np.where(seen[:, cell], q @ e.T, -np.inf))
+
+
 # --- 4 language model --------------------------------------------------------------------
 
 
