@@ -102,6 +102,10 @@ def shingles(w):
     return [tuple(w[i : i + 5]) for i in range(len(w) - 4)] if len(w) >= 5 else [tuple(w)] if w else []
 
 
+def similarity(a, b):
+    return sum((a & b).values()) / sum((a | b).values())
+
+
 def brute_contamination(docs, items):
     out = {}
     for d, t in docs:
@@ -112,7 +116,7 @@ def brute_contamination(docs, items):
             if not s or not size:
                 continue
             m = min(size, len(s))
-            x = [decontaminate.similarity(Counter(s[a : a + m]), own) for a in range(len(s) - m + 1)]
+            x = [similarity(Counter(s[a : a + m]), own) for a in range(len(s) - m + 1)]
             good = [k for k, v in enumerate(x) if v >= 0.8]
             if good:
                 out[d, i] = (len(good), round(max(x), 9), good[0])
@@ -150,6 +154,20 @@ def test_hamming_index_misses_nothing():
     apart = np.array([[sum(int(x).bit_count() for x in a ^ b) for b in e] for a in q])
     got = set(zip(*(x.tolist() for x in decontaminate.MultiIndex(e).within(q))))
     assert got == set(zip(*(x.tolist() for x in np.nonzero(apart <= decontaminate.RADIUS)))) and len(got) > 50
+    assert sum(t + 1 for t in decontaminate.NEAR) == decontaminate.RADIUS + 1
+    r = np.random.default_rng(1)
+    q, _ = decontaminate.MultiIndex(e).candidates(r.integers(0, 1 << 63, (200, 2), dtype=np.uint64))
+    assert len(q) < 0.3 * 200 * len(e)  # unrelated pairs that the probes meet
+
+
+def test_similarities_of_all_windows():
+    r = random.Random(4)
+    for _ in range(60):
+        s, own = [r.randrange(12) for _ in range(r.randrange(1, 60))], Counter(r.randrange(12) for _ in range(r.randrange(1, 20)))
+        m = min(sum(own.values()), len(s))
+        kinds = np.array(sorted(own), np.uint64)
+        got = decontaminate.similarities(np.array(s, np.uint64), m, kinds, np.array([own[int(k)] for k in kinds]))
+        assert got.tolist() == [similarity(Counter(s[a : a + m]), own) for a in range(len(s) - m + 1)]
 
 
 def test_fingerprints_stay_within_the_radius():
