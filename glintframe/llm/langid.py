@@ -9,13 +9,13 @@ probabilities are the length-weighted geometric mean over its windows.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import regex
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import chunks, held_out, tuned, utf8_buffers
@@ -28,7 +28,7 @@ MAX_LABELLED = 4_000
 WINDOWS_PER_DOC = 4
 WIDTHS = (2, 3, 4)
 
-_LETTER = re.compile(r"[^\W\d_]").search
+_LETTER = regex.compile(r"\p{L}").search
 
 
 def windows(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -158,12 +158,11 @@ def train_langid(docs: DataFrame, modulus: int = 3, remainder: int = 1, max_labe
     pieces = F.array(*[F.substring(F.col("__text"), (1 + size * F.lit(i) / (WINDOWS_PER_DOC - 1)).cast("int"), F.lit(WINDOW)) for i in range(WINDOWS_PER_DOC)])
     # The pieces are cut before the top-k, which then holds a kilobyte a row, whatever the text's length.
     cut = rows.select("__lang", F.array_distinct(pieces).alias("__p"), F.xxhash64("__id", "__text").alias("__h"))
-    rare = [x for x in langs if counts[x] <= each]  # taken whole, in one job
-    got: list = cut.where(F.col("__lang").isin(rare)).select("__lang", F.explode("__p").alias("p")).collect() if rare else []
-    for lang in langs:
-        if counts[lang] <= each:
-            continue
-        got += cut.where(F.col("__lang") == lang).orderBy("__h", "__p").limit(each).select("__lang", F.explode("__p").alias("p")).collect()
+    # Of a language, rows of small hash: of many, a share by the hash's other bits before the top-k, which then meets a few thousand rows.
+    share = docs.sparkSession.createDataFrame([(x, min(1.0, 8 * each / counts[x])) for x in langs], "__lang string, __share double")
+    cut = cut.join(F.broadcast(share), "__lang").where(F.pmod(F.xxhash64("__h"), F.lit(1 << 30)) < F.col("__share") * (1 << 30))
+    first = cut.withColumn("__r", F.row_number().over(Window.partitionBy("__lang").orderBy("__h", "__p"))).where(F.col("__r") <= each)
+    got = first.select("__lang", F.explode("__p").alias("p")).collect()
     code = {x: i for i, x in enumerate(langs)}
     texts = sorted((code[r["__lang"]], r["p"].encode()[:WINDOW]) for r in got)
     data, off = np.frombuffer(b"".join(t for _, t in texts), np.uint8), np.cumsum([0, *(len(t) for _, t in texts)])

@@ -217,7 +217,9 @@ def fit_gam(x: np.ndarray, y: np.ndarray, rounds: int = 150, rate: float = 0.1,
 def train_quality(docs: DataFrame, labels: DataFrame, target: str = "quality", modulus: int = 5, remainder: int = 0, max_labelled: int = MAX_LABELLED) -> Gam:
     """Learn ``target`` (0 or 1) from the labelled documents outside the held-out fold.
 
-    At most ``max_labelled`` labelled ids are used, those of smallest id hash.
+    At most ``max_labelled`` labels are used, those of smallest id hash, whether or not a
+    document has their id, and of the documents with these ids at most twice as many rows
+    (ids may repeat), again by hash: both bound the sample that one model is fitted on.
     Several labels of one id count by majority (a tie as 1); labels other than 0
     and 1 and null ids are ignored.  Only text features are inputs.
     """

@@ -326,6 +326,31 @@ def test_langid_learns_every_language(spark, monkeypatch):
         assert langid.train_langid(df, max_labelled=most).classes == ["a", "b", "c"]
 
 
+def brute_language(model, text):
+    """Window by window and filter by filter, in plain loops."""
+    w, data = model.weights, (text or "").encode()
+    total = np.zeros(len(model.classes))
+    for at in range(0, len(data), langid.WINDOW):
+        part = data[at : at + langid.WINDOW]
+        e = w["embed"][np.frombuffer(part.ljust(langid.WINDOW, b"\0"), np.uint8)]
+        h = [max(0, max(float(e[i : i + k].ravel() @ w[f"filter{k}"][:, f] + w[f"bias{k}"][f]) for i in range(langid.WINDOW - k + 1))) for k in langid.WIDTHS for f in range(len(w["bias2"]))]
+        z = np.array(h) @ w["dense"] + w["out"]
+        total += len(part) * (z - z.max() - math.log(np.exp(z - z.max()).sum()))
+    p = np.exp(total / max(1, len(data)))
+    p /= p.sum()
+    return (model.classes[int(p.argmax())], float(p.max())) if any(c.isalpha() for c in text or "") else ("und", 0.0)
+
+
+def test_language_equals_brute_force(spark):
+    r = random.Random(6)
+    model = langid.ByteCnn.fresh(["a", "b", "c"], seed=2)
+    rows = [(i, prose(r, r.choice([1, 30, 90]))) for i in range(6)] + [(10, None), (11, "\u00b2 \u00bd \u2167 12"), (12, "\u03a9"), (13, "")]
+    got = collect(langid.identify(spark.createDataFrame(rows, "doc_id long, text string"), model))
+    for d, t in rows:
+        name, score = brute_language(model, t)
+        assert got[d][0]["lang_pred"] == name and got[d][0]["score"] == pytest.approx(score, abs=1e-4)
+
+
 # --- 6 similarity join -------------------------------------------------------------------
 
 
@@ -500,6 +525,35 @@ def test_quality(spark, docs):
     assert kept.columns == [*docs.columns, "quality_score"] and kept.count() == docs.count()
 
 
+def test_quality_equals_brute_force(spark):
+    """Features counted in plain Python, bins looked up one by one and added."""
+    import re
+
+    def count(text):
+        b = (text or "").encode()
+        w, lines = words(text), [x for x in re.findall(rb"[^\n]*\n?", b) if x]
+        low = [lower(x) for x in w]
+        share = lambda chars, of: sum(b.count(c.encode()) for c in chars) / max(of, 1)
+        letters = sum(chr(c).isalpha() and c < 128 for c in b)
+        plain = lambda c: c > 127 or chr(c).isalnum() or chr(c) in ".,;:?\"')-"
+        triples = {tuple(low[i : i + 3]) for i in range(len(w) - 2)}
+        return [
+            math.log1p(len(b)), share("ABCDEFGHIJKLMNOPQRSTUVWXYZ", letters), share("#$%&*+<=>@\\^_`{}~/", len(b)), share("!", len(b)), share("|", len(b)), share("0123456789", len(b)),
+            share(" \t\n\v\f\r", len(b)), share(".,;:?", len(b)), sum(c > 127 for c in b) / max(1, len(b)), sum(len(x.encode()) for x in w) / max(1, len(w)), math.log1p(len(w)),
+            len(set(low)) / max(1, len(w)), len(triples) / (len(w) - 2) if len(w) > 2 else 1, len(set(lines)) / max(1, len(lines)), sum(not plain(x.encode()[-1]) for x in w) / max(1, len(w)),
+        ]
+
+    r = random.Random(2)
+    texts = [None, "", "x", "Ab|c! #1\n\nAb|c! #1\n"] + [prose(r, r.randrange(1, 60)).replace(" ", r.choice([" ", "\n", "! "])) for _ in range(40)]
+    x = np.array([count(t) for t in texts])
+    model = quality_gam.fit_gam(x, (x[:, 10] > 3).astype(float))
+    assert model.pairs and np.allclose(quality_gam.text_features(pa.array(texts)), x)
+    for row, s in zip(x, collect(quality_gam.with_quality(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model)).items()):
+        total = model.intercept + sum(t[sum(e <= v for e in edges)] for edges, t, v in zip(model.edges, model.tables, row))
+        total += sum(t[sum(e <= row[i] for e in model.coarse[i]), sum(e <= row[j] for e in model.coarse[j])] for (i, j), t in zip(model.pairs, model.pair_tables))
+        assert s[1][0]["quality_score"] == pytest.approx(1 / (1 + math.exp(-max(-30, min(30, total)))))
+
+
 def test_gam_learns_an_interaction():
     r = np.random.default_rng(0)
     x = r.random((4000, 3))
