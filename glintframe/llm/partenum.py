@@ -393,7 +393,8 @@ def similarity_join(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
         label = components(links, spent)
         now = member.join(small_enough(open_), "group", "left_semi").join(label.withColumnRenamed("node", "key"), "key", "left")
         now = cut(now.select("group", "key", F.coalesce("label", "key").alias("label")), spent)
-        links = cut(links.union(_linked(_near_mates(now, sets, percent, False).select("a", "b").distinct(), sets, whole, percent, spent)), spent)
+        more = _near_mates(now, sets, percent, False).select("a", "b").distinct().join(pairs.select("a", "b").distinct(), ["a", "b"], "left_anti")
+        links = cut(links.union(_linked(more, sets, whole, percent, spent)), spent)
     label = components(links, made).select(F.col("node").alias("key"), "label")
     discard(spark, spent)
     done = rows.select("id", "n", "key").join(label, "key", "left").select("id", "n", F.coalesce("label", "key").alias("label"))
