@@ -21,8 +21,8 @@ def read_csv(spark: SparkSession, path: str, recording_id: str | None = None) ->
     where = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
     if KEY not in rows.columns:
         rows = rows.select("*", (F.lit(recording_id) if recording_id else where).alias(KEY))
-    numeric = [c for c in rows.columns if c not in (KEY, "section id", "section_id", "recording_id") and c not in TYPES]
-    for c in numeric:  # columns of unknown name are doubles where their text is a number throughout
-        if not rows.where(F.col(f"`{c}`").isNotNull() & F.expr(f"try_cast(`{c}` as double)").isNull()).limit(1).count():
-            rows = rows.withColumn(c, F.col(f"`{c}`").cast("double"))
+    unknown = [c for c in rows.columns if c not in (KEY, "section id", "section_id", "recording_id") and c not in TYPES]
+    if unknown:  # columns of unknown name are doubles where their text is a number throughout: one aggregate over all of them
+        other = rows.agg(*[F.count_if(F.col(f"`{c}`").isNotNull() & F.expr(f"try_cast(`{c}` as double)").isNull()).alias(str(i)) for i, c in enumerate(unknown)]).first()
+        rows = rows.withColumns({c: F.col(f"`{c}`").cast("double") for i, c in enumerate(unknown) if not other[i]})
     return typed(rows)

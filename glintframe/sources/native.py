@@ -46,48 +46,55 @@ def _files(spark: SparkSession, folder: str, glob: str) -> DataFrame:
     return rows.select(F.element_at(parts, -2).alias(KEY), F.element_at(parts, -1).alias("file"), "content")
 
 
-def _first(spark: SparkSession, folder: str, glob: str) -> bytes:
-    row = _files(spark, folder, glob).orderBy("file").select("content").first()
-    if row is None:
-        raise FileNotFoundError(f"no file {glob} in {folder}")
-    return bytes(row["content"])
-
-
 def _structs(spark: SparkSession, folder: str, stem: str, timed: bool) -> DataFrame:
-    """All records of ``stem*.raw``, with the times of ``stem*.time``, recording by recording."""
-    dtype = dtype_of(_first(spark, folder, f"{stem[:3]}*.dtype").decode())
-    names = [n for n in dtype.names if n != "timestamp_ns"]
-    kind = lambda t: "double" if t.kind == "f" else "bigint"
-    schema = ", ".join([f"`{KEY}` string", *(["t bigint"] if timed else []), *[f"`{n}` {kind(dtype[n])}" for n in names]])
-    files = _files(spark, folder, f"{{{stem} ps*,{stem}_200hz*}}").where(F.col("file").endswith(".raw") | F.col("file").endswith(".time"))
+    """All records of ``stem*.raw`` with their place ``__i``, and the times of ``stem*.time``, recording by recording.
+
+    Each recording is read by the dtype file in its own folder; a field that it lacks is null.
+    """
+    files = _files(spark, folder, f"{{{stem} ps*,{stem}_200hz*,{stem[:3]}*.dtype}}")
+    files = files.where(F.col("file").endswith(".raw") | F.col("file").endswith(".time") | F.col("file").endswith(".dtype"))
+    # Different dtypes are as many as there are versions of the recording software.
+    kinds: dict[str, str] = {}
+    texts = files.where(F.col("file").endswith(".dtype")).select(F.decode("content", "UTF-8").alias("t")).distinct().collect()
+    if not texts:
+        raise FileNotFoundError(f"no file {stem[:3]}*.dtype in {folder}")
+    for dtype in (dtype_of(r["t"]) for r in sorted(texts)):
+        for n in dtype.names:
+            if n != "timestamp_ns":
+                kinds[n] = "double" if "double" in (kinds.get(n), "double" if dtype[n].kind == "f" else "bigint") else "bigint"
+    schema = ", ".join([f"`{KEY}` string", "__i bigint", *(["t bigint"] if timed else []), *[f"`{n}` {k}" for n, k in kinds.items()]])
 
     def run(table: pa.Table) -> pa.Table:
         by = dict(zip(table.column("file").to_pylist(), table.column("content").to_pylist()))
         raws = sorted((f for f in by if f.endswith(".raw")), key=lambda f: "200hz" not in f)
+        described = sorted(f for f in by if f.endswith(".dtype"))
+        kind = lambda n: pa.float64() if kinds[n] == "double" else pa.int64()
         if not raws:
-            return pa.table({n: [] for n in [KEY, *(["t"] if timed else []), *names]})
+            empty = {KEY: pa.string(), "__i": pa.int64(), **({"t": pa.int64()} if timed else {}), **{n: kind(n) for n in kinds}}
+            return pa.table({n: pa.array([], t) for n, t in empty.items()})
+        if not described:
+            raise FileNotFoundError(f"{table.column(KEY)[0]}: no dtype file for {raws[0]}")
+        dtype = dtype_of(by[described[0]].decode())
         records = np.frombuffer(by[raws[0]], dtype)
-        out = {KEY: pa.array([table.column(KEY)[0].as_py()] * len(records))}
+        out = {KEY: pa.array([table.column(KEY)[0].as_py()] * len(records), pa.string()), "__i": pa.array(np.arange(len(records)))}
         if timed:
             times = by.get(raws[0].removesuffix(".raw") + ".time")
             if times is None or len(times) != 8 * len(records):
                 raise ValueError(f"{raws[0]}: samples and times differ in number")
             out["t"] = pa.array(np.frombuffer(times, "<i8"))
-        for n in names:
-            out[n] = pa.array(records[n].astype("f8" if dtype[n].kind == "f" else "i8"))
+        for n in kinds:
+            out[n] = pa.array(records[n].astype("f8" if kinds[n] == "double" else "i8")) if n in dtype.names else pa.nulls(len(records), kind(n))
         return pa.table(out)
 
     return files.groupBy(col(KEY)).applyInArrow(run, schema)
 
 
 def _named(df: DataFrame) -> DataFrame:
-    used, out = set(), []
+    """Columns under their names; fields that recordings name differently are one column."""
+    by: dict[str, list[str]] = {}
     for c in df.columns:
-        name = NATIVE_NAMES.get(c, c)
-        if name not in used:
-            out.append(col(c).alias(name))
-        used.add(name)
-    return df.select(*out)
+        by.setdefault(NATIVE_NAMES.get(c, c), []).append(c)
+    return df.select(*[F.coalesce(*map(col, own)).alias(name) if len(own) > 1 else col(own[0]).alias(name) for name, own in by.items()])
 
 
 def read_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -98,13 +105,10 @@ def read_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
         try:
             worn = _structs(spark, folder, "worn", False)
         except FileNotFoundError:
-            return typed(rows)
-        from pyspark.sql import Window
-
-        number = lambda df, by: df.withColumn("__n", F.row_number().over(Window.partitionBy(col(KEY)).orderBy(by)))
-        at = number(rows, col(TS))
-        flags = number(worn.withColumn("__o", F.monotonically_increasing_id()), F.col("__o")).select(col(KEY), "__n", "worn")
-        rows = at.join(flags, [KEY, "__n"], "left").drop("__n")
+            return typed(rows.drop("__i"))
+        # The flag of a sample stands at the same place of its own file, whatever the order of the times.
+        rows = rows.join(worn.select(col(KEY), "__i", "worn"), [KEY, "__i"], "left")
+    rows = rows.drop("__i")
     return typed(rows)
 
 
@@ -115,7 +119,7 @@ def read_events(spark: SparkSession, folder: str, name: str) -> DataFrame:
     rows = _structs(spark, folder, PARTS[name], False)
     if name != "blinks":
         rows = rows.where(F.col("event_type") == (1 if name == "fixations" else 0))
-    rows = _named(rows.drop("event_type"))
+    rows = _named(rows.drop("event_type", "__i"))
     from pyspark.sql import Window
 
     order = Window.partitionBy(col(KEY)).orderBy(col(START), col(END))

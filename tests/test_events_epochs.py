@@ -3,8 +3,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from glintframe import Epochs, Events, Stream, construct_epochs_info, events_to_epochs_info
-from glintframe.operators import concat, epochs, surface, trajectory
-from glintframe.schema import HOMOGRAPHY_COLUMNS, KEY, START, TS
+from glintframe.operators import concat, epochs, pose, surface, trajectory
+from glintframe.plans.ranges import within
+from glintframe.schema import CORNERS, HOMOGRAPHY_COLUMNS, KEY, START, TS
 
 S = 10**9
 
@@ -120,3 +121,59 @@ def test_density_and_scanpath(spark, tables):
     clock = spark.createDataFrame([("r1", int(t)) for t in (0.5 * S, 0.6 * S, 0.7 * S, 3 * S, 9 * S)], f"`{KEY}` string, `{TS}` bigint")
     status = {r[TS]: [x["fixation status"] for x in r["fixations"] or []] for r in trajectory.scanpath(clock, tables["fixations"]).collect()}
     assert status == {int(0.5 * S): ["start"], int(0.6 * S): ["during"], int(0.7 * S): ["end"], 3 * S: ["end"], 9 * S: []}
+
+
+def test_robust_homographies(spark):
+    """One marker of five lies wrong: the least median and the consensus do not follow it."""
+    r = np.random.default_rng(1)
+    want = np.array([[1.2, 0.1, 30], [-0.05, 0.9, -20], [1e-4, 2e-4, 1]])
+    image = r.random((20, 2)) * 800
+    p = np.column_stack([image, np.ones(20)]) @ want.T
+    target = p[:, :2] / p[:, 2:]
+    target[16:] += 90
+    for method in ("lmeds", "ransac"):
+        assert np.allclose(surface.robust_homography(image, target, method), want, atol=1e-6)
+    assert not np.allclose(surface.robust_homography(image, target, "lstsq"), want, atol=1e-2)
+    with pytest.raises(ValueError):
+        surface.robust_homography(image, target, "other")
+    square = np.array([[0, 0], [1, 0], [1, 1], [0, 1]], float)
+    corners = [10.0, 10.0, 30.0, 10.0, 30.0, 50.0, 10.0, 50.0]
+    names = ", ".join(f"`{c} {a} [px]` double" for c in CORNERS for a in "xy")
+    got = surface.find_homographies(spark.createDataFrame([("r1", 5, *corners)], f"`recording id` string, `timestamp [ns]` bigint, {names}"), square).first()
+    assert np.allclose([got[c] for c in HOMOGRAPHY_COLUMNS], [0.05, 0, -0.5, 0, 0.025, -0.25, 0, 0, 1])
+
+
+def test_camera_pose(spark):
+    matrix, bend = np.array([[900.0, 0, 800], [0, 880, 600], [0, 0, 1]]), [-0.13, 0.11, 1e-4, -2e-4, 0, 0.17, 0.05, 0.02]
+    places = [(1, [0.0, 0.0, 0.0], [0.0, 0.0, 1.0], 0.2), (2, [0.5, 0.1, 0.0], [0.0, 0.0, 1.0], 0.1), (3, [0.2, 0.4, 0.3], [0.0, 1.0, 1.0], 0.15)]
+    rows, want = [], {}
+    for f, ids, turn, shift in [(0, (1, 2), [0.1, -0.2, 0.3], [0.1, 0.0, 2.0]), (1, (1, 2, 3), [2.9, 0.1, 0.2], [-0.2, 0.1, 1.5]), (2, (3,), [0.4, 0.3, -0.1], [0.0, 0.1, 1.2])]:
+        turn, shift = np.array(turn), np.array(shift)
+        want[f] = (-pose.rotation(turn).T @ shift, turn)
+        for m, at, n, size in places:
+            if m in ids:
+                p = pose.marker_corners(np.array(at), np.array(n), size) @ pose.rotation(turn).T + shift
+                c = pose._distorted(p[:, :2] / p[:, 2:], bend) * matrix[[0, 1], [0, 1]] + matrix[:2, 2]
+                rows.append(("r1", f, str(m), *c.ravel().tolist()))
+    rows.append(("r1", 3, "99", *[0.0] * 8))
+    names = ", ".join(f"`{c} {a} [px]` double" for c in CORNERS for a in "xy")
+    seen = spark.createDataFrame(rows, f"`recording id` string, `frame index` bigint, `marker id` string, {names}")
+    known = spark.createDataFrame(places, "marker_id int, pos_vec array<double>, norm_vec array<double>, size double")
+    got = {r["frame index"]: r for r in pose.estimate_camera_pose(seen, known, matrix.tolist(), bend).collect()}
+    assert set(got) == {0, 1, 2}
+    for f, (place, turn) in want.items():
+        assert np.allclose(got[f]["camera_pos"], place, atol=1e-5) and np.allclose(got[f]["rotation_vector"], turn, atol=1e-5)
+    with pytest.raises(KeyError):
+        pose.estimate_camera_pose(seen, known.drop("size"), matrix.tolist())
+
+
+def test_intervals_of_any_length(spark):
+    """The default bins give each pair once, for lengths from 0 to nearly all of the time."""
+    r = np.random.default_rng(4)
+    at = [(1, int(t)) for t in r.integers(0, 10**12, 300)] + [(2, 5), (1, None)]
+    ends = [(1, i, int(a), int(a + n)) for i, (a, n) in enumerate(zip(r.integers(0, 10**12, 60), r.choice([0, 5, 10**9, 9 * 10**11], 60)))] + [(1, 99, 7, 3), (3, 98, 0, 9)]
+    points = spark.createDataFrame(at, "`recording id` int, `timestamp [ns]` bigint")
+    held = spark.createDataFrame(ends, "`recording id` int, i int, a bigint, b bigint")
+    got = sorted((x["timestamp [ns]"], x["i"]) for x in within(points, held, "a", "b").collect())
+    assert got == sorted((t, i) for k, t in at if t is not None for j, i, a, b in ends if j == k and a <= t <= b) and len(got) > 100
+    assert within(points, held.limit(0), "a", "b", how="left").count() == len(at)

@@ -1,12 +1,14 @@
 import gzip
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from glintframe import Dataset, Recording, Stream
 from glintframe.operators import video
 from glintframe.schema import NATIVE_NAMES, TS
+from glintframe.sources import native
 
 
 def test_cloud_recording(spark, cloud_dir, frames):
@@ -51,6 +53,27 @@ def test_native_recording_and_export(spark, native_dir, tmp_path):
         r.export_cloud_format(native_dir)
 
 
+def test_native_records_by_place_and_dtype(spark, native_dir):
+    """Times out of order, and a second recording whose software wrote other fields."""
+    t = np.frombuffer((native_dir / "gaze ps1.time").read_bytes(), "<i8")[::-1]
+    (native_dir / "gaze ps1.time").write_bytes(t.tobytes())
+    worn = np.zeros(10, [("worn", "u1")])
+    worn["worn"][:3] = 1
+    (native_dir / "worn ps1.raw").write_bytes(worn.tobytes())
+    other = native_dir.parent / "native-2"
+    other.mkdir()
+    gaze = np.zeros(4, [("timestamp_ns", "<i8"), ("point_x", "<f8"), ("point_y", "<f8")])
+    gaze["point_x"] = [5, 6, 7, 8]
+    (other / "gaze ps1.raw").write_bytes(gaze.tobytes())
+    (other / "gaze ps1.time").write_bytes(np.arange(4, dtype="<i8").tobytes())
+    (other / "gaze.dtype").write_text(str(gaze.dtype.descr))
+    both = native.read_stream(spark, f"file://{native_dir.parent}", "gaze").toPandas()
+    one = both[both["recording id"] == "native-1"].sort_values(TS)
+    assert one["worn"].to_list() == [0] * 7 + [1] * 3 and one["gaze x [px]"].to_list() == [float(i) for i in range(9, -1, -1)]
+    two = both[both["recording id"] == "native-2"].sort_values(TS)
+    assert two["gaze x [px]"].to_list() == [5.0, 6.0, 7.0, 8.0] and two["worn"].isna().all()
+
+
 def test_dataset(spark, cloud_dir):
     (cloud_dir.parent / "broken").mkdir()
     with pytest.warns(UserWarning, match="Skipping"):
