@@ -65,30 +65,101 @@ def homography(image: np.ndarray, surface: np.ndarray) -> np.ndarray:
     return h / h[2, 2]
 
 
-def find_homographies(detections: DataFrame, layout: DataFrame, name: str = "marker name", min_markers: int = 2, key: str = KEY, ts: str = TS) -> DataFrame:
+def _transfer(h: np.ndarray, image: np.ndarray, surface: np.ndarray) -> np.ndarray:
+    """Squared distances of the projected points to their partners."""
+    p = np.column_stack([image, np.ones(len(image))]) @ h.T
+    with np.errstate(divide="ignore", invalid="ignore"):
+        d = ((p[:, :2] / p[:, 2:] - surface) ** 2).sum(1)
+    return np.where(np.isfinite(d), d, np.inf)
+
+
+def robust_homography(image: np.ndarray, surface: np.ndarray, method: str = "lmeds", threshold: float = 3.0, samples: int = 200) -> np.ndarray:
+    """A homography that some wrong point pairs do not move.
+
+    Of homographies of four pairs each (the same draws every time), the one of least
+    median error (``lmeds``) or of most pairs within ``threshold`` (``ransac``) tells the
+    good pairs, and the least-squares fit of these is the result.
+    """
+    n = len(image)
+    if method == "lstsq" or n <= 4:
+        return homography(image, surface)
+    if method not in ("lmeds", "ransac"):
+        raise ValueError("method must be 'lstsq', 'lmeds' or 'ransac'")
+    draw, best, found = np.random.default_rng(0), np.inf, None
+    for _ in range(samples):
+        pick = draw.choice(n, 4, replace=False)
+        try:
+            error = _transfer(homography(image[pick], surface[pick]), image, surface)
+        except np.linalg.LinAlgError:  # the four lie on a line
+            continue
+        worth = np.median(error) if method == "lmeds" else -float((error <= threshold**2).sum())
+        if worth < best:
+            best, found = worth, error
+    if found is None:
+        return homography(image, surface)
+    # A good pair lies within 2.5 deviations, as the median of normal errors tells them.
+    limit = max((2.5 * 1.4826 * (1 + 5 / max(1, n - 4))) ** 2 * best, 1e-9) if method == "lmeds" else threshold**2
+    good = found <= limit
+    return homography(image[good], surface[good]) if good.sum() >= 4 else homography(image, surface)
+
+
+def find_homographies(detections: DataFrame, layout: DataFrame | np.ndarray, name: str = "marker name", min_markers: int = 2, method: str = "lmeds", threshold: float = 3.0, key: str = KEY, ts: str = TS) -> DataFrame:
     """A homography per instant with at least ``min_markers`` markers of the layout.
 
-    The layout (marker name, size, center x, center y) is joined by name; markers that
-    it lacks are left out.  Corners go around from the top left.  A group is one frame's
-    markers, so groups are small.
+    The layout of markers (marker name, size, center x, center y) is joined by name; markers that
+    it lacks are left out.  The layout of a contour is a 4 x 2 array of its corners.  Corners go
+    around from the top left.  ``method``: ``lstsq``, ``lmeds`` or ``ransac``.  A frame's corners are
+    gathered by Spark; Python fits batches of frames.
     """
-    require(layout, "marker name", "size", "center x", "center y")
-    signs = ((-1, -1), (1, -1), (1, 1), (-1, 1))
-    slim = layout.select(col("marker name").alias(name), *[(col(f"center {a}") + s * col("size") / 2).alias(f"s{i}{a}") for i, sxy in enumerate(signs) for a, s in zip("xy", sxy)])
-    rows = detections.select(col(key), col(ts), col(name), *[col(f"{c} {a} [px]").alias(f"i{i}{a}") for i, c in enumerate(CORNERS) for a in "xy"]).join(slim, name)
+    corners = [F.array(*[col(f"{c} {a} [px]").cast("double") for c in CORNERS for a in "xy"]).alias("i")]
+    if isinstance(layout, np.ndarray):
+        if layout.shape != (4, 2):
+            raise ValueError("the layout of a contour is a 4 x 2 array")
+        own = F.array(*[F.lit(float(v)) for v in layout.ravel()]).alias("s")
+        rows, min_markers = detections.select(col(key), col(ts), F.lit("").alias("n"), *corners, own), 1
+    else:
+        require(layout, "marker name", "size", "center x", "center y")
+        signs = ((-1, -1), (1, -1), (1, 1), (-1, 1))
+        slim = layout.select(col("marker name").alias(name), F.array(*[(col(f"center {a}") + s * col("size") / 2).cast("double") for sxy in signs for a, s in zip("xy", sxy)]).alias("s"))
+        rows = detections.select(col(key), col(ts), col(name), *corners).join(slim, name).withColumnRenamed(name, "n")
+    frames = rows.groupBy(col(key), col(ts)).agg(F.sort_array(F.collect_list(F.struct("n", "i", "s"))).alias("m")).where(F.size("m") >= min_markers)
+    frames = frames.select(col(key), col(ts), F.flatten(F.transform("m", lambda x: x["i"])).alias("i"), F.flatten(F.transform("m", lambda x: x["s"])).alias("s"))
     schema = ", ".join([f"`{key}` {dict(detections.dtypes)[key]}", f"`{ts}` bigint", *[f"`{c}` double" for c in HOMOGRAPHY_COLUMNS]])
 
-    def fit(frame):
+    def run(batches):
         import pandas as pd
 
-        frame = frame.sort_values(name)
-        if len(frame) < min_markers:
-            return pd.DataFrame(columns=[key, ts, *HOMOGRAPHY_COLUMNS])
-        part = lambda k: np.stack([frame[[f"{k}{i}x", f"{k}{i}y"]].to_numpy(float) for i in range(4)], 1).reshape(-1, 2)
-        h = homography(part("i"), part("s")).ravel()
-        return pd.DataFrame([[frame[key].iloc[0], frame[ts].iloc[0], *h]], columns=[key, ts, *HOMOGRAPHY_COLUMNS])
+        for b in batches:
+            h = [robust_homography(np.reshape(i, (-1, 2)), np.reshape(s, (-1, 2)), method, threshold).ravel() for i, s in zip(b["i"], b["s"])]
+            yield pd.concat([b[[key, ts]], pd.DataFrame(np.reshape(h, (-1, 9)), columns=list(HOMOGRAPHY_COLUMNS), index=b.index)], axis=1)
 
-    return rows.groupBy(col(key), col(ts)).applyInPandas(fit, schema)
+    return frames.mapInPandas(run, schema)
+
+
+def select_contours(candidates: DataFrame, mode: str = "largest", min_area_ratio: float = 0.01, max_area_ratio: float = 0.98, corners: str = "corners", area: str = "area_ratio", key: str = KEY, ts: str = TS) -> DataFrame:
+    """Of each frame's candidate quadrilaterals the largest, or the most rectangular (``best``), as a detection row.
+
+    A candidate has four ``corners`` (structs x, y, in any order) and its share of the
+    frame's area; others than those within the bounds are left out.  Ties go to the
+    better score or area, then to the corners.
+    """
+    if mode not in ("largest", "best"):
+        raise ValueError("mode must be 'largest' or 'best'")
+    rows = candidates.where(col(area).between(min_area_ratio, max_area_ratio) & (F.size(col(corners)) == 4))
+    rows = rows.select(col(key), col(ts), col(area).alias("area_ratio"), G.ordered_corners(col(corners)).alias("c"))
+    rows = rows.withColumn("score", G.rectangle_score(F.col("c")))
+    rank = F.struct("area_ratio", "score", "c") if mode == "largest" else F.struct("score", "area_ratio", "c")
+    best = rows.groupBy(col(key), col(ts)).agg(F.max(rank).alias("b"))
+    at = [F.col("b.c")[i][a].alias(f"{c} {a} [px]") for i, c in enumerate(CORNERS) for a in "xy"]
+    middle = [(sum((F.col("b.c")[i][a] for i in range(1, 4)), F.col("b.c")[0][a]) / 4).alias(f"center {a} [px]") for a in "xy"]
+    return best.select(col(key), col(ts), F.lit("contour_0").alias("contour name"), *at, *middle, F.col("b.area_ratio").alias("area_ratio"), F.col("b.score").alias("score"))
+
+
+def frame_detections(frames: DataFrame, detections: DataFrame, columns: list[str], key: str = KEY, index: str = "frame index") -> DataFrame:
+    """Every frame with the detections in it, as an array of structs in order (empty for none)."""
+    lists = detections.groupBy(col(key), col(index)).agg(F.sort_array(F.collect_list(F.struct(*[col(c) for c in columns]))).alias("detections"))
+    out = frames.join(lists, [key, index], "left")
+    return out.withColumn("detections", F.coalesce("detections", F.array().cast(lists.schema["detections"].dataType)))
 
 
 def density(df: DataFrame, x: str = "gaze x [px]", y: str = "gaze y [px]", step: float = 10, width: float = G.WIDTH, height: float = G.HEIGHT, key: str = KEY) -> DataFrame:

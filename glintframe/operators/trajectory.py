@@ -66,11 +66,13 @@ def fixation_status(frames: DataFrame, fixations: DataFrame, key: str = KEY, ts:
     return both.withColumn("fixation status", status)
 
 
-def scanpath(frames: DataFrame, fixations: DataFrame, key: str = KEY, ts: str = TS, bin_ns: int | None = None) -> DataFrame:
-    """Every frame with its fixations as an array of structs (empty for none); no optical flow."""
+def scanpath(frames: DataFrame, fixations: DataFrame, key: str = KEY, ts: str = TS, bin_ns: int | None = None, max_fixations: int | None = None) -> DataFrame:
+    """Every frame with its fixations as an array of structs (null for none), at most the first ``max_fixations``; no optical flow."""
     long = fixation_status(frames.select(col(key), col(ts)), fixations, key, ts, bin_ns)
     row = F.struct(col("fixation id"), *[col(c) for c in ("fixation x [px]", "fixation y [px]") if c in long.columns], col("fixation status"))
     lists = long.groupBy(col(key), col(ts)).agg(F.sort_array(F.collect_list(row)).alias("fixations"))
+    if max_fixations is not None:
+        lists = lists.withColumn("fixations", F.slice("fixations", 1, max_fixations))
     return frames.join(lists, [key, ts], "left")
 
 

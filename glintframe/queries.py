@@ -232,6 +232,12 @@ def _(spark, d):
     return short(out, col(TS).alias("t"), r6(F.col("v"), "v"))
 
 
+@query("interp_quadratic")
+def _(spark, d):
+    out = align.interpolate(stream(spark, d), grid(spark, d), ["v"], "quadratic", max_gap_ms=12 * 3_600_000)
+    return short(out, col(TS).alias("t"), r6(F.col("v"), "v"))
+
+
 # --- windows -----------------------------------------------------------------------------
 
 W24 = 24 * HOUR
@@ -457,6 +463,30 @@ def _(spark, d):
     return e.select("id", (F.round(G.rectangle_score(F.array(p(zero, 0.0), p(F.col("w"), 0.0), p(F.col("w"), 5.0), p(zero, 5.0))), 6) + 0.0).alias("score"))
 
 
+@query(
+    "select_contours",
+    """WITH c AS (SELECT event_id // 4 AS f, event_id AS id, (20 + event_id % 7 * 10)::DOUBLE AS w, (20 + event_id % 5 * 10)::DOUBLE AS h, (event_id % 97)::DOUBLE AS x FROM events),
+    d AS (SELECT *, w * h / 10000 AS area, -10::DOUBLE * abs(greatest(w, h) / least(w, h) - 1) AS score FROM c WHERE w * h / 10000 BETWEEN 0.05 AND 0.4)
+    SELECT f, round(area, 6) AS area, round(score, 6) + 0.0 AS score, x AS left_, x + w AS right_, h AS bottom, x + w / 2 AS cx FROM (SELECT *, row_number() OVER (PARTITION BY f ORDER BY score DESC, area DESC, x DESC) AS r FROM d) WHERE r = 1""",
+)
+def _(spark, d):
+    e = samples(spark, d).select(F.lit(1).alias(KEY), F.expr("id div 4").alias(TS), (20 + F.col("id") % 7 * 10).cast("double").alias("w"), (20 + F.col("id") % 5 * 10).cast("double").alias("h"), (F.col("id") % 97).cast("double").alias("x"))
+    p = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    zero, far = F.lit(0.0), F.col("x") + F.col("w")
+    e = e.select(col(KEY), col(TS), F.array(p(far, F.col("h")), p(F.col("x"), zero), p(F.col("x"), F.col("h")), p(far, zero)).alias("corners"), (F.col("w") * F.col("h") / 10000).alias("area_ratio"))
+    out = surface.select_contours(e, "best", 0.05, 0.4)
+    return out.select(col(TS).alias("f"), F.round("area_ratio", 6).alias("area"), (F.round("score", 6) + 0.0).alias("score"), col("top left x [px]").alias("left_"), col("bottom right x [px]").alias("right_"), col("bottom left y [px]").alias("bottom"), col("center x [px]").alias("cx"))
+
+
+@query("frame_detections", "WITH f AS (SELECT event_id AS f FROM events), m AS (SELECT event_id // 3 * 2 AS f, 'm' || event_id % 5 AS name FROM events WHERE event_type <> 'click') SELECT f.f, coalesce(string_agg(name, ',' ORDER BY name), '') AS names FROM f LEFT JOIN m ON f.f = m.f GROUP BY f.f")
+def _(spark, d):
+    e = samples(spark, d)
+    frames = e.select(F.lit(1).alias(KEY), F.col("id").alias("frame index"))
+    seen = e.where("kind <> 'click'").select(F.lit(1).alias(KEY), F.expr("id div 3 * 2").alias("frame index"), F.concat(F.lit("m"), F.col("id") % 5).alias("marker name"))
+    out = surface.frame_detections(frames, seen, ["marker name"])
+    return out.select(col("frame index").alias("f"), F.array_join(F.transform("detections", lambda x: x["marker name"]), ",").alias("names"))
+
+
 @query("distort_points", BASE + ", u AS (SELECT rec, t, (v * 10 - 800) / 900 AS x, ((id % 1200) - 600) / 900.0::DOUBLE AS y FROM s), r AS (SELECT *, x * x + y * y AS r FROM u) SELECT rec, t, round((x * ((1 + r * (-0.1 + r * 0.05)) / (1 + r * 0.2)) + 2 * 0.001 * x * y + 0.002 * (r + 2 * x * x)) * 900 + 800, 6) AS x, round((y * ((1 + r * (-0.1 + r * 0.05)) / (1 + r * 0.2)) + 0.001 * (r + 2 * y * y) + 2 * 0.002 * x * y) * 900 + 600, 6) AS y FROM r")
 def _(spark, d):
     g = gaze(spark, d)
