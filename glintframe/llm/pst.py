@@ -24,6 +24,8 @@ from .exchange import Block, Corpus, grouped, look_up, totals
 
 #: Least log likelihood ratio (natural) of a context that stays.
 MARGIN = 3.0
+#: Steps of a log likelihood ratio.
+UNIT = 1 << 16
 #: Training occurrences that a context of one word, and of two, needs to be a candidate.
 LEAST_ONE, LEAST_TWO = 2, 4
 #: Weight of the parent's distribution, in occurrences.
@@ -100,17 +102,21 @@ def _first(block: Block, told: dict, sums: dict) -> dict[str, np.ndarray]:
 
 
 def _ratio(t: dict, count: str, size: str, parent: np.ndarray, prior: float, pick: np.ndarray) -> np.ndarray:
-    """Log ratio of each picked training occurrence, left out of its own context, to the parent."""
+    """Log ratio of each picked training occurrence, left out of its own context, to the parent, in whole ``UNIT``s.
+
+    Whole numbers add up to the same sum however the corpus is dealt into blocks.
+    """
     c, n, p = t[count][pick], t[size][pick], parent[pick]
-    return np.log((c - 1 + prior * p) / (n - 1 + prior)) - np.log(p)
+    return np.rint((np.log((c - 1 + prior * p) / (n - 1 + prior)) - np.log(p)) * UNIT).astype(np.int64)
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
-    return x.astype(np.float32).view(np.uint32).astype(np.uint64)
+    """Small numbers of either sign as small unsigned ones."""
+    return ((x << 1) ^ (x >> 63)).view(np.uint64)
 
 
 def _unsigned(x: np.ndarray) -> np.ndarray:
-    return x.astype(np.uint32).view(np.float32).astype(np.float64)
+    return (x >> np.uint64(1)).astype(np.int64) ^ -(x & np.uint64(1)).astype(np.int64)
 
 
 def _tell(sums: tuple[np.ndarray, np.ndarray], asks: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -127,7 +133,7 @@ def _mixed_answer(keys: np.ndarray, values: list[np.ndarray]) -> tuple[list[np.n
     distinct, count = totals(keys[counted], values[0][counted])
     out[counted] = look_up(keys[counted], distinct, count)
     distinct, ratio = totals(keys[~counted], _unsigned(values[0][~counted]))
-    out[~counted] = look_up(keys[~counted], distinct, (ratio > MARGIN).astype(np.uint64))
+    out[~counted] = look_up(keys[~counted], distinct, (ratio > MARGIN * UNIT).astype(np.uint64))
     return [out], []
 
 
@@ -145,7 +151,7 @@ def _second_question(t: dict):
     ratios = totals(_context_one(t, train), _ratio(t, "c2", "n1", t["p0"], PRIOR_ONE, train))
     # A context that only held-out documents of the block hold is asked about too.
     rest = np.setdiff1d(np.unique(_context_one(t, one)), ratios[0], assume_unique=True)
-    ratios = (np.concatenate([ratios[0], rest]), np.concatenate([ratios[1], np.zeros(len(rest))]))
+    ratios = (np.concatenate([ratios[0], rest]), np.concatenate([ratios[1], np.zeros(len(rest), np.int64)]))
     two = np.flatnonzero(t["n2"] >= LEAST_TWO)
     grams, counts = totals(_triple(t)[two] | _ONE_BIT, t["train"][two].astype(np.uint64))
     return _tell(ratios, grams, counts), one, two
@@ -174,7 +180,7 @@ def _third_question(t: dict):
     train = two[t["train"][two]]
     ratios = totals(_context_two(t, train), _ratio(t, "c3", "n2", t["parent"], PRIOR_TWO, train))
     rest = np.setdiff1d(np.unique(_context_two(t, two)), ratios[0], assume_unique=True)
-    return _tell((np.concatenate([ratios[0], rest]), np.concatenate([ratios[1], np.zeros(len(rest))])), np.zeros(0, np.uint64), np.zeros(0, np.uint64))
+    return _tell((np.concatenate([ratios[0], rest]), np.concatenate([ratios[1], np.zeros(len(rest), np.int64)])), np.zeros(0, np.uint64), np.zeros(0, np.uint64))
 
 
 def _ask_third(block: Block, told: dict, sums: dict) -> tuple[np.ndarray, list[np.ndarray]]:
