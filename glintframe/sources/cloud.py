@@ -11,16 +11,18 @@ from ..schema import KEY, TYPES, typed
 FILES = {"gaze": "gaze.csv", "imu": "imu.csv", "eye_states": "3d_eye_states.csv", "blinks": "blinks.csv", "fixations": "fixations.csv", "saccades": "saccades.csv", "events": "events.csv"}
 
 
-def read_csv(spark: SparkSession, path: str, recording_id: str | None = None) -> DataFrame:
-    """One file, a folder or a pattern of files with headers; types by column name, not by inference.
+def read_csv(spark: SparkSession, path: str | list[str], recording_id: str | None = None, by_folder: bool = False) -> DataFrame:
+    """One file, a folder, a pattern or a list of files with the same header; types by column name, not by inference.
 
     A ``recording id`` column is kept; without one the key is ``recording_id`` or else
     the folder of each file, so a pattern over many recordings reads them all.
+    ``by_folder``: the folder is the key in any case.
     """
-    rows = spark.read.option("header", True).option("enforceSchema", False).csv(str(path))
-    where = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
-    if KEY not in rows.columns:
-        rows = rows.select("*", (F.lit(recording_id) if recording_id else where).alias(KEY))
+    rows = spark.read.option("header", True).option("enforceSchema", False).csv(path if isinstance(path, list) else str(path))
+    # Spark gives the path as a URI, in which a plus sign stands for itself.
+    where = F.url_decode(F.replace(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2), F.lit("+"), F.lit("%2B")))
+    if by_folder or KEY not in rows.columns:
+        rows = rows.select(*[F.col(f"`{c}`") for c in rows.columns if c != KEY], (F.lit(recording_id) if recording_id else where).alias(KEY))
     unknown = [c for c in rows.columns if c not in (KEY, "section id", "section_id", "recording_id") and c not in TYPES]
     if unknown:  # columns of unknown name are doubles where their text is a number throughout: one aggregate over all of them
         other = rows.agg(*[F.count_if(F.col(f"`{c}`").isNotNull() & F.expr(f"try_cast(`{c}` as double)").isNull()).alias(str(i)) for i, c in enumerate(unknown)]).first()

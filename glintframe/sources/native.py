@@ -40,13 +40,13 @@ def dtype_of(text: str) -> np.dtype:
     return np.dtype(ast.literal_eval(text))
 
 
-def _files(spark: SparkSession, folder: str, glob: str) -> DataFrame:
-    rows = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(str(folder))
+def _files(spark: SparkSession, folder: str | list[str], glob: str) -> DataFrame:
+    rows = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(folder if isinstance(folder, list) else str(folder))
     parts = F.split("path", "/")
     return rows.select(F.element_at(parts, -2).alias(KEY), F.element_at(parts, -1).alias("file"), "content")
 
 
-def _structs(spark: SparkSession, folder: str, stem: str, timed: bool) -> DataFrame:
+def _structs(spark: SparkSession, folder: str | list[str], stem: str, timed: bool) -> DataFrame:
     """All records of ``stem*.raw`` with their place ``__i``, and the times of ``stem*.time``, recording by recording.
 
     Each recording is read by the dtype file in its own folder; a field that it lacks is null.
@@ -97,8 +97,8 @@ def _named(df: DataFrame) -> DataFrame:
     return df.select(*[F.coalesce(*map(col, own)).alias(name) if len(own) > 1 else col(own[0]).alias(name) for name, own in by.items()])
 
 
-def read_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """``gaze``, ``imu`` or ``eye_states`` of one recording or of a folder of them."""
+def read_stream(spark: SparkSession, folder: str | list[str], name: str) -> DataFrame:
+    """``gaze``, ``imu`` or ``eye_states`` of one recording, of a folder of them, or of a list of folders."""
     rows = _named(_structs(spark, folder, PARTS[name], True).withColumnRenamed("t", TS))
     if name == "gaze":
         rows = rows.withColumns({"azimuth [deg]": azimuth(col("gaze x [px]")), "elevation [deg]": elevation(col("gaze y [px]"))})
@@ -112,7 +112,7 @@ def read_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return typed(rows)
 
 
-def read_events(spark: SparkSession, folder: str, name: str) -> DataFrame:
+def read_events(spark: SparkSession, folder: str | list[str], name: str) -> DataFrame:
     """``blinks``, ``fixations``, ``saccades`` (with ids from 1) or ``events`` (messages)."""
     if name == "events":
         return _messages(spark, folder)
@@ -142,7 +142,7 @@ def _messages(spark: SparkSession, folder: str) -> DataFrame:
     return typed(files.groupBy(col(KEY)).applyInArrow(run, f"`{KEY}` string, `{TS}` bigint, name string, type string"))
 
 
-def frame_clock(spark: SparkSession, folder: str, glob: str = "Neon Scene Camera*.time") -> DataFrame:
+def frame_clock(spark: SparkSession, folder: str | list[str], glob: str = "Neon Scene Camera*.time") -> DataFrame:
     """Frame instants and 0-based indices of a video, from its times alone."""
     files = _files(spark, folder, glob)
 

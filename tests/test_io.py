@@ -9,6 +9,7 @@ from glintframe import Dataset, Recording, Stream
 from glintframe.operators import video
 from glintframe.schema import NATIVE_NAMES, TS
 from glintframe.sources import native
+from glintframe.sources.files import Place
 
 
 def test_cloud_recording(spark, cloud_dir, frames):
@@ -120,3 +121,36 @@ def test_optional_parts():
         video.opencv()
     assert NATIVE_NAMES["pupil_diameter_left_mm"] == "pupil diameter left [mm]" and NATIVE_NAMES["eyeball_center_left_x"] == "eyeball center left x [mm]" and NATIVE_NAMES["eyelid_aperture_left_mm"] == "eyelid aperture left [mm]"
     assert NATIVE_NAMES["eyelid_angle_top_left"] == "eyelid angle top left [rad]" and NATIVE_NAMES["accel_x"] == "acceleration x [g]" and NATIVE_NAMES["angular_velocity_z"] == "gyro z [deg/s]" and len(NATIVE_NAMES) == 49
+
+
+def test_dataset_reads_many_recordings_together(spark, cloud_dir, native_dir):
+    """Two cloud recordings with different columns and a native one, in folders with spaces, as one table."""
+    top = cloud_dir.parent
+    other = top / "rec 2+%"
+    other.mkdir()
+    (other / "info.json").write_text(json.dumps({"recording_id": "r2", "start_time": 1, "duration": 2}))
+    (other / "gaze.csv").write_text("recording id,timestamp [ns],gaze x [px],gaze y [px],extra\nx,3,1.5,2.5,9\nx,5,3.5,4.5,8\n")
+    native_dir.rename(top / "native 1")
+    d = Dataset(spark, f"file://{top}")
+    assert [r.recording_id for r in d.recordings] == ["n1", "r2", "r1"] and d[0].info["wearer_name"] == "Someone"
+    gaze = d.table("gaze").df
+    assert {r[0]: r[1] for r in gaze.groupBy("recording id").count().collect()} == {"n1": 10, "r1": 199, "r2": 2}
+    assert gaze.where("`recording id` = 'r2'").agg(F.sum("extra")).first()[0] == 17
+    with pytest.warns(UserWarning, match="has no imu"):
+        imu = d.table("imu")
+    assert imu.df.select("recording id").distinct().count() == 2
+    (top.parent / "empty").mkdir()
+    with pytest.raises(ValueError, match="no recording has"):
+        Dataset(spark, top.parent / "empty").table("imu")
+
+
+def test_place(spark, tmp_path):
+    here = Place(spark, f"file://{tmp_path}") / "a b"
+    here.mkdir()
+    (here / "x.txt").write_text("ä\nb")
+    assert (here / "x.txt").read_text() == "ä\nb" and (here / "x.txt").first_line() == "ä" and here.names() == ["x.txt"] and here.parent.names(folders=True) == ["a b"]
+    (here / "x.txt").copy_to(here / "y.txt")
+    (here / "t.csv").write_csv(spark.range(3).where("id < 0"), header=True)
+    (here / "t.csv").write_csv(spark.range(3).orderBy("id"), header=True)
+    assert (tmp_path / "a b" / "t.csv").read_text().split() == ["id", "0", "1", "2"]
+    assert sorted(p.name for p in (tmp_path / "a b").iterdir()) == ["t.csv", "x.txt", "y.txt"] and not (here / "z").is_file()
