@@ -41,6 +41,6 @@ def anchored(codes: np.ndarray, first: np.ndarray, width: int, gram: int) -> tup
 
 
 def gram_hashes(prefix: np.ndarray, gram: int) -> np.ndarray:
-    """``range_hash`` of every ``gram`` consecutive codes."""
+    """Hashes of every ``gram`` consecutive codes: good enough to choose a place, not to tell texts apart."""
     n = len(prefix) - gram
     return mix((prefix[gram:] - prefix[:n]) * POWERS.down[:n] + np.uint64(gram))

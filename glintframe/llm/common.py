@@ -168,9 +168,29 @@ def prefix_hash(codes: np.ndarray) -> np.ndarray:
     return out
 
 
+#: Codes that one polynomial spans.  Modulo 2**64 it is the same for some texts of 512 codes and more, whatever the base.
+PIECE = 64
+
+
+def _polynomial(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    return (prefix[end] - prefix[start]) * POWERS.down[start]
+
+
 def range_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hashes of codes[start:end]; equal ranges have equal hashes wherever they stand."""
-    return mix((prefix[end] - prefix[start]) * POWERS.down[start] + (end - start).astype(np.uint64))
+    """Hashes of codes[start:end]; equal ranges have equal hashes wherever they stand.
+
+    A long range is hashed in pieces of ``PIECE`` codes, each mixed into the next.
+    """
+    size = end - start
+    out = mix(_polynomial(prefix, start, np.minimum(end, start + PIECE)) + size.astype(np.uint64))
+    more = np.flatnonzero(size > PIECE)
+    at = start[more] + PIECE
+    while len(more):
+        out[more] = mix(out[more] * np.uint64(_BASE) + _polynomial(prefix, at, np.minimum(end[more], at + PIECE)))
+        at = at + PIECE
+        left = at < end[more]
+        more, at = more[left], at[left]
+    return out
 
 
 def byte_codes(data: np.ndarray) -> np.ndarray:

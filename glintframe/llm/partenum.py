@@ -105,7 +105,7 @@ def signatures(sets: list[np.ndarray], bands: Bands) -> tuple[np.ndarray, np.nda
     sig, vertex, part, light, spare = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)], np.zeros((len(sets), 2), np.int64)
     for band in np.unique(band_of).tolist():
         members = np.flatnonzero(band_of == band)
-        for some in np.array_split(members, max(1, int(sizes[members].sum()) >> 18)):
+        for some in np.array_split(members, min(len(members), 1 + (int(sizes[members].sum()) >> 18))):
             own, m = np.concatenate([sets[v] for v in some]), len(some)
             owner = np.repeat(np.arange(m), sizes[some])
             for tag in (0, 1):

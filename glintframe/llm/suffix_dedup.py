@@ -80,12 +80,12 @@ def _answer_anchors(keys: np.ndarray, values: list[np.ndarray]) -> tuple[list[np
     Windows are sent for anchors with several runs; a run that repeats is sent by one block only.
     """
     run, many = values
-    pair = mix(keys ^ mix(run))
-    order, begin, _ = grouped(pair)
-    size = np.diff(np.append(begin, len(pair)))
-    repeats = np.zeros(len(pair), bool)
+    order = np.lexsort((run, keys))
+    begin = np.flatnonzero(np.concatenate([[True], (np.diff(keys[order]) > 0) | (run[order][1:] != run[order][:-1])])[: len(keys)])
+    size = np.diff(np.append(begin, len(keys)))
+    repeats = np.zeros(len(keys), bool)
     repeats[order] = np.repeat((size > 1) | (np.maximum.reduceat(many[order], begin) > 0), size) if len(begin) else False
-    lead = np.zeros(len(pair), bool)
+    lead = np.zeros(len(keys), bool)
     lead[order[begin]] = True
     _, inverse, runs = np.unique(keys, return_inverse=True, return_counts=True)
     mixed = np.bincount(inverse, lead, len(runs))[inverse] > 1
