@@ -73,13 +73,20 @@ def op10_rlz_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rlz_digests(_read(spark, sf_dir, "documents"))
 
 
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .collocations import collocations
+
+    return collocations(_read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
+    from .collocations import COLLOCATION_SQL
     from .decontaminate import CONTAMINATION_SQL
     from .rlz import RLZ_SQL
     from .warc import PAGE_DERIVATIVES_SQL
 
-    return {"op1_warc_derivatives": PAGE_DERIVATIVES_SQL, "op2_simhash_decontamination": CONTAMINATION_SQL, "op10_rlz_dedup": RLZ_SQL}
+    return {"op1_warc_derivatives": PAGE_DERIVATIVES_SQL, "op2_simhash_decontamination": CONTAMINATION_SQL, "op10_rlz_dedup": RLZ_SQL, "op12_phrase_collocations": COLLOCATION_SQL}
