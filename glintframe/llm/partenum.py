@@ -10,16 +10,10 @@ lets a set drop signatures that hold next to nothing or that very many sets shar
 as long as they lie in at most ``spare`` of its parts; the few sets with more of
 them meet in the large groups after all.  Candidates are pruned by parity sketches
 (never more apart than the sets are) and then compared exactly.
-
-Equal sets are one vertex.  Groups are not expanded into all pairs: of each group
-only as many near pairs are compared exactly as would join all mates that may be
-linked at all.  If all of them are links, no other pair can join anything; only in
-groups where one is none, all near pairs of different components are compared.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
 
@@ -28,16 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, discard, lower_ascii, mix, prefix_hash, range_hash, shuffle_width, small_enough, trim, tuned, window_hashes, word_bounds, word_hashes
-from .components import components
+from .common import cut, discard, mix, tuned
 from .exchange import Block, Corpus, pack, unpack
+from .linking import classes, links_of, sketch, vertices
 
 #: Vertices that share a signature before it counts as crowded.
 CROWD = 48
-#: Members of a group that are compared at once; a larger group makes several blocks.
-UNIT = 2048
-#: 64-bit words of a parity sketch.
-SKETCH = 8
 #: Text of a block: less than elsewhere, as signatures of a set take more room than its text.
 BLOCK = 8 << 20
 #: Signatures have 48 bits: a chance group costs a comparison of sketches and gives no link.
@@ -130,46 +120,12 @@ def signatures(sets: list[np.ndarray], bands: Bands) -> tuple[np.ndarray, np.nda
     return np.concatenate(sig), np.concatenate(vertex), np.concatenate(part), np.concatenate(light), spare
 
 
-def sketch(own: np.ndarray) -> np.ndarray:
-    """Parities of the elements by hash bit: two sketches differ in at most as many bits as the sets in elements."""
-    odd = np.bincount((mix(own) >> np.uint64(55)).astype(np.int64), minlength=64 * SKETCH) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64)
-
-
-def _sets(block: Block, words: int) -> Iterator[np.ndarray]:
-    """By row: sorted distinct hashes of the n-grams; a shorter text is one n-gram."""
-    for i, j, offsets, data in block.parts():
-        starts, ends, first = word_bounds(data := lower_ascii(data), offsets)
-        codes = word_hashes(data, starts, ends)
-        at, grams = window_hashes(codes, first, words)
-        cut_ = np.searchsorted(at, first)
-        prefix = prefix_hash(codes)
-        for r in range(j - i):
-            a, b = first[r], first[r + 1]
-            if 0 < b - a < words:
-                yield range_hash(prefix, np.array([a]), np.array([b]))
-            else:
-                yield np.unique(grams[cut_[r] : cut_[r + 1]])
-
-
-def _vertices(block: Block, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Set keys and sizes by row; distinct keys in order (the vertices) and the set of each."""
-    keys, sizes, held = np.zeros(len(block.ids), np.uint64), np.zeros(len(block.ids), np.int64), {}
-    for r, own in enumerate(_sets(block, words)):
-        sizes[r] = len(own)
-        if len(own):
-            keys[r] = mix(np.array([mix(own).sum(dtype=np.uint64) + np.uint64(len(own))]))[0]
-            held.setdefault(int(keys[r]), own)
-    distinct = sorted(held)
-    return keys, sizes, np.array(distinct, np.uint64), [held[k] for k in distinct]
-
-
 def _of_block(block: Block, words: int, bands: Bands):
     """All vertices' signatures as (signature, vertex) pairs in order, with the (tag, part) of each.
 
     Then the spare parts by vertex and tag, and the vertex and (tag, part) of every light signature, dropped or not.
     """
-    keys, sizes, distinct, sets = _vertices(block, words)
+    keys, sizes, distinct, sets = vertices(block, words)
     sig, vertex, part, light, spare = signatures(sets, bands)
     # A signature stays unless it is light and its set can do without: at most `spare` light parts for its tag.
     tag = part >> 32
@@ -252,109 +208,6 @@ def _apply(words: int, percent: int):
     return apply
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, whole: DataFrame, percent: int, made: list[str]) -> DataFrame:
-    """Of candidate pairs (``a`` < ``b`` keys), those that are similar enough, exactly.
-
-    ``sets`` holds sketches, ``whole`` the elements, which only sets of pairs that pass the sketches need.
-    """
-    left = pairs.join(sets.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), "a")
-    both = left.join(sets.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb")), "b")
-    apart = sum((F.bit_count(F.col("sa")[i].bitwiseXOR(F.col("sb")[i])) for i in range(1, SKETCH)), F.bit_count(F.col("sa")[0].bitwiseXOR(F.col("sb")[0])))
-    near = cut(both.where((apart * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))).select("a", "b", "na", "nb"), made)
-    needed = cut(near.select(F.explode(F.array("a", "b")).alias("key")).distinct(), made)
-    elements = cut(whole.join(small_enough(needed), "key", "left_semi").dropDuplicates(["key"]), made)
-    near = near.join(elements.select(F.col("key").alias("b"), F.col("elements").alias("eb")), "b").join(elements.select(F.col("key").alias("a"), F.col("elements").alias("ea")), "a")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b, na, nb, ea, eb = (c.to_pylist() for c in batch.columns)
-            keep, last, own = [], None, None
-            for k in range(len(a)):
-                if a[k] != last:
-                    last, own = a[k], unpack(ea[k])
-                both = np.sort(np.concatenate([own, unpack(eb[k])]))
-                shared = int((both[1:] == both[:-1]).sum())
-                if 100 * shared >= percent * (na[k] + nb[k] - shared):
-                    keep.append(k)
-            pick = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pick), batch.column(1).take(pick)], names=["a", "b"])
-
-    return near.select("a", "b", "na", "nb", "ea", "eb").mapInArrow(run, "a bigint, b bigint")
-
-
-def _forest(label_a: np.ndarray, label_b: np.ndarray, apart: np.ndarray) -> np.ndarray:
-    """Of candidate pairs, nearest first, those that join labels not yet joined by an earlier one."""
-    up: dict[int, int] = {}
-
-    def root(x: int) -> int:
-        while (y := up.get(x, x)) != x:
-            up[x] = up.get(y, y)
-            x = y
-        return x
-
-    keep, left = [], len(np.unique(np.concatenate([label_a, label_b]))) - 1
-    order = np.argsort(apart, kind="stable")
-    for k, a, b in zip(order.tolist(), label_a[order].tolist(), label_b[order].tolist()):
-        if (a := root(a)) != (b := root(b)):
-            up[a] = b
-            keep.append(k)
-            if len(keep) == left:
-                break
-    return np.array(keep, np.int64)
-
-
-def _near_mates(member: DataFrame, sets: DataFrame, percent: int, forest: bool) -> DataFrame:
-    """Of group mates (``group, key, label``), pairs (``group, a, b``) of different labels whose sketches allow a link.
-
-    With ``forest`` only so many, near ones first, that they join all labels of a unit
-    that such pairs join at all.  Sketches are compared inside the tasks, in strips, so
-    neither rows nor memory follow the square of a group.  A large group is dealt into
-    blocks, and every pair of blocks is a unit.
-    """
-    spark = member.sparkSession
-    size = member.groupBy("group").agg(F.count("*").alias("n")).where("n > 1").select("group", F.ceil(F.col("n") / UNIT).cast("int").alias("blocks"))
-    rows = member.join(size, "group").join(sets.select("key", "n", "sketch"), "key")
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
-    # Small units share buckets; a unit of a large group is a bucket of its own.
-    bucket = F.xxhash64(F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("group"), F.lit(8 * shuffle_width(spark)))).otherwise(F.xxhash64("group", "i", "j")))
-    rows = rows.withColumn("bucket", bucket)
-
-    def compare(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("group", "ascending"), ("i", "ascending"), ("j", "ascending"), ("key", "ascending")])
-        group, i, j, own, key, label, n = (table.column(c).to_numpy() for c in ("group", "i", "j", "own", "key", "label", "n"))
-        sketches = pa.concat_arrays(table.column("sketch").chunks).flatten().to_numpy().view(np.uint64).reshape(-1, SKETCH)
-        begin = np.flatnonzero(np.concatenate([[True], (group[1:] != group[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))
-        out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)]]
-        for x, y in zip(begin, np.append(begin[1:], len(group))):
-            root = np.unique(label[x:y], return_inverse=True)[1]
-            for share in (2, 1) if forest else (1,):  # at most half as far apart as a link may be, then the rest
-                for r in range(x, y, 128):
-                    left, right = slice(r, min(r + 128, y)), slice(x, y)
-                    ok = (key[left, None] < key[None, right]) & (root[left.start - x : left.stop - x, None] != root[None])
-                    if i[x] != j[x]:
-                        ok &= own[left, None] != own[None, right]
-                    total = n[left, None] + n[None, right]
-                    ok &= 100 * np.minimum(n[left, None], n[None, right]) >= percent * np.maximum(n[left, None], n[None, right])
-                    a, b = np.nonzero(ok)
-                    if not len(a):
-                        continue
-                    apart = sum(np.bitwise_count(sketches[r + a, k] ^ sketches[x + b, k]).astype(np.int64) for k in range(SKETCH))
-                    near = share * apart * (100 + percent) <= total[a, b] * (100 - percent)
-                    apart, a, b = (apart / total[a, b])[near], a[near] + r - x, b[near]
-                    if forest and len(a):
-                        k = _forest(root[a], root[b], apart)
-                        a, b = a[k], b[k]
-                        for p, q in zip(a, b):
-                            root[root == root[p]] = root[q]
-                    out[0].append(x + a)
-                    out[1].append(x + b)
-        a, b = map(np.concatenate, out)
-        return trim(pa.table({"group": group[a], "a": key[a], "b": key[b]}))
-
-    return rows.groupBy("bucket").applyInArrow(compare, "group bigint, a bigint, b bigint")
-
-
 def similarity_join(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", made: list[str] | None = None) -> DataFrame:
     """Link documents whose sets of ``words``-grams have Jaccard similarity of ``percent`` hundredths or more.
 
@@ -384,23 +237,10 @@ def similarity_join(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     sets, whole = cut(named.dropDuplicates(["key"]).select("key", "n", "sketch"), spent), named.select("key", "elements")
     named = named.select("vertex", "key", "crowds")
     member = groups.join(named.select("vertex", "key"), "vertex").select("group", "key").union(named.select(F.explode("crowds").alias("group"), "key"))
-    member = cut(member.distinct(), spent)
-    pairs = cut(_near_mates(member.withColumn("label", F.col("key")), sets, percent, True), spent)
-    links = cut(_linked(pairs.select("a", "b").distinct(), sets, whole, percent, spent), spent)
-    # Only a group with a near pair that is no link can hold a link that joins what is still apart.
-    open_ = cut(pairs.join(links, ["a", "b"], "left_anti").select("group").distinct(), spent)
-    if not open_.isEmpty():
-        label = components(links, spent)
-        now = member.join(small_enough(open_), "group", "left_semi").join(label.withColumnRenamed("node", "key"), "key", "left")
-        now = cut(now.select("group", "key", F.coalesce("label", "key").alias("label")), spent)
-        more = _near_mates(now, sets, percent, False).select("a", "b").distinct().join(pairs.select("a", "b").distinct(), ["a", "b"], "left_anti")
-        links = cut(links.union(_linked(more, sets, whole, percent, spent)), spent)
-    label = components(links, made).select(F.col("node").alias("key"), "label")
+    links = links_of(cut(member.distinct(), spent), sets, whole, percent, spent)
+    out = classes(rows, links, made)
     discard(spark, spent)
-    done = rows.select("id", "n", "key").join(label, "key", "left").select("id", "n", F.coalesce("label", "key").alias("label"))
-    least = done.where("n > 0").groupBy("label").agg(F.min("id").alias("component_id"))
-    out = done.join(least.withColumn("n0", F.lit(True)), (done["label"] == least["label"]) & (done["n"] > 0), "left")
-    return out.select(done["id"].alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component_id", done["id"]).alias("component_id"))
+    return out
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

@@ -79,6 +79,12 @@ def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(_read(spark, sf_dir, "documents"))
 
 
+def op13_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .forest import forest_duplicates
+
+    return forest_duplicates(_read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
