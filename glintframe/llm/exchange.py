@@ -176,12 +176,15 @@ Answering = Callable[[np.ndarray, list[np.ndarray]], tuple[list[np.ndarray], lis
 
 
 def _edges(n: int, parts: np.ndarray) -> np.ndarray:
-    """The first key of each of these owners (``n`` for the end is no key and has none)."""
-    return np.array([(int(o) << 64) // n for o in parts], np.uint64)
+    """The first key of each of these owners (``n`` for the end is no key and has none).
+
+    Keys that share their leading 48 bits lie with one owner.
+    """
+    return np.array([(int(o) << 48) // n << 16 for o in parts], np.uint64)
 
 
 def _bounds(keys: np.ndarray, n: int, low: int = 0, high: int | None = None, step: int = 1) -> np.ndarray:
-    """Where the shares of the sorted keys of owners ``low`` to ``high`` begin, ``step`` owners together; owner o has those from o * 2**64 / n."""
+    """Where the shares of the sorted keys of owners ``low`` to ``high`` begin, ``step`` owners together; owner o has those from about o * 2**64 / n."""
     return np.concatenate([[0], np.searchsorted(keys, _edges(n, np.arange(low + step, n if high is None else high, step))), [len(keys)]]).astype(np.int64)
 
 
@@ -236,6 +239,10 @@ class Corpus:
         self.blocks = dealt.mapInArrow(lambda batches: _bundles(batches, n), "block int, body binary").repartition(self.width, "block")
         self.answers: DataFrame | None = None
 
+    def each(self, run: Callable[[Block], pa.Table], schema: str) -> DataFrame:
+        """Apply ``run`` to every block, without any answers."""
+        return self.blocks.groupBy("block").applyInArrow(lambda t: trim(run(_unbundled(t))), schema)
+
     def _each(self, run: Callable[[Block, dict, dict], pa.Table], schema: str) -> DataFrame:
         """Apply ``run`` to every block with the answers of all rounds so far."""
         if self.answers is None:

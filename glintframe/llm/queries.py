@@ -73,6 +73,14 @@ def op10_rlz_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rlz_digests(_read(spark, sf_dir, "documents"))
 
 
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .alignment import alignment_digests
+
+    return alignment_digests(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .collocations import collocations
 
