@@ -1,12 +1,13 @@
 """Recordings in the native layout: packed structs, nanosecond times, dtype literals.
 
-Files are read by Spark's ``binaryFile`` source, so any store that Spark reads will
-do; a recording's parts are one task's work, many recordings are many tasks.
+Where Python tasks can reach the store, parts are read range by range through the
+data source of ``records``.  In any other store that Spark reads, its ``binaryFile``
+source gives whole files: a recording is one task's work then.
 """
 
 from __future__ import annotations
 
-import ast
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,6 +18,8 @@ from pyspark.sql import functions as F
 from ..functions.geometry import azimuth, elevation
 from ..plans.neighbours import col
 from ..schema import DURATION, END, KEY, NATIVE_NAMES, START, TS, typed
+from .records import PLACE, dtype_of, registered
+from .stores import reachable
 
 # Names of the parts, and the fields of the calibration file.
 PARTS = {"gaze": "gaze", "imu": "imu", "eye_states": "eye_state", "blinks": "blinks", "fixations": "fixations", "saccades": "fixations"}
@@ -35,11 +38,6 @@ def calibration(data: bytes) -> dict:
     return {"camera_matrix": c["scene_camera_matrix"].tolist(), "distortion_coefficients": [c["scene_distortion_coefficients"].tolist()], "serial_number": c["serial"].decode()}
 
 
-def dtype_of(text: str) -> np.dtype:
-    """The dtype that a file's literal describes."""
-    return np.dtype(ast.literal_eval(text))
-
-
 def _files(spark: SparkSession, folder: str | list[str], glob: str) -> DataFrame:
     rows = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(folder if isinstance(folder, list) else str(folder))
     parts = F.split("path", "/")
@@ -97,29 +95,56 @@ def _named(df: DataFrame) -> DataFrame:
     return df.select(*[F.coalesce(*map(col, own)).alias(name) if len(own) > 1 else col(own[0]).alias(name) for name, own in by.items()])
 
 
-def read_stream(spark: SparkSession, folder: str | list[str], name: str) -> DataFrame:
-    """``gaze``, ``imu`` or ``eye_states`` of one recording, of a folder of them, or of a list of folders."""
+def _records(spark: SparkSession, folder: str | list[str], stem: str, timed: bool, columns: list[str] | None = None, records: int | None = None) -> DataFrame | None:
+    """A part through the records source, or None where Python tasks cannot reach the store."""
+    folders = [str(f) for f in (folder if isinstance(folder, list) else [folder])]
+    if not all(map(reachable, folders)):
+        return None
+    options = {"folders": json.dumps(folders), "part": stem, "timed": "true" if timed else "false"}
+    options |= {"columns": json.dumps(columns)} if columns is not None else {}
+    options |= {"records": str(records)} if records else {}
+    return registered(spark).read.format("glintframe_records").options(**options).load()
+
+
+def read_stream(spark: SparkSession, folder: str | list[str], name: str, columns: list[str] | None = None, records: int | None = None) -> DataFrame:
+    """``gaze``, ``imu`` or ``eye_states`` of one recording, of a folder of them, or of a list of folders.
+
+    ``columns``: the only columns to be decoded besides recording and instant; azimuth and
+    elevation of gaze come with its coordinates.  ``records``: structs of one task.
+    """
+    asked = None if columns is None else [TS, *columns]
+    rows = _records(spark, folder, PARTS[name], True, asked, records)
+    if rows is None:
+        rows = _whole_stream(spark, folder, name)
+        rows = rows if asked is None else rows.select(*[col(c) for c in rows.columns if c in (KEY, *asked)])
+    else:
+        rows = rows.drop(PLACE)
+    if name == "gaze" and {"gaze x [px]", "gaze y [px]"} <= set(rows.columns):
+        rows = rows.withColumns({"azimuth [deg]": azimuth(col("gaze x [px]")), "elevation [deg]": elevation(col("gaze y [px]"))})
+    return typed(rows)
+
+
+def _whole_stream(spark: SparkSession, folder: str | list[str], name: str) -> DataFrame:
+    """A stream by Spark's own reader of whole files: a recording is one task."""
     rows = _named(_structs(spark, folder, PARTS[name], True).withColumnRenamed("t", TS))
     if name == "gaze":
-        rows = rows.withColumns({"azimuth [deg]": azimuth(col("gaze x [px]")), "elevation [deg]": elevation(col("gaze y [px]"))})
         try:
             worn = _structs(spark, folder, "worn", False)
         except FileNotFoundError:
-            return typed(rows.drop("__i"))
+            return rows.drop("__i")
         # The flag of a sample stands at the same place of its own file, whatever the order of the times.
         rows = rows.join(worn.select(col(KEY), "__i", "worn"), [KEY, "__i"], "left")
-    rows = rows.drop("__i")
-    return typed(rows)
+    return rows.drop("__i")
 
 
 def read_events(spark: SparkSession, folder: str | list[str], name: str) -> DataFrame:
     """``blinks``, ``fixations``, ``saccades`` (with ids from 1) or ``events`` (messages)."""
     if name == "events":
         return _messages(spark, folder)
-    rows = _structs(spark, folder, PARTS[name], False)
+    rows = _records(spark, folder, PARTS[name], False)
+    rows = _named(_structs(spark, folder, PARTS[name], False).drop("__i")) if rows is None else rows.drop(PLACE)
     if name != "blinks":
-        rows = rows.where(F.col("event_type") == (1 if name == "fixations" else 0))
-    rows = _named(rows.drop("event_type", "__i"))
+        rows = rows.where(F.col("event_type") == (1 if name == "fixations" else 0)).drop("event_type")
     from pyspark.sql import Window
 
     order = Window.partitionBy(col(KEY)).orderBy(col(START), col(END))
