@@ -24,11 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_codes, prefix_hash, range_hash, tuned
-from .exchange import ANSWER, Block, Corpus, grouped, pack
+from .common import byte_codes, distinct, prefix_hash, range_hash, tuned
+from .exchange import ANSWER, Block, Corpus, grouped, look_up, pack
 
-#: Text of a block.
-BLOCK = 8 << 20
+#: Text of a block: little, as a segment and its alignment take several times their text.
+BLOCK = 5 << 20
 #: ``segments`` of ``aligned`` travel as this step of the answers.
 _ALIGNED, _COUNTED = 0, 1
 _NONE = np.zeros(0, np.uint64)
@@ -61,20 +61,36 @@ class Pair:
         self.a_bytes = [bytes(table[c] for c in entries.get(i, "")) for i in range(max(entries) + 1)]
         pieces = [(self.b.id_to_piece(i), self.b.is_byte(i), self.b.is_control(i) or self.b.is_unknown(i)) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if byte else b"" if none else p.replace("▁", " ").encode() for p, byte, none in pieces]
+        self.a_size, self.b_size = (np.array([len(x) for x in entries], np.int64) for entries in (self.a_bytes, self.b_bytes))
         self.splits = not any(_merges(x) for x in (*self.a_bytes, *self.b_bytes))
 
-    def encode(self, segments: list[bytes]) -> Iterator[tuple[list[int], list[int], list[int], list[int]]]:
-        """Of segments that begin with a blank: ids of A, ids of B, and of each group how many of both; all empty where bytes differ."""
+    def encode(self, segments: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of segments that begin with a blank: how many ids of A, of B, and groups each has; ids of A, of B; group sizes in A, in B.
+
+        Segments whose bytes either tokenizer does not spell have none.
+        """
         texts = [x.decode() for x in segments]
-        first = [e.ids for e in self.a.encode_batch(texts, add_special_tokens=False)]
+        first = [e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)]
         second = self.b.encode([t[1:] for t in texts], out_type=int, num_threads=1)
-        for whole, a, b in zip(segments, first, second):
-            x, y = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-            if b"".join(x) != whole or b"".join(y) != whole:
-                yield [], [], [], []
-                continue
-            sizes_a, sizes_b = _groups([len(v) for v in x], [len(v) for v in y])
-            yield a, b, sizes_a, sizes_b
+        size = np.array([len(x) for x in segments], np.int64)
+        while True:
+            n_a, n_b = (np.array([len(x) for x in ids], np.int64) for ids in (first, second))
+            a, b = (np.array([i for x in ids for i in x], np.int64) for ids in (first, second))
+            end_a, end_b = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
+            spelt_a = np.diff(np.append(0, end_a)[np.append(0, np.cumsum(n_a))])
+            spelt_b = np.diff(np.append(0, end_b)[np.append(0, np.cumsum(n_b))])
+            good = ((spelt_a == size) & (spelt_b == size)) | ((n_a == 0) & (n_b == 0))
+            if good.all():
+                want = b"".join(x for x, n in zip(segments, n_a.tolist()) if n)
+                if b"".join([self.a_bytes[i] for i in a.tolist()]) == want == b"".join([self.b_bytes[i] for i in b.tolist()]):
+                    break
+                good = np.array([b"".join(self.a_bytes[i] for i in x) == w == b"".join(self.b_bytes[i] for i in y) for x, y, w in zip(first, second, segments)])
+            first, second = ([x if ok else [] for x, ok in zip(ids, good.tolist())] for ids in (first, second))
+        both = np.intersect1d(end_a, end_b, assume_unique=True)
+        in_a, in_b = (np.diff(np.append(0, np.searchsorted(e, both, side="right"))) for e in (end_a, end_b))
+        edge = np.append(0, np.cumsum(np.where(n_a > 0, size, 0)))
+        n_groups = np.diff(np.searchsorted(both, edge, side="right"))
+        return np.column_stack([n_a, n_b, n_groups]), a, b, in_a, in_b
 
 
 def _merges(entry: bytes) -> bool:
@@ -87,23 +103,6 @@ def _merges(entry: bytes) -> bool:
     return False
 
 
-def _groups(x: list[int], y: list[int]) -> tuple[list[int], list[int]]:
-    """Token lengths of equal sums, cut wherever both have a token's end: how many of each lie in every group."""
-    ends = []
-    i = j = last_i = last_j = end_i = end_j = 0
-    while i < len(x) or j < len(y):
-        if end_i <= end_j:
-            end_i += x[i]
-            i += 1
-        else:
-            end_j += y[j]
-            j += 1
-        if end_i == end_j:
-            ends.append((i - last_i, j - last_j))
-            last_i, last_j = i, j
-    return [a for a, _ in ends], [b for _, b in ends]
-
-
 def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Where the segments of texts begin that each start with a blank: at the start, and at blanks after no white space.
 
@@ -114,11 +113,15 @@ def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     head = np.zeros(len(data) + 1, bool)
     head[offsets] = True
     at = at[~head[at] & ~head[at + 1]]
-    p1, p2, p3 = data[at - 1], data[np.maximum(at - 2, 0)], data[np.maximum(at - 3, 0)]
-    space = _SPACE[p1]
+    space = _SPACE[data[at - 1]]
+    wide = np.flatnonzero(data[at - 1] >= 0x80)
+    p1, p2, p3 = (data[np.maximum(at[wide] - k, 0)] for k in (1, 2, 3))
     for middle, lead, last in _WIDE:
-        space |= np.isin(p1, last) & (p2 == middle) & ((p3 == lead) if lead else True)
-    return np.unique(np.concatenate([offsets[:-1][np.diff(offsets) > 0], at[~space]]))
+        space[wide] |= np.isin(p1, last) & (p2 == middle) & ((p3 == lead) if lead else True)
+    begin = np.zeros(len(data) + 1, bool)
+    begin[offsets[:-1][np.diff(offsets) > 0]] = True
+    begin[at[~space]] = True
+    return np.flatnonzero(begin)
 
 
 @dataclass
@@ -147,12 +150,12 @@ class Segmented:
             part.append(np.full(len(begin), len(parts)))
             parts.append(text)
         join = lambda x: np.concatenate([np.zeros(0, np.int64), *x])
-        order, new, distinct = grouped(np.concatenate(keys))
+        order, new, _ = grouped(np.concatenate(keys))
         of = np.empty(len(order), np.int64)
         of[order] = np.repeat(np.arange(len(new)), np.diff(np.append(new, len(order))))
         first = order[new]
         source = list(zip(join(part)[first].tolist(), join(begins)[first].tolist(), join(ends)[first].tolist()))
-        return cls(join(rows), of, len(distinct), source, parts)
+        return cls(join(rows), of, len(new), source, parts)
 
     def segments(self) -> list[bytes]:
         return [self.parts[p][a:b].tobytes() for p, a, b in self.source]
@@ -169,23 +172,34 @@ def _encoded(batches: Iterator[pa.RecordBatch], pair: Pair) -> Iterator[pa.Recor
     An answer holds four numbers a segment (its place in the block, how many ids of A,
     of B, and groups) and, after one another, ids of A, ids of B, and both group sizes.
     """
-    last, known = None, None  # the last segment and its alignment
+    last: bytes | None = None  # the last segment, and its alignment
+    known = np.zeros((1, 3), np.int64), [np.zeros(0, np.int64)] * 4
     for batch in batches:
         segments, of, new = batch.column("segment").to_pylist(), [], []
+        before = last
         for s in segments:
-            if s != (new[-1] if new else last):
+            if s != before:
                 new.append(s)
+                before = s
             of.append(len(new))  # 0 is the last one before
-        found = [known, *pair.encode(new)]
-        last, known = (new[-1] if new else last), found[-1]
-        heads = np.array([[len(a), len(b), len(x)] for a, b, x, _ in (f or ([], [], [], []) for f in found)], np.int64)
-        flat = np.array([v for f in found if f for part in f for v in part], np.int64)
-        size = heads[:, 0] + heads[:, 1] + 2 * heads[:, 2]
+        heads, *parts = pair.encode(new) if new else (np.zeros((0, 3), np.int64), *[np.zeros(0, np.int64)] * 4)
+        heads = np.concatenate([known[0], heads])
+        parts = [np.concatenate([k, x]) for k, x in zip(known[1], parts)]
+        n_a, n_b, n_groups = heads.T
+        # One after another: ids of A and B and both group sizes of the first segment, then of the next.
+        size = n_a + n_b + 2 * n_groups
         begin = np.cumsum(size) - size
+        flat = np.empty(size.sum(), np.int64)
+        at = begin
+        for n, x in zip((n_a, n_b, n_groups, n_groups), parts):
+            flat[_ragged(at, n)] = x
+            at = at + n
+        last = before
+        known = heads[-1:], [x[len(x) - int(n[-1]) :] for n, x in zip((n_a, n_b, n_groups, n_groups), parts)]
         block, index = batch.column("block").to_numpy(), batch.column("index").to_numpy()
         order = np.argsort(block, kind="stable")
-        of_row = np.array(of)[order]
-        cut_ = np.flatnonzero(np.concatenate([[True], np.diff(block[order]) != 0]))
+        of_row = np.array(of, np.int64)[order]
+        cut_ = np.flatnonzero(np.concatenate([[True], np.diff(block[order]) != 0])) if len(order) else order
         told = []
         for x, y in zip(cut_, np.append(cut_[1:], len(order))):
             mine = of_row[x:y]
@@ -228,18 +242,26 @@ class Aligned:
         return of, a, b
 
     def groups(self) -> list[bytes]:
-        """Of each distinct segment, its groups as decimal ids."""
-        out, a, b, x, y = [], list(map(str, self.a.tolist())), list(map(str, self.b.tolist())), self.in_a.tolist(), self.in_b.tolist()
-        g = i = j = 0
-        for n in self.n_groups.tolist():
-            some = []
-            for k in range(g, g + n):
-                some.append(f"{','.join(a[i : i + x[k]])}|{','.join(b[j : j + y[k]])}")
-                i += x[k]
-                j += y[k]
-            g += n
-            out.append(";".join(some))
-        return out
+        """Of each distinct segment, its groups as decimal ids, each with the mark that follows it."""
+        size = self.in_a + self.in_b
+        begin = np.cumsum(size) - size
+        ids, mark = np.empty(size.sum(), np.int64), np.full(size.sum(), ord(","), np.uint8)
+        ids[_ragged(begin, self.in_a)] = self.a
+        ids[_ragged(begin + self.in_a, self.in_b)] = self.b
+        mark[begin + self.in_a - 1] = ord("|")
+        mark[begin + size - 1] = ord(";")
+        wide = np.ones(len(ids), np.int64)
+        for k in range(1, 10):
+            wide += ids >= 10**k
+        at = np.cumsum(wide + 1) - wide - 1
+        text = np.empty(int((wide + 1).sum()), np.uint8)
+        text[at + wide] = mark
+        for k in range(int(wide.max(initial=0))):
+            has = np.flatnonzero(wide > k)
+            text[at[has] + wide[has] - 1 - k] = ord("0") + ids[has] // 10**k % 10
+        of_segment = np.append(at, len(text))[np.append(0, np.cumsum(self.n_a + self.n_b))]
+        data, edge = text.tobytes(), of_segment.tolist()
+        return [data[x:y] for x, y in zip(edge[:-1], edge[1:])]
 
     def of_rows(self, values: np.ndarray) -> np.ndarray:
         """Sums of the segments' values by row, zero for rows without tokens."""
@@ -253,33 +275,39 @@ def pair_keys(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a.astype(np.uint64) * np.uint64(0x9E3779B97F4B) << np.uint64(16)) | b.astype(np.uint64)
 
 
+def _live_links(al: Aligned) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All links: segment and pair key; the distinct keys of those in texts that have tokens, and which segments these are."""
+    of, a, b = al.links()
+    keys = pair_keys(a, b)
+    alive = np.zeros(al.parts.count, bool)
+    alive[al.parts.of[al.live[al.parts.row]]] = True
+    return of, keys, distinct(keys[alive[of]]), alive
+
+
 def _ask(block: Block, told: dict, splits: bool) -> tuple[np.ndarray, list[np.ndarray]]:
     """The id pairs of the block and how many of its documents hold each linked."""
     al = Aligned(block, told, splits)
-    of, a, b = al.links()
-    keys = pair_keys(a, b)
-    order, begin, distinct = grouped(keys)
-    number = np.empty(len(keys), np.int64)
-    number[order] = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(keys))))
-    n = max(1, len(distinct))
-    pairs = np.unique(of * n + number)  # distinct pairs of each distinct segment, in its order
-    edge = np.searchsorted(pairs, np.arange(al.parts.count + 1) * n)
-    alive = al.live[al.parts.row]
-    held = np.unique(al.parts.row[alive] * max(1, al.parts.count) + al.parts.of[alive])
-    row, segment = held // max(1, al.parts.count), held % max(1, al.parts.count)
+    of, keys, known, alive = _live_links(al)
+    n, segments = max(1, len(known)), max(1, al.parts.count)
+    inside = alive[of]
+    pairs = distinct(of[inside] * n + look_up(keys[inside], known, np.arange(n)))  # of each segment, in its order
+    edge = np.searchsorted(pairs, np.arange(segments + 1) * n)
+    on = al.live[al.parts.row]
+    held = distinct(al.parts.row[on] * segments + al.parts.of[on])
+    row, segment = held // segments, held % segments
     many = edge[segment + 1] - edge[segment]
-    docs = np.unique(np.repeat(row, many) * n + pairs[_ragged(edge[segment], many)] % n)
-    count = np.bincount(docs % n, minlength=n)[: len(distinct)]
-    return distinct[count > 0], [count[count > 0].astype(np.uint64)]
+    docs = distinct(np.repeat(row, many) * n + pairs[_ragged(edge[segment], many)] % n)
+    count = np.bincount(docs % n, minlength=n)[: len(known)]
+    return known, [count.astype(np.uint64)]
 
 
 def _answer(keys: np.ndarray, values: list[np.ndarray]) -> tuple[list[np.ndarray], list[float]]:
     """Twice a pair's count over all blocks, plus one where no pair of the same A id has more."""
-    order, begin, distinct = grouped(keys)
+    order, begin, known = grouped(keys)
     if not len(begin):
         return [_NONE], []
     total = np.add.reduceat(values[0][order], begin)
-    first = np.flatnonzero(np.concatenate([[True], np.diff(distinct >> np.uint64(16)) > 0]))
+    first = np.flatnonzero(np.concatenate([[True], np.diff(known >> np.uint64(16)) > 0]))
     best = np.repeat(np.maximum.reduceat(total, first), np.diff(np.append(first, len(total))))
     out = np.empty(len(keys), np.uint64)
     out[order] = np.repeat(total * np.uint64(2) + (total == best), np.diff(np.append(begin, len(keys))))
@@ -288,25 +316,23 @@ def _answer(keys: np.ndarray, values: list[np.ndarray]) -> tuple[list[np.ndarray
 
 def _composed(block: Block, told: dict, splits: bool) -> pa.Table:
     al = Aligned(block, told, splits)
-    of, a, b = al.links()
-    asked, answer = _ask(block, told, splits)[0], (told[_COUNTED][0] if _COUNTED in told else _NONE).astype(np.int64)
-    value = np.zeros(len(of), np.int64)
+    of, keys, asked, alive = _live_links(al)
+    answer = (told[_COUNTED][0] if _COUNTED in told else _NONE).astype(np.int64)
+    value, inside = np.zeros(len(of), np.int64), alive[of]
     if len(asked):
-        keys = pair_keys(a, b)
-        at = np.minimum(np.searchsorted(asked, keys), len(asked) - 1)
-        value = np.where(asked[at] == keys, answer[at], 0)  # segments of texts without tokens may have unknown pairs
+        value[inside] = look_up(keys[inside], asked, answer)
     segments = max(1, al.parts.count)
     edge = np.searchsorted(of, np.arange(segments + 1))
     by_segment = lambda v: np.diff(np.concatenate([[0], np.cumsum(v)])[edge])[: al.parts.count]
     shown = al.groups()
     edge_ = np.searchsorted(al.parts.row, np.arange(len(block.ids) + 1)).tolist()
     number = al.parts.of.tolist()
-    groups = [";".join([shown[k] for k in number[x:y]]) if ok else "" for x, y, ok in zip(edge_[:-1], edge_[1:], al.live.tolist())]
+    groups = [b"".join([shown[k] for k in number[x:y]])[:-1] if ok else b"" for x, y, ok in zip(edge_[:-1], edge_[1:], al.live.tolist())]
     columns = {
         "n_a": al.n_a, "n_b": al.n_b, "n_groups": al.n_groups, "n_links": by_segment(np.ones(len(of), np.int64)),
         "n_best": by_segment(value & 1), "count_sum": by_segment(value >> 1),
     }
-    return pa.table({"id": block.ids, **{k: pa.array(al.of_rows(v)) for k, v in columns.items()}, "groups": pa.array(groups, pa.string())})
+    return pa.table({"id": block.ids, **{k: pa.array(al.of_rows(v)) for k, v in columns.items()}, "groups": pa.array(groups, pa.binary()).cast(pa.string())})
 
 
 def align_tokenizers(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import common
 from .common import cut, discard, mix, tuned
 from .exchange import Block, Corpus, order_of, pack, unpack
 from .linking import classes, links_of, sketch, vertices
@@ -143,7 +144,7 @@ def _apply(words: int):
         return pa.table({
             "id": block.ids, "n": pa.array(sizes), "key": pa.array(keys.view(np.int64)), "vertex": pa.array([None if v is None else base + v for v in at], pa.int64()),
             "sketch": pa.array([None if v is None else sketch(sets[v]) for v in at], pa.list_(pa.int64())),
-            "elements": pa.array([None if v is None else pack(np.unique(sets[v] >> np.uint64(16)), True) for v in at], pa.binary()),
+            "elements": pa.array([None if v is None else pack(common.distinct(sets[v] >> np.uint64(16)), True) for v in at], pa.binary()),
         })
 
     return apply

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, lower_ascii, mix, prefix_hash, range_hash, shuffle_width, small_enough, trim, window_hashes, word_bounds, word_hashes
+from .common import cut, distinct, lower_ascii, mix, prefix_hash, range_hash, shuffle_width, small_enough, trim, window_hashes, word_bounds, word_hashes
 from .components import components
 from .exchange import Block, pack, unpack
 
@@ -51,7 +51,7 @@ def sets_of(block: Block, words: int) -> Iterator[np.ndarray]:
             if 0 < b - a < words:
                 yield range_hash(prefix, np.array([a]), np.array([b]))
             else:
-                yield np.unique(grams[cut_[r] : cut_[r + 1]])
+                yield distinct(grams[cut_[r] : cut_[r + 1]])
 
 
 def vertices(block: Block, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
