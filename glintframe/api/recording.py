@@ -36,10 +36,10 @@ class Recording:
         """``info`` and ``wearer``: the contents of the metadata files, where they have been read already."""
         self.spark, self.recording_dir = spark, Place(spark, recording_dir)
         if not self.recording_dir.is_dir():
-            raise FileNotFoundError(f"Directory not found: {recording_dir}")
+            raise FileNotFoundError(f"no folder {recording_dir}")
         self.files = self.recording_dir.names()
         if INFO not in self.files:
-            raise FileNotFoundError(f"{INFO} not found in {recording_dir}")
+            raise FileNotFoundError(f"{recording_dir} has no {INFO}")
         self.info: dict = json.loads((self.recording_dir / INFO).read_text()) if info is None else dict(info)
         if CLOUD_MARK in self.files:
             self.format = "cloud"
@@ -178,7 +178,7 @@ class Dataset:
     def __init__(self, spark: SparkSession, dataset_dir: object) -> None:
         self.spark, self.dataset_dir = spark, Place(spark, dataset_dir)
         if not self.dataset_dir.is_dir():
-            raise FileNotFoundError(f"Directory not found: {dataset_dir}")
+            raise FileNotFoundError(f"no folder {dataset_dir}")
         listed = "sections.csv" in self.dataset_dir.names()
         folders = self.dataset_dir.names(folders=True)
         if listed:
@@ -250,4 +250,17 @@ class Dataset:
         return (Stream if name in STREAMS else Events)(both)
 
 
+    def export_cloud_format(self, target_dir: object) -> None:
+        """All native recordings in the cloud layout, by one job."""
+        from ..sinks.cloud_export import export_dataset_cloud
+
+        export_dataset_cloud(self, target_dir)
+
+    def export_bids(self, target_dir: object, task: str = "TaskName", extra_metadata: dict | None = None) -> None:
+        """Motion and eye tracking of all recordings, by one job."""
+        from ..sinks.bids import export_dataset_bids
+
+        export_dataset_bids(self, target_dir, task, extra_metadata)
+
+
 resample_grid = align.uniform_grid

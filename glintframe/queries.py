@@ -110,14 +110,6 @@ def _(spark, d):
     return short(properties.time_to_ts(s, asked), "time", col(TS).alias("t"))
 
 
-@query("infer_types", "SELECT * FROM (VALUES ('gaze', 'gaze'), ('imu', 'imu'), ('eye_states', 'eye_states'), ('two markers', 'custom'), ('none', 'custom'), ('blinks', 'blinks'), ('messages', 'events')) AS x(columns, kind)")
-def _(spark, d):
-    from .schema import event_type, stream_type
-
-    rows = [("gaze", stream_type([TS, "gaze x [px]"])), ("imu", stream_type(["gyro x [deg/s]"])), ("eye_states", stream_type(["pupil diameter left [mm]"])), ("two markers", stream_type(["gaze x [px]", "gyro x [deg/s]"])), ("none", stream_type(["v"])), ("blinks", event_type(["blink id", START])[0]), ("messages", event_type([TS, "name"])[0])]
-    return spark.createDataFrame(rows, "columns string, kind string")
-
-
 # --- filters -----------------------------------------------------------------------------
 
 MID = 1_704_600_000_000_000_000
@@ -551,7 +543,4 @@ def _(spark, d):
     return short(bids.event_rows({"blinks": interval_events(spark, d), "events": messages}), "onset", "duration", "trial_type", "message")
 
 
-@query("bids_channels", "SELECT * FROM (VALUES ('gyro x', 'x', 'GYRO', 'deg/s'), ('acceleration z', 'z', 'ACCEL', 'g'), ('yaw', 'z', 'ORNT', 'deg'), ('quaternion w', 'quat_w', 'ORNT', 'arbitrary'), ('odd', 'n/a', 'n/a', 'n/a')) AS x(name, component, type, units)")
-def _(spark, d):
-    rows = bids.channel_rows(["gyro x [deg/s]", "acceleration z [g]", "yaw [deg]", "quaternion w", "odd [m]"], 110.0)
-    return spark.createDataFrame([tuple(r[k] for k in ("name", "component", "type", "units")) for r in rows], "name string, component string, type string, units string")
+from . import queries_io  # noqa: E402, F401  registers its own

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-from ..sources.stores import store
+from ..sources.stores import read_at, store
 
 SCHEMA = "file string, data binary"
 #: Bytes of a file that are held back and written, or compressed, together.
@@ -143,3 +143,25 @@ def texts(spark, files: dict[str, str]) -> DataFrame:
     """Small whole files as pieces."""
     rows = [(name, text.encode(), 0) for name, text in files.items()]
     return spark.createDataFrame(rows, "file string, data binary, at bigint")
+
+
+#: Bytes of one piece of a copied file.
+PIECE = 4 << 20
+
+
+def copies(spark, files: list[tuple[str, str]]) -> DataFrame:
+    """Whole files, given by URI and by the name they get, as pieces that tasks read."""
+    sizes = []
+    for uri, name in files:
+        fs, path = store(uri)
+        sizes.append((uri, name, fs.get_file_info(path).size))
+    rows = spark.createDataFrame(sizes, "uri string, file string, size bigint")
+    rows = rows.select("uri", "file", F.explode(F.sequence(F.lit(0).cast("bigint"), "size", F.lit(PIECE).cast("bigint"))).alias("at"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for uri, name, at in zip(*(c.to_pylist() for c in batch.columns)):
+                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([read_at(uri, at, PIECE)], pa.binary()), pa.array([at])], names=["file", "data", "at"])
+
+    # The pieces' places are dealt over tasks first; their bytes go to the task that writes the file.
+    return rows.repartition("uri", "at").mapInArrow(run, "file string, data binary, at bigint")

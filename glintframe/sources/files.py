@@ -11,6 +11,14 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder in the shared place that the session names; below ``/tmp`` only on a local master without one."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{found or 'file:/tmp/checkpoints'}/glintframe-{uuid.uuid4().hex}"
+
+
 class Place:
     """A file or folder; a path without a scheme lies in the session's default file system."""
 

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from glintframe import Dataset, Recording, Stream
 from glintframe.operators import video
-from glintframe.schema import NATIVE_NAMES, TS
+from glintframe.schema import KEY, NATIVE_NAMES, TS, event_type, stream_type
+from glintframe.sinks import bids, named
+from glintframe.sinks.native import write_native_stream
 from glintframe.sources import native
 from glintframe.sources.files import Place
 
@@ -154,3 +156,94 @@ def test_place(spark, tmp_path):
     (here / "t.csv").write_csv(spark.range(3).orderBy("id"), header=True)
     assert (tmp_path / "a b" / "t.csv").read_text().split() == ["id", "0", "1", "2"]
     assert sorted(p.name for p in (tmp_path / "a b").iterdir()) == ["t.csv", "x.txt", "y.txt"] and not (here / "z").is_file()
+
+
+def test_types_and_channels():
+    assert stream_type([TS, "gaze x [px]"]) == "gaze" and stream_type(["gyro x [deg/s]"]) == "imu" and stream_type(["pupil diameter left [mm]"]) == "eye_states"
+    assert stream_type(["gaze x [px]", "gyro x [deg/s]"]) == "custom" and stream_type(["v"]) == "custom"
+    assert event_type(["blink id", "start timestamp [ns]"]) == ("blinks", "blink id") and event_type([TS, "name"]) == ("events", "event id")
+    with pytest.warns(UserWarning, match="odd"):
+        rows = bids.channel_rows(["gyro x [deg/s]", "quaternion w", "odd [m]"], 110.0)
+    assert [tuple(r[k] for k in ("name", "component", "type", "units")) for r in rows] == [("gyro x", "x", "GYRO", "deg/s"), ("quaternion w", "quat_w", "ORNT", "arbitrary"), ("odd", "n/a", "n/a", "n/a")]
+
+
+def test_a_recording_is_read_by_many_tasks(spark, tmp_path):
+    rows = spark.range(2500).select(F.lit("r 1").alias(KEY), (F.col("id") * 10).alias(TS), F.col("id").cast("double").alias("gaze x [px]"), F.when(F.col("id") > 5, F.col("id") * 2.0).alias("gaze y [px]"))
+    write_native_stream(rows, str(tmp_path), "gaze", {"gaze x [px]": ("x", "<f4"), "gaze y [px]": ("y", "<f8")})
+    (tmp_path / "r 1" / "worn ps1.raw").write_bytes(bytes([1] * 1000 + [0] * 1000))  # ends early
+    (tmp_path / "r 1" / "worn.dtype").write_text("[('worn', 'u1')]")
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["r 1"]
+    got = native.read_stream(spark, str(tmp_path), "gaze", records=300)
+    assert got.rdd.getNumPartitions() == 9
+    assert got.select(F.spark_partition_id().alias("p")).distinct().count() == 9
+    back = got.orderBy(f"`{TS}`").collect()
+    assert [r[TS] for r in back] == [10 * i for i in range(2500)] and back[3]["gaze y [px]"] is None and back[7]["gaze y [px]"] == 14.0
+    assert [r["worn"] for r in back] == [1] * 1000 + [0] * 1000 + [None] * 500
+    some = native.read_stream(spark, str(tmp_path), "gaze", columns=["gaze x [px]"], records=300).where(f"`{TS}` > 20000 and `{TS}` <= 20100 and `gaze x [px]` <> 2005")
+    assert some.columns == [KEY, TS, "gaze x [px]"] and sorted(r[2] for r in some.collect()) == [float(i) for i in range(2001, 2011) if i != 2005]
+    assert some.select(F.spark_partition_id().alias("p")).distinct().count() == 1  # ranges without an instant inside give nothing
+    (tmp_path / "r 1" / "gaze ps1.time").write_bytes(b"x" * 8)
+    with pytest.raises(Exception, match="differ in number"):
+        native.read_stream(spark, str(tmp_path), "gaze")
+
+
+def test_named_files(spark, tmp_path):
+    rows = [(f"{d}/f{k}{end}", f"{d}{k}{i}\n".encode(), i) for d in ("a", "b/c") for k in range(3) for end in ("", ".gz") for i in range(50)]
+    pieces = spark.createDataFrame(rows, "file string, data binary, at bigint").repartition(7)
+    named.write_files(pieces, f"file:{tmp_path}/out", "at", heads={"f1": "head\n"})
+    for d in ("a", "b/c"):
+        for k in range(3):
+            want = "".join(f"{d}{k}{i}\n" for i in range(50))
+            assert (tmp_path / "out" / d / f"f{k}").read_text() == ("head\n" if k == 1 else "") + want
+            assert gzip.decompress((tmp_path / "out" / d / f"f{k}.gz").read_bytes()).decode() == want
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["a", "b"]
+    broken = pieces.withColumn("data", F.when(F.col("file") == "b/c/f2", F.raise_error(F.lit("lost")).cast("binary")).otherwise(F.col("data")))
+    with pytest.raises(Exception, match="lost"):
+        named.write_files(broken, f"file:{tmp_path}/none", "at")
+    assert not [p for p in tmp_path.rglob("*") if p.is_file() and "none" in str(p)]
+    (tmp_path / "big").write_bytes(bytes(range(256)) * 40_000)
+    named.write_files(named.copies(spark, [(str(tmp_path / "big"), "x/again"), (str(tmp_path / "big"), "x/more")]), str(tmp_path / "out"), "file", "at")
+    assert (tmp_path / "out/x/again").read_bytes() == (tmp_path / "out/x/more").read_bytes() == (tmp_path / "big").read_bytes()
+
+
+def test_dataset_exports(spark, native_dir, cloud_dir, tmp_path):
+    """Two native recordings and a cloud one: one job each for the cloud layout and for BIDS."""
+    import shutil
+
+    top = tmp_path / "data"
+    top.mkdir()
+    shutil.copytree(native_dir, top / "native 1")
+    shutil.copytree(native_dir, top / "native 2")
+    info = {"recording_id": "n2", "section_id": "s2", "start_time": 10**18, "duration": 1}
+    (top / "native 2" / "info.json").write_text(json.dumps(info))
+    (top / "native 1" / "Neon Scene Camera v1 ps1.mp4").write_bytes(b"video")
+    (top / "native 2" / "template.json").unlink()
+    for f in ("blinks ps1.raw", "blinks.dtype"):
+        (top / "native 2" / f).unlink()
+    shutil.copytree(cloud_dir, top / "rec-1")
+    d = Dataset(spark, f"file:{top}")
+    assert len(d) == 3
+    with pytest.warns(UserWarning, match="eye_states is not exported"):
+        Dataset(spark, f"file:{top}").export_cloud_format(f"file:{tmp_path}/cloud")
+    out = tmp_path / "cloud"
+    assert sorted(p.name for p in out.iterdir()) == ["native 1", "native 2"]
+    assert not (out / "native 2" / "blinks.csv").exists() and (out / "native 1" / "blinks.csv").exists()
+    assert (out / "native 1" / "Neon Scene Camera v1 ps1.mp4").read_bytes() == b"video" and not (out / "native 2" / "template.csv").exists()
+    assert (out / "native 2" / "gaze.csv").read_text().splitlines()[1].startswith("s2,n2,1000000000000000000,")
+    assert (out / "native 1" / "world_timestamps.csv").read_text().splitlines()[0] == "section_id,recording_id,timestamp [ns]"
+    again = Dataset(spark, f"file:{out}")
+    assert [r.format for r in again.recordings] == ["cloud"] * 2 and again[1].scene_frames.count() == 4
+    for name in ("gaze", "imu", "events", "fixations", "saccades"):
+        key = [c for c in again.table(name).df.columns if c != "event id"]
+        rows = lambda x: sorted(map(repr, x.df.where(f"`{KEY}` <> 'r1'").select(*[f"`{c}`" for c in key]).collect()))  # noqa: B023, E731
+        assert rows(again.table(name)) == rows(d.table(name)), name
+    d.export_bids(f"file:{tmp_path}/bids", "Read")
+    found = sorted(str(p.relative_to(tmp_path / "bids")) for p in (tmp_path / "bids").rglob("*.*") if not p.name.startswith("."))
+    assert "sub-Someone/ses-2/motion/sub-Someone_ses-2_task-Read_tracksys-NeonIMU_motion.tsv" in found and "sub-W/ses-1/beh/sub-W_ses-1_task-Read_physio.tsv.gz" in found
+    one = tmp_path / "bids" / "sub-W" / "ses-1"
+    physio = gzip.decompress((one / "beh" / "sub-W_ses-1_task-Read_physio.tsv.gz").read_bytes()).decode().splitlines()
+    assert len(physio) == 199 and physio[0].split("\t")[3] == "n/a"
+    events = [x.split("\t") for x in gzip.decompress((one / "beh" / "sub-W_ses-1_task-Read_physioevents.tsv.gz").read_bytes()).decode().splitlines()]
+    assert len(events) == 15 and [int(e[0]) for e in events] == sorted(int(e[0]) for e in events)
+    assert json.loads((one / "motion" / "sub-W_ses-1_task-Read_tracksys-NeonIMU_motion.json").read_text())["GYROChannelCount"] == 2
+    assert (one / "sub-W_ses-1_scans.tsv").read_text().splitlines()[1].startswith("motion/sub-W_ses-1_task-Read")
