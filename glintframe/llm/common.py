@@ -12,7 +12,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that numpy handles at once.
@@ -51,6 +51,12 @@ def cut(df: DataFrame, made: list[str] | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(where)
 
 
+def counted(df: DataFrame, made: list[str] | None = None) -> tuple[DataFrame, int]:
+    """As ``cut``, with the number of rows, which the job that writes them counts."""
+    seen = Observation()
+    return cut(df.observe(seen, F.count(F.lit(1)).alias("n")), made), seen.get["n"]
+
+
 def discard(spark: SparkSession, made: list[str]) -> None:
     """Delete written tables through Spark's own file system; frames that read them are of no use afterwards."""
     jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
@@ -64,9 +70,9 @@ def discard(spark: SparkSession, made: list[str]) -> None:
 BROADCAST_ROWS = 2_000_000
 
 
-def small_enough(keys: DataFrame) -> DataFrame:
+def small_enough(keys: DataFrame, count: int | None = None) -> DataFrame:
     """A written table of one 64-bit key, marked for broadcast if its count allows it; else joins shuffle."""
-    return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
+    return F.broadcast(keys) if (keys.count() if count is None else count) <= BROADCAST_ROWS else keys
 
 
 def trim(result):

@@ -4,9 +4,9 @@ Every tree orders all sets by its own sequence of minima: the first ``SHALLOW``
 region, the next ones continue the order inside it.  Regions are dealt to their
 owners by key, so every tree's order is a shuffle and a sort of fixed-size entries.
 A region is as deep as its crowd demands: while more than ``CROWD`` sets share the
-prefix, it is split by the next minimum, down to ``DEEP`` in all.  Neighbours in the
-order with a common prefix of ``SHALLOW`` or more are compared first, in two of the
-trees; their links contract most copies to one component.  Then the mates of every
+prefix, it is split by the next minimum, down to ``DEEP`` in all.  In two of the
+trees, each set is compared first with one of those that share its longest common
+prefix; these links contract most copies to one component.  Then the mates of every
 region, in all trees, that still lie in several components are compared, by sketches
 inside the tasks and exactly on the full sets.
 
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from . import common
 from .common import cut, discard, mix, tuned
 from .exchange import Block, Corpus, order_of, pack, unpack
-from .linking import classes, links_of, sketch, vertices
+from .linking import classes, labels_of, sketch, vertices
 
 #: Trees, minima that name a region, minima of the deepest region.
 TREES, SHALLOW, DEEP = 64, 4, 8
@@ -93,6 +93,27 @@ def regions(keys: np.ndarray, inner: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return order, region, members
 
 
+def heads(keys: np.ndarray, inner: np.ndarray, vertex: np.ndarray) -> np.ndarray:
+    """Pairs of every entry with the first of those that share its longest common prefix with any other; entries are in order.
+
+    The first of such a run is paired where a shorter prefix puts it behind another, so
+    the pairs of a region are a shallow tree.
+    """
+    n, other = len(keys), np.full(len(keys), -1)
+    for level in range(DEEP - SHALLOW, -1, -1):
+        digit = inner >> np.uint64(8 * (DEEP - SHALLOW - level)) if level else np.zeros(n, np.uint64)
+        begin = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (digit[1:] != digit[:-1])])[:n])
+        first = np.repeat(begin, np.diff(np.append(begin, n)))
+        free = (other < 0) & (first != np.arange(n))
+        other[free] = first[free]
+    own = np.flatnonzero(other >= 0)
+    pairs = np.sort(np.stack([vertex[own], vertex[other[own]]], 1), 1)
+    pairs = pairs[pairs[:, 0] != pairs[:, 1]]
+    order = np.lexsort((pairs[:, 1], pairs[:, 0]))
+    pairs = pairs[order]
+    return pairs[np.concatenate([[True], (pairs[1:] != pairs[:-1]).any(1)])[: len(pairs)]]
+
+
 def _answer(keys: np.ndarray, values: list[np.ndarray]) -> tuple[list[np.ndarray], list[float]]:
     """1 for an entry whose first region holds other sets too."""
     _, inverse, count = np.unique(keys, return_inverse=True, return_counts=True)
@@ -105,8 +126,8 @@ def _found(table: pa.Table) -> pa.Table:
     inner, vertex, tree = (np.concatenate([_NONE, *(unpack(x[k]) for x in table.column("told").to_pylist())]) for k in range(3))
     order, region, members = regions(keys, inner)
     keys, vertex, tree = keys[order], vertex[order], tree[order]
-    near = np.flatnonzero((keys[1:] == keys[:-1]) & (tree[1:] < LEADING) & (vertex[1:] != vertex[:-1]))
-    pairs = np.unique(np.sort(np.stack([vertex[near], vertex[near + 1]], 1), 1), axis=0) if len(near) else np.zeros((0, 2), np.uint64)
+    lead = tree < LEADING
+    pairs = heads(keys[lead], inner[order][lead], vertex[lead])
     pick = members > 1
     region, vertex = region[pick], vertex[pick]
     by = np.lexsort((vertex, region))
@@ -182,8 +203,8 @@ def forest_join(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str
     pairs = found.where("mate is not null").select("vertex", "mate").distinct().join(name.withColumnRenamed("key", "x"), "vertex")
     pairs = pairs.join(name.select(F.col("vertex").alias("mate"), F.col("key").alias("y")), "mate")
     pairs = cut(pairs.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), spent)
-    links = links_of(member, sets, whole, percent, spent, pairs)
-    out = classes(rows, links, made)
+    label = labels_of(member, sets, whole, percent, spent, pairs)
+    out = classes(rows, label, made)
     discard(spark, spent)
     return out
 

@@ -18,8 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, distinct, lower_ascii, mix, prefix_hash, range_hash, shuffle_width, small_enough, trim, window_hashes, word_bounds, word_hashes
-from .components import components
+from .common import counted, cut, distinct, lower_ascii, mix, prefix_hash, range_hash, shuffle_width, small_enough, trim, window_hashes, word_bounds, word_hashes
+from .components import components, joined
 from .exchange import Block, pack, unpack
 
 #: Members of a group that are compared at once; a larger group makes several blocks.
@@ -75,8 +75,7 @@ def _linked(pairs: DataFrame, sets: DataFrame, whole: DataFrame, percent: int, m
     both = left.join(sets.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb")), "b")
     apart = sum((F.bit_count(F.col("sa")[i].bitwiseXOR(F.col("sb")[i])) for i in range(1, SKETCH)), F.bit_count(F.col("sa")[0].bitwiseXOR(F.col("sb")[0])))
     near = cut(both.where((apart * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))).select("a", "b", "na", "nb"), made)
-    needed = cut(near.select(F.explode(F.array("a", "b")).alias("key")).distinct(), made)
-    elements = cut(whole.join(small_enough(needed), "key", "left_semi").dropDuplicates(["key"]), made)
+    elements = _elements(near.select(F.explode(F.array("a", "b")).alias("key")), whole, made)
     near = near.join(elements.select(F.col("key").alias("b"), F.col("elements").alias("eb")), "b").join(elements.select(F.col("key").alias("a"), F.col("elements").alias("ea")), "a")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,6 +93,12 @@ def _linked(pairs: DataFrame, sets: DataFrame, whole: DataFrame, percent: int, m
     return near.select("a", "b", "na", "nb", "ea", "eb").mapInArrow(run, "a bigint, b bigint")
 
 
+def _elements(keys: DataFrame, whole: DataFrame, made: list[str]) -> DataFrame:
+    """``key, elements`` of these keys, once each."""
+    needed, n = counted(keys.select("key").distinct(), made)
+    return cut(whole.join(small_enough(needed, n), "key", "left_semi").dropDuplicates(["key"]), made)
+
+
 def _forest(label_a: np.ndarray, label_b: np.ndarray, apart: np.ndarray) -> np.ndarray:
     """Of candidate pairs, nearest first, those that join labels not yet joined by an earlier one."""
     up: dict[int, int] = {}
@@ -196,8 +201,7 @@ def _exact_forest(member: DataFrame, sets: DataFrame, whole: DataFrame, percent:
     never become rows; a unit holds ``UNIT`` sets and ``UNIT_BYTES`` of elements at most
     for each of its two blocks, or one larger set.
     """
-    needed = cut(member.select("key").distinct(), spent)
-    elements = cut(whole.join(small_enough(needed), "key", "left_semi").dropDuplicates(["key"]), spent)
+    elements = _elements(member, whole, spent)
     rows = member.join(sets.select("key", "n", "sketch"), "key").join(elements, "key")
     size = rows.groupBy("group").agg(F.ceil(F.greatest(F.count("*") / UNIT, F.sum(F.octet_length("elements")) / UNIT_BYTES)).cast("int").alias("blocks"))
     rows = _units(rows.join(size, "group"))
@@ -239,40 +243,47 @@ def _apart(member: DataFrame, label: DataFrame) -> DataFrame:
     return now.join(several, "group", "left_semi")
 
 
-def links_of(member: DataFrame, sets: DataFrame, whole: DataFrame, percent: int, spent: list[str], first: DataFrame | None = None) -> DataFrame:
-    """Links (``a, b``) that join all sets which links between mates of the groups join.
+def labels_of(member: DataFrame, sets: DataFrame, whole: DataFrame, percent: int, spent: list[str], first: DataFrame | None = None) -> DataFrame:
+    """``node, label`` of all sets that links between mates of the groups join.
 
     ``member``: written rows (``group, key``); ``sets``: ``key, n, sketch``; ``whole``:
     ``key, elements``; ``first``: pairs to be compared before all others.  ``spent``
-    gets the folders of written tables.
+    gets the folders of written tables, which the result is still read from.
     """
     if first is None:
-        links, now = None, member.withColumn("label", F.col("key"))
+        links, label, now = None, None, member.withColumn("label", F.col("key"))
     else:
         links = cut(_linked(first, sets, whole, percent, spent), spent)
-        now = cut(_apart(member, components(links, spent)), spent)
+        label = components(links, spent)
+        now = cut(_apart(member, label), spent)
     near = cut(near_mates(now, sets, percent), spent)
     # Of all near pairs of two components one is enough if it is a link.
-    best = cut(near.groupBy(F.least("la", "lb").alias("la"), F.greatest("la", "lb").alias("lb")).agg(F.min(F.struct("apart", "a", "b")).alias("p")).select("la", "lb", "p.a", "p.b"), spent)
-    more = cut(_linked(best.select("a", "b"), sets, whole, percent, spent), spent)
-    links = more if links is None else cut(links.union(more), spent)
+    x, y = F.least("la", "lb").alias("x"), F.greatest("la", "lb").alias("y")
+    best = cut(near.groupBy(x, y).agg(F.min(F.struct("apart", "a", "b")).alias("p")).select("x", "y", "p.a", "p.b"), spent)
+    more, n = counted(_linked(best.select("a", "b"), sets, whole, percent, spent), spent)
+    if label is None:
+        label = components(more, spent)
+    elif n:
+        label = joined(label, more, spent)
     # Only a group with a near pair that is no link can hold a link that joins what is still apart.
-    failed = best.join(more, ["a", "b"], "left_anti").select("la", "lb")
-    open_ = near.withColumn("x", F.least("la", "lb")).withColumn("y", F.greatest("la", "lb")).join(failed.select(F.col("la").alias("x"), F.col("lb").alias("y")), ["x", "y"], "left_semi")
-    open_ = cut(open_.select("group").distinct(), spent)
-    if open_.isEmpty():
-        return links
-    now = cut(_apart(member.join(small_enough(open_), "group", "left_semi"), components(links, spent)), spent)
-    return cut(links.union(_exact_forest(now, sets, whole, percent, spent)), spent)
+    failed, n = counted(best.join(more, ["a", "b"], "left_anti").select("x", "y"), spent)
+    if n:
+        label = cut(label, spent)
+        open_, n = counted(near.select("group", x, y).join(failed, ["x", "y"], "left_semi").select("group").distinct(), spent)
+        now = cut(_apart(member.join(small_enough(open_, n), "group", "left_semi"), label), spent)
+        more, n = counted(_exact_forest(now, sets, whole, percent, spent), spent)
+        if n:
+            label = joined(label, more, spent)
+    return label
 
 
-def classes(rows: DataFrame, links: DataFrame, made: list[str] | None) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` from rows (``id, n, key``) and the links between keys.
+def classes(rows: DataFrame, label: DataFrame, made: list[str] | None) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` from rows (``id, n, key``) and the labels of keys (``node, label``).
 
     Ids are gathered by set first, so the rows of equal sets, however many, are joined
     once, in the end.
     """
-    label = components(links, made).select(F.col("node").alias("key"), "label")
+    label = label.select(F.col("node").alias("key"), "label")
     least = rows.where("n > 0").groupBy("key").agg(F.min("id").alias("id")).join(label, "key", "left").withColumn("label", F.coalesce("label", "key"))
     least = cut(least, made)
     joined = least.groupBy("label").agg(F.min("id").alias("component_id"), F.count("*").alias("sets"))

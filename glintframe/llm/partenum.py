@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from . import common
 from .common import cut, discard, mix, tuned
 from .exchange import Block, Corpus, pack, unpack
-from .linking import classes, links_of, sketch, vertices
+from .linking import classes, labels_of, sketch, vertices
 
 #: Vertices that share a signature before it counts as crowded.
 CROWD = 48
@@ -238,8 +238,8 @@ def similarity_join(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     sets, whole = cut(named.dropDuplicates(["key"]).select("key", "n", "sketch"), spent), named.select("key", "elements")
     named = named.select("vertex", "key", "crowds")
     member = groups.join(named.select("vertex", "key"), "vertex").select("group", "key").union(named.select(F.explode("crowds").alias("group"), "key"))
-    links = links_of(cut(member.distinct(), spent), sets, whole, percent, spent)
-    out = classes(rows, links, made)
+    label = labels_of(cut(member.distinct(), spent), sets, whole, percent, spent)
+    out = classes(rows, label, made)
     discard(spark, spent)
     return out
 

@@ -32,10 +32,16 @@ def align(rows):
                 own.append(at)
             ends.append(own)
         both = sorted(set(ends[0]) & set(ends[1]))
-        groups, low = [], 0
+        groups, i, j = [], 0, 0
         for e in both:
-            groups.append(([i for (i, _), z in zip(x, ends[0]) if low < z <= e], [i for (i, _), z in zip(y, ends[1]) if low < z <= e]))
-            low = e
+            g, h = [], []
+            while i < len(x) and ends[0][i] <= e:
+                g.append(x[i][0])
+                i += 1
+            while j < len(y) and ends[1][j] <= e:
+                h.append(y[j][0])
+                j += 1
+            groups.append((g, h))
         links = [(p, q) for g, h in groups for p in g for q in h]
         count.update(set(links))
         docs.append((doc_id, groups, links, [len(x), len(y)]))
