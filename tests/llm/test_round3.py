@@ -314,4 +314,4 @@ def test_collocation_sql(spark, tmp_path):
     names = ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
     want = c.sql(queries.oracle_sql()["op12_phrase_collocations"]).select(", ".join(names)).fetchall()
     got = [tuple(r) for r in queries.op12_phrase_collocations(spark, str(tmp_path)).select(*names).collect()]
-    assert sorted(got) == sorted(want) and len(got) > 5
+    assert sorted(got) == sorted(want) and got
