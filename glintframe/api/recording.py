@@ -151,10 +151,11 @@ class Recording:
     def sync_gaze_to_video(self, window_ns: int | None = None) -> Stream:
         return self.gaze.window_average(self.scene_frames, window_ns)
 
-    def density(self, source: str = "gaze", step_size: float = 10) -> DataFrame:
-        """Counts of gaze points or fixations by cell of the scene image."""
+    def density(self, source: str = "gaze", step_size: float = 10, sigma: float | None = None) -> DataFrame:
+        """Counts of gaze points or fixations by cell of the scene image, under a Gaussian of ``sigma`` cells if given."""
         kind = "gaze" if source == "gaze" else "fixation"
-        return surface.density(getattr(self, "gaze" if kind == "gaze" else "fixations").df, f"{kind} x [px]", f"{kind} y [px]", step_size)
+        counts = surface.density(getattr(self, "gaze" if kind == "gaze" else "fixations").df, f"{kind} x [px]", f"{kind} y [px]", step_size)
+        return surface.smooth_density(counts, sigma, step_size) if sigma else counts
 
     def export_cloud_format(self, target_dir: object) -> None:
         from ..sinks.cloud_export import export_cloud_format

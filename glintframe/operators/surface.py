@@ -46,61 +46,106 @@ def apply_homographies_to_fixations(events: DataFrame, homographies: DataFrame,
     return apply_homographies(events, homographies, "fixation x [px]", "fixation y [px]", "fixation", START, **how)
 
 
-def homography(image: np.ndarray, surface: np.ndarray) -> np.ndarray:
-    """Least-squares homography of point pairs by the normalised direct linear transform."""
+def homographies_of(image: np.ndarray, surface: np.ndarray, use: np.ndarray | None = None) -> np.ndarray:
+    """Least-squares homographies of stacks of point pairs (``... x n x 2``) by the normalised direct linear transform.
+
+    ``use``: which pairs count (``... x n``).  Pairs that tell no homography, such as points
+    on a line, give NaN.
+    """
+    use = np.ones(image.shape[:-1], bool) if use is None else use
+    many = np.maximum(use.sum(-1), 1)[..., None]
 
     def normal(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        c = p.mean(0)
-        d = np.sqrt(((p - c) ** 2).sum(1)).mean()
-        s = np.sqrt(2) / d if d > 0 else 1.0
-        return (p - c) * s, np.array([[s, 0, -s * c[0]], [0, s, -s * c[1]], [0, 0, 1]])
+        centre = (p * use[..., None]).sum(-2) / many
+        away = np.sqrt(((p - centre[..., None, :]) ** 2).sum(-1))
+        d = (away * use).sum(-1) / many[..., 0]
+        s = np.sqrt(2) / np.where(d > 0, d, np.nan)
+        t = np.zeros((*s.shape, 3, 3))
+        t[..., 0, 0] = t[..., 1, 1] = s
+        t[..., :2, 2] = -s[..., None] * centre
+        t[..., 2, 2] = 1
+        return (p - centre[..., None, :]) * s[..., None, None], t
+
+    (a, ta), (b, tb) = normal(image), normal(surface)
+    x, y, u, v = a[..., 0], a[..., 1], b[..., 0], b[..., 1]
+    none, one = np.zeros_like(x), np.ones_like(x)
+    rows = np.concatenate([np.stack([-x, -y, -one, none, none, none, u * x, u * y, u], -1), np.stack([none, none, none, -x, -y, -one, v * x, v * y, v], -1)], -2)
+    rows = rows * np.concatenate([use, use], -1)[..., None]
+    good = np.isfinite(rows).all((-1, -2))
+    _, size, vt = np.linalg.svd(np.where(good[..., None, None], rows, 0.0), full_matrices=True)
+    good &= (size[..., 7] > 1e-9 * np.maximum(size[..., 0], 1e-300)) & (use.sum(-1) >= 4)
+    h = vt[..., -1, :].reshape(*vt.shape[:-2], 3, 3)
+    h = np.linalg.inv(np.where(good[..., None, None], tb, np.eye(3))) @ h @ ta
+    with np.errstate(divide="ignore", invalid="ignore"):
+        h = h / h[..., 2:, 2:]
+    return np.where((good & np.isfinite(h).all((-1, -2)) & (np.abs(np.linalg.det(np.where(np.isfinite(h), h, 0.0))) > 1e-15))[..., None, None], h, np.nan)
+
 
-    a, ta = normal(image)
-    b, tb = normal(surface)
-    rows = []
-    for (x, y), (u, v) in zip(a, b):
-        rows += [[-x, -y, -1, 0, 0, 0, u * x, u * y, u], [0, 0, 0, -x, -y, -1, v * x, v * y, v]]
-    h = np.linalg.svd(np.array(rows))[2][-1].reshape(3, 3)
-    h = np.linalg.inv(tb) @ h @ ta
-    return h / h[2, 2]
+def homography(image: np.ndarray, surface: np.ndarray) -> np.ndarray:
+    """Least-squares homography of point pairs; NaN where they tell none."""
+    return homographies_of(np.asarray(image, float), np.asarray(surface, float))
 
 
 def _transfer(h: np.ndarray, image: np.ndarray, surface: np.ndarray) -> np.ndarray:
-    """Squared distances of the projected points to their partners."""
-    p = np.column_stack([image, np.ones(len(image))]) @ h.T
+    """Squared distances of the projected points to their partners, for stacks of both."""
+    p = np.concatenate([image, np.ones((*image.shape[:-1], 1))], -1) @ np.swapaxes(h, -1, -2)
     with np.errstate(divide="ignore", invalid="ignore"):
-        d = ((p[:, :2] / p[:, 2:] - surface) ** 2).sum(1)
+        d = ((p[..., :2] / p[..., 2:] - surface) ** 2).sum(-1)
     return np.where(np.isfinite(d), d, np.inf)
 
 
-def robust_homography(image: np.ndarray, surface: np.ndarray, method: str = "lmeds", threshold: float = 3.0, samples: int = 200) -> np.ndarray:
-    """A homography that some wrong point pairs do not move.
+#: Homographies that are fitted at once.
+FITS = 4096
+
+
+def robust_homographies(image: np.ndarray, surface: np.ndarray, method: str = "lmeds", threshold: float = 3.0, samples: int = 200) -> np.ndarray:
+    """Homographies of frames (``frames x n x 2``) that some wrong point pairs do not move.
 
-    Of homographies of four pairs each (the same draws every time), the one of least
-    median error (``lmeds``) or of most pairs within ``threshold`` (``ransac``) tells the
-    good pairs, and the least-squares fit of these is the result.
+    Of homographies of four pairs each (the same draws in every frame, all frames of a
+    batch in one stack), the one of least median error (``lmeds``) or of most pairs within
+    ``threshold`` (``ransac``) tells a frame's good pairs, and the least-squares fit of these
+    is the result.  Draws go on, up to ``samples``, only for frames whose share of good
+    pairs leaves a doubt of one in a thousand that four good ones were drawn.
     """
-    n = len(image)
-    if method == "lstsq" or n <= 4:
-        return homography(image, surface)
-    if method not in ("lmeds", "ransac"):
+    if method not in ("lstsq", "lmeds", "ransac"):
         raise ValueError("method must be 'lstsq', 'lmeds' or 'ransac'")
-    draw, best, found = np.random.default_rng(0), np.inf, None
-    for _ in range(samples):
-        pick = draw.choice(n, 4, replace=False)
-        try:
-            error = _transfer(homography(image[pick], surface[pick]), image, surface)
-        except np.linalg.LinAlgError:  # the four lie on a line
-            continue
-        worth = np.median(error) if method == "lmeds" else -float((error <= threshold**2).sum())
-        if worth < best:
-            best, found = worth, error
-    if found is None:
-        return homography(image, surface)
-    # A good pair lies within 2.5 deviations, as the median of normal errors tells them.
-    limit = max((2.5 * 1.4826 * (1 + 5 / max(1, n - 4))) ** 2 * best, 1e-9) if method == "lmeds" else threshold**2
-    good = found <= limit
-    return homography(image[good], surface[good]) if good.sum() >= 4 else homography(image, surface)
+    count, n = image.shape[:2]
+    if method == "lstsq" or n <= 4:
+        return homographies_of(image, surface)
+    random = np.random.default_rng(0)
+    draws = np.stack([random.choice(n, 4, replace=False) for _ in range(samples)])
+    best, error = np.full(count, np.inf), np.full((count, n), np.inf)
+    open_ = np.arange(count)
+    for k in range(0, samples, 20):
+        pick = draws[k : k + 20]
+        for i in range(0, len(open_), max(1, FITS // len(pick))):
+            own = open_[i : i + max(1, FITS // len(pick))]
+            h = homographies_of(image[own][:, pick], surface[own][:, pick])
+            found = _transfer(h, image[own][:, None], surface[own][:, None])
+            worth = np.median(found, -1) if method == "lmeds" else -(found <= threshold**2).sum(-1).astype(float)
+            at = worth.argmin(1)
+            worth, found = np.take_along_axis(worth, at[:, None], 1)[:, 0], found[np.arange(len(own)), at]
+            better = worth < best[own]
+            best[own[better]], error[own[better]] = worth[better], found[better]
+        share = (error[open_] <= _limit(best[open_], n, method, threshold)[:, None]).mean(1)
+        open_ = open_[(1 - share**4) ** (k + len(pick)) > 1e-3]
+        if not len(open_):
+            break
+    good = error <= _limit(best, n, method, threshold)[:, None]
+    good[good.sum(1) < 4] = True
+    return homographies_of(image, surface, good)
+
+
+def _limit(best: np.ndarray, n: int, method: str, threshold: float) -> np.ndarray:
+    """The squared error of a good pair: within 2.5 deviations, as the median of normal errors tells them, or the threshold."""
+    if method == "ransac":
+        return np.full(len(best), threshold**2)
+    return np.maximum((2.5 * 1.4826 * (1 + 5 / max(1, n - 4))) ** 2 * best, 1e-9)
+
+
+def robust_homography(image: np.ndarray, surface: np.ndarray, method: str = "lmeds", threshold: float = 3.0, samples: int = 200) -> np.ndarray:
+    """``robust_homographies`` of one frame."""
+    return robust_homographies(np.asarray(image, float)[None], np.asarray(surface, float)[None], method, threshold, samples)[0]
 
 
 def find_homographies(detections: DataFrame, layout: DataFrame | np.ndarray, name: str = "marker name", min_markers: int = 2, method: str = "lmeds", threshold: float = 3.0, key: str = KEY, ts: str = TS) -> DataFrame:
@@ -109,7 +154,9 @@ def find_homographies(detections: DataFrame, layout: DataFrame | np.ndarray, nam
     The layout of markers (marker name, size, center x, center y) is joined by name; markers that
     it lacks are left out.  The layout of a contour is a 4 x 2 array of its corners.  Corners go
     around from the top left.  ``method``: ``lstsq``, ``lmeds`` or ``ransac``.  A frame's corners are
-    gathered by Spark; Python fits batches of frames.
+    gathered by Spark; Python fits all frames of a batch that have as many corners in one stack.  A
+    marker with a null or NaN corner is left out; a frame whose corners tell no homography
+    (equal ones, or all on a line) gives no row.
     """
     corners = [F.array(*[col(f"{c} {a} [px]").cast("double") for c in CORNERS for a in "xy"]).alias("i")]
     if isinstance(layout, np.ndarray):
@@ -122,7 +169,8 @@ def find_homographies(detections: DataFrame, layout: DataFrame | np.ndarray, nam
         signs = ((-1, -1), (1, -1), (1, 1), (-1, 1))
         slim = layout.select(col("marker name").alias(name), F.array(*[(col(f"center {a}") + s * col("size") / 2).cast("double") for sxy in signs for a, s in zip("xy", sxy)]).alias("s"))
         rows = detections.select(col(key), col(ts), col(name), *corners).join(slim, name).withColumnRenamed(name, "n")
-    frames = rows.groupBy(col(key), col(ts)).agg(F.sort_array(F.collect_list(F.struct("n", "i", "s"))).alias("m")).where(F.size("m") >= min_markers)
+    whole = ~F.exists("i", lambda x: x.isNull() | F.isnan(x)) & ~F.exists("s", lambda x: x.isNull() | F.isnan(x))
+    frames = rows.where(whole).groupBy(col(key), col(ts)).agg(F.sort_array(F.collect_list(F.struct("n", "i", "s"))).alias("m")).where(F.size("m") >= min_markers)
     frames = frames.select(col(key), col(ts), F.flatten(F.transform("m", lambda x: x["i"])).alias("i"), F.flatten(F.transform("m", lambda x: x["s"])).alias("s"))
     schema = ", ".join([f"`{key}` {dict(detections.dtypes)[key]}", f"`{ts}` bigint", *[f"`{c}` double" for c in HOMOGRAPHY_COLUMNS]])
 
@@ -130,8 +178,14 @@ def find_homographies(detections: DataFrame, layout: DataFrame | np.ndarray, nam
         import pandas as pd
 
         for b in batches:
-            h = [robust_homography(np.reshape(i, (-1, 2)), np.reshape(s, (-1, 2)), method, threshold).ravel() for i, s in zip(b["i"], b["s"])]
-            yield pd.concat([b[[key, ts]], pd.DataFrame(np.reshape(h, (-1, 9)), columns=list(HOMOGRAPHY_COLUMNS), index=b.index)], axis=1)
+            h = np.full((len(b), 3, 3), np.nan)
+            size = b["i"].map(len).to_numpy()
+            for n in np.unique(size):
+                own = np.flatnonzero(size == n)
+                image, surface = (np.stack(b[c].iloc[own].to_list()).reshape(len(own), -1, 2) for c in "is")
+                h[own] = robust_homographies(image, surface, method, threshold)
+            told = np.isfinite(h).all((1, 2))
+            yield pd.concat([b[[key, ts]], pd.DataFrame(h.reshape(-1, 9), columns=list(HOMOGRAPHY_COLUMNS), index=b.index)], axis=1)[told]
 
     return frames.mapInPandas(run, schema)
 
@@ -169,15 +223,36 @@ def density(df: DataFrame, x: str = "gaze x [px]", y: str = "gaze y [px]", step:
     return df.where(inside).groupBy(col(key), cell(x, width).alias("x bin"), cell(y, height).alias("y bin")).agg(F.count("*").alias("count"))
 
 
-def smoothed(counts: np.ndarray, sigma: float | None) -> np.ndarray:
-    """A density grid under a Gaussian (reflected edges); None or 0 leaves it."""
-    if not sigma or sigma <= 0:
-        return counts
+def gaussian(sigma: float) -> list[float]:
+    """Weights of a Gaussian to four deviations, of sum 1."""
     radius = int(4 * sigma + 0.5)
     kernel = np.exp(-0.5 * (np.arange(-radius, radius + 1) / sigma) ** 2)
-    kernel /= kernel.sum()
-    for axis in (0, 1):
-        pad = [(radius, radius) if a == axis else (0, 0) for a in (0, 1)]
-        wide = np.pad(counts, pad, mode="symmetric")
-        counts = np.apply_along_axis(lambda v: np.convolve(v, kernel, "valid"), axis, wide)
-    return counts
+    return (kernel / kernel.sum()).tolist()
+
+
+def smooth_density(counts: DataFrame, sigma: float | None, step: float = 10, width: float = G.WIDTH, height: float = G.HEIGHT, key: str = KEY) -> DataFrame:
+    """A density (see there) under a Gaussian of ``sigma`` cells with reflected edges; None or 0 leaves it.
+
+    The Gaussian is separable: along each axis every cell is dealt to its neighbours by
+    weight, images beyond the edges included, and the shares are summed.  A sum is combined
+    before its shuffle, so a recording's grid is never gathered.  Cells beyond the
+    reach of all points have no row.
+    """
+    counts = counts.withColumn("count", F.col("count").cast("double"))
+    if not sigma or sigma <= 0:
+        return counts
+    weights = gaussian(sigma)
+    radius = len(weights) // 2
+    kernel = F.array(*[F.lit(w) for w in weights])
+    for axis, size in (("x bin", width), ("y bin", height)):
+        n, other = int(np.ceil(size / step)), "y bin" if axis == "x bin" else "x bin"
+        # Where the cell itself and its mirror images lie on the axis without end.
+        turns = F.explode(F.array(*[F.lit(2 * n * m) for m in range(-(radius // (2 * n)) - 1, radius // (2 * n) + 2)]))
+        images = counts.select(col(key), col(axis).alias("i"), col(other), "count", turns.alias("turn"))
+        images = images.select(col(key), col(other), "count", F.explode(F.array(F.col("turn") + F.col("i"), F.col("turn") - 1 - F.col("i"))).alias("p"))
+        images = images.where((F.col("p") >= -radius) & (F.col("p") < n + radius))
+        to = F.sequence(F.greatest(F.lit(0), F.col("p") - radius), F.least(F.lit(n - 1), F.col("p") + radius))
+        dealt = images.select(col(key), col(other), "count", "p", F.explode(to).alias(axis))
+        share = F.col("count") * F.get(kernel, F.col("p") - col(axis) + radius)
+        counts = dealt.groupBy(col(key), col(axis), col(other)).agg(F.sum(share).alias("count"))
+    return counts.select(col(key), col("x bin"), col("y bin"), "count")

@@ -438,6 +438,20 @@ def _(spark, d):
     return short(out, col("x bin").alias("x"), col("y bin").alias("y"), F.col("count").alias("n"))
 
 
+@query(
+    "density_smoothed",
+    """WITH c AS (SELECT l_linenumber::BIGINT AS rec, least(floor(l_quantity / 5), 9)::INT AS x, least(floor(l_extendedprice / 10000), 9)::INT AS y, count(*) AS n FROM lineitem WHERE l_quantity BETWEEN 0 AND 50 AND l_extendedprice BETWEEN 0 AND 100000 GROUP BY ALL),
+    w AS (SELECT d, exp(-0.5 * d * d) / sum(exp(-0.5 * d * d)) OVER () AS w FROM range(-4, 5) AS t(d)),
+    k AS (SELECT j, CASE WHEN j + d < 0 THEN -1 - j - d WHEN j + d > 9 THEN 19 - j - d ELSE j + d END AS i, sum(w) AS w FROM range(10) AS t(j), w GROUP BY ALL),
+    a AS (SELECT rec, k.j AS x, y, sum(n * w) AS n FROM c JOIN k ON k.i = c.x GROUP BY ALL)
+    SELECT rec, x::INT AS x, k.j::INT AS y, round(sum(n * w), 5) AS n FROM a JOIN k ON k.i = a.y GROUP BY rec, x, k.j""",
+)
+def _(spark, d):
+    rows = spark.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_linenumber").cast("bigint").alias(KEY), F.col("l_quantity").cast("double").alias("x"), (F.col("l_extendedprice").cast("double") / 2000).alias("y"))
+    out = surface.smooth_density(surface.density(rows, "x", "y", 5, 50, 50), 1.0, 5, 50, 50)
+    return short(out, col("x bin").alias("x"), col("y bin").alias("y"), F.round("count", 5).alias("n"))
+
+
 @query("contour_order", "SELECT id, least(a, b)::DOUBLE AS tlx, 0::DOUBLE AS tly, greatest(a, b)::DOUBLE + 20 AS brx, 50::DOUBLE AS bry FROM (SELECT event_id AS id, event_id % 7 AS a, event_id % 11 AS b FROM events)")
 def _(spark, d):
     e = samples(spark, d).select("id", (F.col("id") % 7).cast("double").alias("a"), (F.col("id") % 11).cast("double").alias("b"))

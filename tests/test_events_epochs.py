@@ -117,7 +117,6 @@ def test_density_and_scanpath(spark, tables):
     pts = spark.createDataFrame([("r", 0.0, 0.0), ("r", 1600.0, 1200.0), ("r", -1.0, 5.0), ("r", 15.0, 5.0)], f"`{KEY}` string, `gaze x [px]` double, `gaze y [px]` double")
     got = {(r["x bin"], r["y bin"]): r["count"] for r in surface.density(pts).collect()}
     assert got == {(0, 0): 1, (159, 119): 1, (1, 0): 1}
-    assert surface.smoothed(np.eye(5), None).sum() == 5 and surface.smoothed(np.eye(5), 1).sum() == pytest.approx(5)
     clock = spark.createDataFrame([("r1", int(t)) for t in (0.5 * S, 0.6 * S, 0.7 * S, 3 * S, 9 * S)], f"`{KEY}` string, `{TS}` bigint")
     status = {r[TS]: [x["fixation status"] for x in r["fixations"] or []] for r in trajectory.scanpath(clock, tables["fixations"]).collect()}
     assert status == {int(0.5 * S): ["start"], int(0.6 * S): ["during"], int(0.7 * S): ["end"], 3 * S: ["end"], 9 * S: []}
@@ -177,3 +176,49 @@ def test_intervals_of_any_length(spark):
     got = sorted((x["timestamp [ns]"], x["i"]) for x in within(points, held, "a", "b").collect())
     assert got == sorted((t, i) for k, t in at if t is not None for j, i, a, b in ends if j == k and a <= t <= b) and len(got) > 100
     assert within(points, held.limit(0), "a", "b", how="left").count() == len(at)
+
+
+@pytest.mark.parametrize("sigma,n", [(1.0, 10), (2.5, 4), (0.3, 3)])
+def test_smoothed_density(spark, sigma, n):
+    """Against a padded convolution of the whole grid; small grids reflect more than once."""
+    r = np.random.default_rng(3)
+    grid = r.integers(0, 5, (n, n)).astype(float)
+    rows = [("r", int(x), int(y), int(grid[x, y])) for x in range(n) for y in range(n) if grid[x, y]]
+    counts = spark.createDataFrame(rows, "`recording id` string, `x bin` int, `y bin` int, count bigint")
+    kernel = np.array(surface.gaussian(sigma))
+    radius = len(kernel) // 2
+    want = grid
+    for axis in (0, 1):
+        wide = np.pad(want, [(radius, radius) if a == axis else (0, 0) for a in (0, 1)], mode="symmetric")
+        want = np.apply_along_axis(lambda v: np.convolve(v, kernel, "valid"), axis, wide)
+    got = np.zeros((n, n))
+    for row in surface.smooth_density(counts, sigma, 1, n, n).collect():
+        got[row["x bin"], row["y bin"]] = row["count"]
+    assert got == pytest.approx(want, abs=1e-12)
+    assert surface.smooth_density(counts, None).count() == len(rows)
+
+
+def test_homographies_of_bad_frames(spark):
+    """Null, NaN and equal corners and corners on a line end nothing and give no rows."""
+    names = [f"`{c} {a} [px]` double" for c in ("top left", "top right", "bottom right", "bottom left") for a in "xy"]
+    nan = float("nan")
+    good = [0.0, 0.0, 2.0, 0.0, 2.0, 2.0, 0.0, 2.0]
+    frames = [good, [None, *good[1:]], [nan, *good[1:]], [1.0] * 8, [0.0, 0.0, 1.0, 1.0, 2.0, 2.0, 3.0, 3.0]]
+    rows = spark.createDataFrame([("r", k, *f) for k, f in enumerate(frames)], "`recording id` string, `timestamp [ns]` bigint, " + ", ".join(names))
+    out = surface.find_homographies(rows, np.array([[10.0, 20], [14, 20], [14, 24], [10, 24]])).collect()
+    assert [r["timestamp [ns]"] for r in out] == [0] and out[0]["homography (0,0)"] == pytest.approx(2) and out[0]["homography (1,2)"] == pytest.approx(20)
+
+
+def test_stacked_robust_homographies():
+    r = np.random.default_rng(8)
+    truth = np.array([[1.2, 0.1, 30], [-0.05, 0.9, 12], [1e-4, -2e-4, 1]])
+    image = r.uniform(0, 1000, (50, 24, 2))
+    p = np.concatenate([image, np.ones((50, 24, 1))], -1) @ truth.T
+    target = p[..., :2] / p[..., 2:]
+    for k in range(50):  # up to a third of the pairs are wrong
+        target[k, : k % 9] += r.uniform(50, 400, (k % 9, 2))
+    for method in ("lmeds", "ransac"):
+        h = surface.robust_homographies(image, target, method)
+        assert np.abs(h - truth).max() < 1e-6
+        assert np.abs(surface.robust_homography(image[5], target[5], method) - h[5]).max() < 1e-9
+    assert np.abs(surface.homography(image[0], target[0]) - truth).max() < 1e-6
