@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import geometry as G
-from .operators import align, concat, epochs, intervals, properties, select, surface, trajectory
+from .operators import align, concat, epochs, intervals, pose, properties, select, surface, trajectory
 from .plans.neighbours import col
 from .schema import DURATION, END, HOMOGRAPHY_COLUMNS, KEY, START, TS
 from .sinks import bids
@@ -510,6 +510,43 @@ def _(spark, d):
     return short(out, col(TS).alias("t"), col("fixation id").alias("id"), col("fixation status").alias("status"))
 
 
+STATUS = ", c AS (SELECT DISTINCT rec, t FROM s), x AS (SELECT c.rec, c.t, e.id, row_number() OVER (PARTITION BY c.rec, e.id ORDER BY c.t) AS u, row_number() OVER (PARTITION BY c.rec, e.id ORDER BY c.t DESC) AS d FROM c JOIN e ON c.rec = e.rec AND c.t BETWEEN e.a AND e.b), y AS (SELECT rec, t, id, id || ':' || CASE WHEN d = 1 THEN 'end' WHEN u = 1 THEN 'start' ELSE 'during' END AS status, row_number() OVER (PARTITION BY rec, t ORDER BY id) AS n FROM x)"
+PATH = " SELECT c.rec, c.t, coalesce(string_agg(status, ',' ORDER BY id), '') AS path FROM c LEFT JOIN y ON c.rec = y.rec AND c.t = y.t{} GROUP BY c.rec, c.t"
+
+
+def _scanpath(spark: SparkSession, d: str, most: int | None) -> DataFrame:
+    clock = stream(spark, d).select(col(KEY), col(TS)).distinct()
+    out = trajectory.scanpath(clock, interval_events(spark, d).withColumnRenamed("event id", "fixation id"), max_fixations=most)
+    path = F.array_join(F.transform("fixations", lambda x: F.concat(x["fixation id"], F.lit(":"), x["fixation status"])), ",")
+    return short(out, col(TS).alias("t"), F.coalesce(path, F.lit("")).alias("path"))
+
+
+@query("scanpath", BASE + STATUS + PATH.format(""))
+def _(spark, d):
+    return _scanpath(spark, d, None)
+
+
+@query("scanpath_first_fixation", BASE + STATUS + PATH.format(" AND y.n = 1"))
+def _(spark, d):
+    """At most one fixation a frame."""
+    return _scanpath(spark, d, 1)
+
+
+@query("camera_pose", "SELECT event_id AS f, round((event_id % 7) / 10::DOUBLE - 0.3, 4) + 0.0 AS x, round((event_id % 5) / 10::DOUBLE - 0.2, 4) + 0.0 AS y, round(-1.5 - (event_id % 4) / 2::DOUBLE, 4) AS z, 0::DOUBLE AS turn FROM events WHERE event_type = 'signup'")
+def _(spark, d):
+    """Frames of a camera that looks along z at two markers in the plane: where it stands is found again."""
+    known = spark.createDataFrame([(1, [0.0, 0.0, 0.0], [0.0, 0.0, 1.0], 0.4), (2, [0.8, 0.3, 0.0], [0.0, 0.0, 1.0], 0.2)], "marker_id int, pos_vec array<double>, norm_vec array<double>, size double")
+    at = samples(spark, d).where("kind = 'signup'").select(F.lit(1).alias(KEY), F.col("id").alias("frame index"), ((F.col("id") % 7) / 10 - 0.3).alias("x"), ((F.col("id") % 5) / 10 - 0.2).alias("y"), (1.5 + (F.col("id") % 4) / 2).alias("z"))
+    seen = at.withColumn("m", F.explode(F.array(F.struct(F.lit("1").alias("id"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.lit(0.2).alias("h")), F.struct(F.lit("2").alias("id"), F.lit(0.8).alias("x"), F.lit(0.3).alias("y"), F.lit(0.1).alias("h")))))
+    corners = {"top left": (1, -1), "top right": (1, 1), "bottom right": (-1, 1), "bottom left": (-1, -1)}
+    pixel = lambda a, s, f, c: f * (F.col(f"m.{a}") + s * F.col("m.h") - F.col(a)) / F.col("z") + c
+    seen = seen.select(col(KEY), col("frame index"), F.col("m.id").alias("marker id"), *[pixel(a, s, f, c).alias(f"{corner} {a} [px]") for corner, (sx, sy) in corners.items() for a, s, f, c in (("x", sx, 900.0, 800.0), ("y", sy, 880.0, 600.0))])
+    out = pose.estimate_camera_pose(seen, known, [[900.0, 0.0, 800.0], [0.0, 880.0, 600.0], [0.0, 0.0, 1.0]])
+    place = [(F.round(F.col("camera_pos")[k], 4) + 0.0).alias(a) for k, a in enumerate("xyz")]
+    turn = F.round(F.abs(F.col("rotation_vector")[0]) + F.abs(F.col("rotation_vector")[1]) + F.abs(F.col("rotation_vector")[2]), 4).alias("turn")
+    return out.select(col("frame index").alias("f"), *place, turn)
+
+
 @query("timestamp_to_frame", BASE + ", fr AS (SELECT rec, t, row_number() OVER (PARTITION BY rec ORDER BY t) - 1 AS f FROM s WHERE kind = 'click') SELECT g.rec, g.t, fr.f FROM g ASOF LEFT JOIN fr ON g.rec = fr.rec AND g.t <= fr.t")
 def _(spark, d):
     out = trajectory.timestamp_to_frame_index(grid(spark, d), frames(spark, d, "click"))
