@@ -40,6 +40,17 @@ def distort(x: Column, y: Column, matrix: list[list[float]], coefficients: list[
     return a * fx + cx, b * fy + cy
 
 
+def undistort(x: Column, y: Column, matrix: list[list[float]], coefficients: list[float], steps: int = 20) -> Column:
+    """Distorted to undistorted pixels (struct ``x, y``): the fixed point of ``distort``, as a fold without Python."""
+    start = F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+
+    def nearer(at: Column, _: Column) -> Column:
+        a, b = distort(at["x"], at["y"], matrix, coefficients)
+        return F.struct((at["x"] + x - a).cast("double").alias("x"), (at["y"] + y - b).cast("double").alias("y"))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, nearer)
+
+
 def rectangle_score(corners: Column) -> Column:
     """How rectangular four corners (structs x, y in order) are: 0 for a square, else negative."""
     at = lambda i: corners[i % 4]

@@ -500,6 +500,16 @@ def _(spark, d):
     return short(g, col(TS).alias("t"), r6(x, "x"), r6(y, "y"))
 
 
+@query("undistort_points", BASE + "SELECT rec, t, round(v * 1.0 + 700, 4) AS x, round((id % 400) + 400.0::DOUBLE, 4) AS y FROM s")
+def _(spark, d):
+    """Points through the lens and back again, both as expressions."""
+    lens = [[900.0, 0.0, 800.0], [0.0, 900.0, 600.0], [0.0, 0.0, 1.0]], [-0.1, 0.05, 0.001, 0.002, 0.0, 0.2, 0.0, 0.0]
+    s = stream(spark, d).select(col(KEY), col(TS), (F.col("v") * 1.0 + 700).alias("x"), (F.col("id") % 400 + 400.0).alias("y"))
+    bent = G.distort(F.col("x"), F.col("y"), *lens)
+    s = s.withColumns({"a": bent[0], "b": bent[1]}).withColumn("p", G.undistort(F.col("a"), F.col("b"), *lens))
+    return short(s, col(TS).alias("t"), F.round("p.x", 4).alias("x"), F.round("p.y", 4).alias("y"))
+
+
 # --- frames ------------------------------------------------------------------------------
 
 
