@@ -150,6 +150,25 @@ def near_mates(member: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.groupBy("bucket").applyInArrow(compare, "group bigint, a bigint, b bigint, la bigint, lb bigint, apart double")
 
 
+def _near_members(member: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of group mates (``group, key, label``), those with a mate of another label so near that it may be a link; equal groups once."""
+    size = member.groupBy("group").agg(F.count("*").alias("n")).where("n > 1").select("group", F.ceil(F.col("n") / UNIT).cast("int").alias("blocks"))
+    rows = _units(member.join(size, "group").join(sets.select("key", "n", "sketch"), "key"))
+
+    def compare(table: pa.Table) -> pa.Table:
+        unit = _Units(table)
+        found = np.zeros(len(unit.key), bool)
+        for x, y in unit.ranges():
+            root = np.unique(unit.label[x:y], return_inverse=True)[1]
+            for a, b, _ in unit.near(x, y, root, percent):
+                found[a] = found[b] = True
+        return trim(pa.table({"group": unit.group[found], "key": unit.key[found], "label": unit.label[found]}))
+
+    near = rows.groupBy("bucket").applyInArrow(compare, "group bigint, key bigint, label bigint").distinct()
+    name = near.groupBy("group").agg(F.bit_xor(F.xxhash64("key")).alias("x"), F.count("*").alias("n"))
+    return near.join(name.groupBy("x", "n").agg(F.min("group").alias("group")).select("group"), "group", "left_semi")
+
+
 def _units(rows: DataFrame) -> DataFrame:
     """Members of ``blocks`` blocks a group, each in every unit that its block is part of, with the unit's bucket."""
     width = shuffle_width(rows.sparkSession)
@@ -271,6 +290,7 @@ def labels_of(member: DataFrame, sets: DataFrame, whole: DataFrame, percent: int
         label = cut(label, spent)
         open_, n = counted(near.select("group", x, y).join(failed, ["x", "y"], "left_semi").select("group").distinct(), spent)
         now = cut(_apart(member.join(small_enough(open_, n), "group", "left_semi"), label), spent)
+        now = cut(_near_members(now, sets, percent), spent)
         more, n = counted(_exact_forest(now, sets, whole, percent, spent), spent)
         if n:
             label = joined(label, more, spent)
