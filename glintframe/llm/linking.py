@@ -4,8 +4,9 @@ Shared by the set-similarity join and the near-duplicate forest.  Equal sets are
 vertex, told by a key.  Groups are not expanded into all pairs: of each group only
 as many near pairs are compared as would join all mates that may be linked at all.
 If all of them are links, no other pair can join anything.  Only groups where one is
-none are looked at again: their sets are compared inside the tasks, nearest first,
-and only pairs of different components, so what comes out is a forest.
+none are looked at again.  Where a set lies in few groups, their sets are compared
+inside the tasks, nearest first, and only across components, so what comes out is a
+forest; where it lies in many, the near pairs of different components become rows.
 """
 
 from __future__ import annotations
@@ -150,23 +151,23 @@ def near_mates(member: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.groupBy("bucket").applyInArrow(compare, "group bigint, a bigint, b bigint, la bigint, lb bigint, apart double")
 
 
-def _near_members(member: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of group mates (``group, key, label``), those with a mate of another label so near that it may be a link; equal groups once."""
+def _near_pairs(member: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of group mates (``group, key, label``), all pairs (``a, b``) of different labels whose sketches allow a link."""
     size = member.groupBy("group").agg(F.count("*").alias("n")).where("n > 1").select("group", F.ceil(F.col("n") / UNIT).cast("int").alias("blocks"))
     rows = _units(member.join(size, "group").join(sets.select("key", "n", "sketch"), "key"))
 
     def compare(table: pa.Table) -> pa.Table:
         unit = _Units(table)
-        found = np.zeros(len(unit.key), bool)
+        out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)]]
         for x, y in unit.ranges():
             root = np.unique(unit.label[x:y], return_inverse=True)[1]
             for a, b, _ in unit.near(x, y, root, percent):
-                found[a] = found[b] = True
-        return trim(pa.table({"group": unit.group[found], "key": unit.key[found], "label": unit.label[found]}))
+                out[0].append(a)
+                out[1].append(b)
+        a, b = map(np.concatenate, out)
+        return trim(pa.table({"a": unit.key[a], "b": unit.key[b]}))
 
-    near = rows.groupBy("bucket").applyInArrow(compare, "group bigint, key bigint, label bigint").distinct()
-    name = near.groupBy("group").agg(F.bit_xor(F.xxhash64("key")).alias("x"), F.count("*").alias("n"))
-    return near.join(name.groupBy("x", "n").agg(F.min("group").alias("group")).select("group"), "group", "left_semi")
+    return rows.groupBy("bucket").applyInArrow(compare, "a bigint, b bigint").distinct()
 
 
 def _units(rows: DataFrame) -> DataFrame:
@@ -290,8 +291,11 @@ def labels_of(member: DataFrame, sets: DataFrame, whole: DataFrame, percent: int
         label = cut(label, spent)
         open_, n = counted(near.select("group", x, y).join(failed, ["x", "y"], "left_semi").select("group").distinct(), spent)
         now = cut(_apart(member.join(small_enough(open_, n), "group", "left_semi"), label), spent)
-        now = cut(_near_members(now, sets, percent), spent)
-        more, n = counted(_exact_forest(now, sets, whole, percent, spent), spent)
+        if first is None:  # every set lies in many groups, and few of their pairs are near
+            pairs = _near_pairs(now, sets, percent).join(best.select("a", "b"), ["a", "b"], "left_anti")
+            more, n = counted(_linked(pairs, sets, whole, percent, spent), spent)
+        else:
+            more, n = counted(_exact_forest(now, sets, whole, percent, spent), spent)
         if n:
             label = joined(label, more, spent)
     return label
