@@ -414,7 +414,7 @@ def test_light_and_crowded_parts_count_together():
         data = np.frombuffer(" ".join(f"w{n}x{k}" for k in range(n)).encode(), np.uint8)
         block = exchange.Block(0, pa.array([1]), np.array([0, len(data)]), data, np.zeros(1, np.int64))
         bands = partenum.Bands(80)
-        sets = partenum._vertices(block, 1)[3]
+        sets = partenum.vertices(block, 1)[3]
         _, vertex, part, light, spare = partenum.signatures(sets, bands)
         weak, spare = np.unique(part[light & (part >> 32 == 0)]), int(spare[0, 0])
         if not 0 < len(weak) <= spare:
