@@ -2,7 +2,8 @@
 
 A recording's part is one file of packed structs and, for streams, one of instants.
 Every range of ``records`` structs is a partition, so a long recording is many tasks,
-and each task reads its bytes alone.  Bounds on the time column are pushed here: a
+and each task reads its bytes alone; beyond ``TASKS`` ranges, neighbouring ones share
+a partition, so many short recordings are few tasks.  Bounds on the time column are pushed here: a
 task reads the instants of its range first and then only the structs between the
 first and the last that lie inside; a range without any is never read.  Only the
 fields of the asked columns are decoded.
@@ -18,6 +19,7 @@ import ast
 import json
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,13 +31,15 @@ from .stores import listed, read_all, read_at
 
 #: Records of one partition, and of one batch of rows.
 RECORDS, ROWS = 1_000_000, 65_536
+#: Ranges that are partitions of their own; more are bundled, up to ``RECORDS`` structs a partition.
+TASKS = 512
 #: The place of a record in its file.
 PLACE = "record"
 LEAST, MOST = -(1 << 63), (1 << 63) - 1
 
 
 @dataclass
-class Part(InputPartition):
+class Part:
     """Records ``start`` to ``start + count`` of one recording."""
 
     key: str
@@ -48,6 +52,14 @@ class Part(InputPartition):
     count: int
 
 
+@dataclass
+class Bundle(InputPartition):
+    """The ranges that one task reads."""
+
+    parts: list[Part]
+
+
+@lru_cache(256)
 def dtype_of(text: str) -> np.dtype:
     """The dtype that a file's literal describes."""
     return np.dtype(ast.literal_eval(text))
@@ -125,6 +137,10 @@ class RecordsReader(DataSourceReader):
         self.schema, self.found, self.records = schema, found, records
         self.low, self.high = LEAST, MOST
 
+    def __getstate__(self) -> dict:
+        """What tasks need: their partitions name the files, so the list of all recordings stays with the planner."""
+        return {**self.__dict__, "found": []}
+
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
         """Bounds on the instants stay here; all other filters go back to Spark."""
         for f in filters:
@@ -144,16 +160,34 @@ class RecordsReader(DataSourceReader):
             else:
                 yield f
 
-    def partitions(self) -> list[Part]:
-        out = []
+    def partitions(self) -> list[Bundle]:
+        ranges = sum(-(-r["count"] // self.records) for r in self.found)
+        most = -(-ranges // TASKS)
+        out, held = [], 0
         for r in self.found:
             for start in range(0, r["count"], self.records):
-                out.append(Part(r["key"], r["raw"], r["time"], r["worn"], r["dtype"], r["worn_dtype"], start, min(self.records, r["count"] - start)))
-        return out or [Part("", "", None, None, "[]", None, 0, 0)]
-
-    def read(self, partition: Part) -> Iterator[pa.RecordBatch]:
-        p = partition
-        dtype = dtype_of(p.dtype) if p.count else np.dtype([])
+                count = min(self.records, r["count"] - start)
+                if not out or len(out[-1].parts) == most or held + count > RECORDS:
+                    out.append(Bundle([]))
+                    held = 0
+                out[-1].parts.append(Part(r["key"], r["raw"], r["time"], r["worn"], r["dtype"], r["worn_dtype"], start, count))
+                held += count
+        return out or [Bundle([])]
+
+    def read(self, partition: Bundle) -> Iterator[pa.RecordBatch]:
+        """Batches of about ``ROWS`` rows, from however many ranges."""
+        held, rows = [], 0
+        for p in partition.parts:
+            for batch in self._range(p):
+                held.append(batch)
+                rows += batch.num_rows
+                if rows >= ROWS:
+                    yield from _joined(held)
+                    held, rows = [], 0
+        yield from _joined(held)
+
+    def _range(self, p: Part) -> Iterator[pa.RecordBatch]:
+        dtype = dtype_of(p.dtype)
         for start in range(p.start, p.start + p.count, ROWS):
             n = min(ROWS, p.start + p.count - start)
             place, times = np.arange(start, start + n), None
@@ -196,6 +230,10 @@ class RecordsReader(DataSourceReader):
         return pa.array(flags[at].astype("i8") if len(flags) else np.zeros(len(place), "i8"), mask=~known)
 
 
+def _joined(batches: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
+    return pa.Table.from_batches(batches).combine_chunks().to_batches() if batches else []
+
+
 def registered(spark):
     """The session with the data source known to it, and pushed filters allowed."""
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")

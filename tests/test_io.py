@@ -187,6 +187,24 @@ def test_a_recording_is_read_by_many_tasks(spark, tmp_path):
         native.read_stream(spark, str(tmp_path), "gaze")
 
 
+def test_many_recordings_are_few_tasks(spark, tmp_path):
+    """Ranges share partitions, rows stay as they are, and no task gets the list of all recordings."""
+    import pickle
+
+    from glintframe.sources import records
+
+    rows = spark.range(4200).select(F.concat(F.lit("r"), F.col("id") % 700).alias(KEY), (F.col("id") * 10).alias(TS), F.col("id").alias("v"))
+    write_native_stream(rows, str(tmp_path), "imu", {"v": ("v", "<i8")})
+    got = native.read_stream(spark, str(tmp_path), "imu", records=4)
+    assert got.rdd.getNumPartitions() <= records.TASKS
+    assert sorted(map(tuple, got.collect())) == sorted((f"r{i % 700}", 10 * i, i) for i in range(4200))
+    some = native.read_stream(spark, str(tmp_path), "imu", columns=["v"], records=4).where(f"`{TS}` >= 20000 and `{TS}` < 20100")
+    assert sorted(r["v"] for r in some.collect()) == list(range(2000, 2010))
+    source = records.Records({"folders": json.dumps([str(tmp_path)]), "part": "imu", "timed": "true", "records": "4"})
+    reader = source.reader(source.schema())
+    assert len(pickle.dumps(reader)) < 2000 and sum(p.count for b in reader.partitions() for p in b.parts) == 4200
+
+
 def test_named_files(spark, tmp_path):
     rows = [(f"{d}/f{k}{end}", f"{d}{k}{i}\n".encode(), i) for d in ("a", "b/c") for k in range(3) for end in ("", ".gz") for i in range(50)]
     pieces = spark.createDataFrame(rows, "file string, data binary, at bigint").repartition(7)
