@@ -166,6 +166,28 @@ def test_camera_pose(spark):
         pose.estimate_camera_pose(seen, known.drop("size"), matrix.tolist())
 
 
+def test_poses_of_many_frames_in_one_stack():
+    """Frames with points in a plane and in space, and some that fix no pose, in time that one frame after another does not keep."""
+    import time
+
+    random = np.random.default_rng(3)
+    matrix, bend = np.array([[900.0, 0, 800], [0, 880, 600], [0, 0, 1]]), np.array([-0.13, 0.11, 1e-4, -2e-4, 0, 0.17, 0.05, 0.02])
+    count = 2000
+    turn, shift = random.uniform(-0.5, 0.5, (count, 3)), random.uniform(-0.2, 0.2, (count, 3)) + [0, 0, 2.0]
+    world = random.uniform(-0.4, 0.4, (count, 8, 3)) * np.where(np.arange(count) % 2, 1.0, 0.0)[:, None, None] ** np.array([0, 0, 1])
+    p = world @ np.swapaxes(pose.rotation(turn), 1, 2) + shift[:, None]
+    image = pose._distorted(p[..., :2] / p[..., 2:], bend) * matrix[[0, 1], [0, 1]] + matrix[:2, 2]
+    image[7, 2, 0], world[9], image[11] = np.nan, world[9, :1], image[11, :1]
+    now = time.process_time()
+    r, t = pose.solve_poses(world, image, matrix, bend)
+    assert time.process_time() - now < 4
+    good = np.setdiff1d(np.arange(count), [7, 9, 11])
+    assert np.abs(r[good] - turn[good]).max() < 1e-6 and np.abs(t[good] - shift[good]).max() < 1e-6
+    assert np.isnan(r[[7, 9]]).all()
+    one = pose.solve_pose(world[4], image[4], matrix, bend)
+    assert np.allclose(one, (r[4], t[4]), atol=1e-9) and pose.solve_pose(world[7], image[7], matrix, bend) is None
+
+
 def test_intervals_of_any_length(spark):
     """The default bins give each pair once, for lengths from 0 to nearly all of the time."""
     r = np.random.default_rng(4)
