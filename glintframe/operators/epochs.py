@@ -127,5 +127,9 @@ def apply_baseline(epochs: DataFrame, baseline: tuple[float | None, float | None
             usable = (F.count_if(inside).over(w) >= 2) & (F.count_if(inside & col(c).isNull()).over(w) == 0)
             shift = F.when(usable, slope * seconds + intercept)
         new = col(c) - F.coalesce(shift, F.lit(0.0))
-        out = out.withColumn(f"__b {c}", F.pmod(new + 180, F.lit(360.0)) - 180 if c in CIRCULAR_COLUMNS else new)
+        if c in CIRCULAR_COLUMNS:
+            # The last bits of a mean follow the order of its rows: an angle that they alone keep under 180 is -180.
+            turned = F.pmod(new + 180, F.lit(360.0))
+            new = F.when(turned.between(360 - 1e-9, 360.0), F.lit(0.0)).otherwise(turned) - 180
+        out = out.withColumn(f"__b {c}", new)
     return out.select(*[(col(f"__b {c}").alias(c) if c in columns else col(c)) for c in epochs.columns])

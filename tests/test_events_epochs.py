@@ -188,6 +188,15 @@ def test_poses_of_many_frames_in_one_stack():
     assert np.allclose(one, (r[4], t[4]), atol=1e-9) and pose.solve_pose(world[7], image[7], matrix, bend) is None
 
 
+def test_half_a_turn_in_any_order_of_the_rows(spark):
+    """A mean's last bits differ with the order of its rows; half a turn is -180 with all of them."""
+    rows = [(f"r{k}", 0, at, yaw) for k, bits in enumerate((-1, 0, 1)) for at, yaw in ((0, 137.46 - bits * 2.8e-14), (10, -42.54))]
+    e = spark.createDataFrame([*rows, ("n", 0, 0, float("nan")), ("e", 0, 0, 1.0), ("e", 0, 10, 180.5)], f"`{KEY}` string, `epoch index` int, `epoch time [ns]` bigint, `yaw [deg]` double")
+    got = {(r[KEY], r["epoch time [ns]"]): r["yaw [deg]"] for r in epochs.apply_baseline(e, (None, 0), "mean", ["yaw [deg]"]).collect()}
+    assert [round(got[f"r{k}", 10], 9) for k in range(3)] == [-180.0] * 3
+    assert np.isnan(got["n", 0]) and got["e", 10] == 179.5
+
+
 def test_intervals_of_any_length(spark):
     """The default bins give each pair once, for lengths from 0 to nearly all of the time."""
     r = np.random.default_rng(4)
