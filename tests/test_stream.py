@@ -83,6 +83,33 @@ def test_ties_gaps_nulls_and_leaks(spark):
     assert gap["i"].isna().to_list() == [True, False, False, False, True, False, True, False, True]
 
 
+def test_splines_of_many_recordings_in_one_stack(spark):
+    """Recordings of all lengths together give what each gives alone, in time that loops over samples do not keep."""
+    import time
+
+    from glintframe.operators import align
+
+    random = np.random.default_rng(5)
+    xs = [np.sort(random.choice(10_000, n, replace=False)) / 10 for n in [*range(1, 9), *random.integers(40, 90, 800)]]
+    ys, ats = [random.normal(size=len(x)) for x in xs], [np.linspace(x[0], x[-1], 50) for x in xs]
+    ys[20][3] = np.nan
+    for degree in (2, 3):
+        now = time.process_time()
+        got = align.spline_values(xs, ys, ats, degree)
+        assert time.process_time() - now < 0.8
+        for k in (*range(30), 400, 801):
+            assert np.allclose(got[k], align.spline(xs[k], ys[k], ats[k], degree), rtol=1e-9, atol=1e-9, equal_nan=True)
+        assert np.isnan(got[20]).all() and not np.isnan(got[21]).any()
+    rows = [(f"r{k}", 1_000_000_000 * i, float(i**3 - k * i)) for k in range(40) for i in range(6 + k)]
+    s = spark.createDataFrame([*rows, *rows[:50], ("alone", 5, 1.0)], f"`{KEY}` string, `{TS}` bigint, v double")
+    at = spark.createDataFrame([(f"r{k}", 500_000_000 + 1_000_000_000 * i, i) for k in range(41) for i in range(5)], f"`{KEY}` string, `{TS}` bigint, n int")
+    want = {(f"r{k}", i): (i + 0.5) ** 3 - k * (i + 0.5) if k < 40 else None for k in range(41) for i in range(5)}
+    for r in align.interpolate(s, at, ["v"], "cubic", max_gap_ms=None).collect():
+        value = want.pop((r[KEY], r["n"]))
+        assert r["v"] is None if value is None else abs(r["v"] - value) < 1e-6
+    assert not want
+
+
 def test_splines_reproduce_polynomials(spark):
     t = np.array([0, 1, 2, 4, 5, 7, 8, 10]) * 10**8
     src = spark.createDataFrame([("a", int(x), float((x / 1e9) ** 2 + 1), float((x / 1e9) ** 3)) for x in t], f"`{KEY}` string, `{TS}` bigint, q double, c double")
