@@ -66,13 +66,13 @@ def _cloud(spark, d) -> str:
 
 @query("cloud_gaze", BASE + "SELECT rec::VARCHAR AS rec, t, v AS x, v / 2 AS y FROM s")
 def _(spark, d):
-    out = cloud.read_csv(spark, f"{_cloud(spark, d)}/*/gaze.csv")
+    out = cloud.read_csv(spark, _cloud(spark, d), files="gaze.csv")
     return short(out, col(TS).alias("t"), col("gaze x [px]").alias("x"), col("gaze y [px]").alias("y"))
 
 
 @query("cloud_messages", BASE + "SELECT rec::VARCHAR AS rec, t, kind || ', \"' || id || '\"' AS name FROM s WHERE kind = 'signup'")
 def _(spark, d):
-    out = cloud.read_csv(spark, f"{_cloud(spark, d)}/*/events.csv")
+    out = cloud.read_csv(spark, _cloud(spark, d), files="events.csv")
     return short(out, col(TS).alias("t"), "name")
 
 
@@ -81,7 +81,7 @@ def _(spark, d):
     """What the tables of all recordings are, told by their columns."""
     folder, out = _cloud(spark, d), None
     for file in ("gaze", "events", "blinks"):
-        rows = cloud.read_csv(spark, f"{folder}/*/{file}.csv")
+        rows = cloud.read_csv(spark, folder, files=f"{file}.csv")
         kind = stream_type(rows.columns) if file == "gaze" else event_type(rows.columns)[0]
         more = rows.agg(F.lit(kind).alias("kind"), F.lit(file).alias("file"), F.count("*").alias("n"), F.countDistinct(col(KEY)).alias("recordings"))
         out = more if out is None else out.union(more)

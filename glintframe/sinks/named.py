@@ -14,6 +14,7 @@ import json
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -88,19 +89,21 @@ class NamedFilesWriter(DataSourceArrowWriter):
         return Written(folder, names)
 
     def commit(self, messages: list[Written | None]) -> None:
+        with ThreadPool(16) as pool:
+            pool.map(self._name, [m for m in messages if m is not None])
+        self._clear()
+
+    def _name(self, written: Written) -> None:
+        """Give a task's files their names; no other task has files of their folders."""
         files, target = store(self.target)
+        _, folder = store(written.folder)
         made: set[str] = set()
-        for m in messages:
-            if m is None:
-                continue
-            _, folder = store(m.folder)
-            for k, name in enumerate(m.files):
-                above = f"{target}/{name}".rpartition("/")[0]
-                if above not in made:
-                    files.create_dir(above, recursive=True)
-                    made.add(above)
-                files.move(f"{folder}/{k}", f"{target}/{name}")
-        self._clear()
+        for k, name in enumerate(written.files):
+            above = f"{target}/{name}".rpartition("/")[0]
+            if above not in made:
+                files.create_dir(above, recursive=True)
+                made.add(above)
+            files.move(f"{folder}/{k}", f"{target}/{name}")
 
     def abort(self, messages: list[Written | None]) -> None:
         self._clear()

@@ -205,6 +205,23 @@ def test_many_recordings_are_few_tasks(spark, tmp_path):
     assert len(pickle.dumps(reader)) < 2000 and sum(p.count for b in reader.partitions() for p in b.parts) == 4200
 
 
+def test_many_folders_are_listed_by_few_tasks(spark, tmp_path):
+    from glintframe.sources import cloud
+
+    for k in range(150):
+        (tmp_path / f"r{k}").mkdir()
+        (tmp_path / f"r{k}" / "blinks.csv").write_text(f"recording id,blink id\nr{k},{k}\n")
+        (tmp_path / f"r{k}" / "gaze.csv").write_text("other\n1\n")
+    name = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before, tracker = spark.conf.get(name), spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("listing", "")
+    rows = cloud.read_csv(spark, str(tmp_path), files="blinks.csv")
+    stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup("listing") for s in tracker.getJobInfo(j).stageIds]
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert stages and max(s.numTasks for s in stages if s) <= cloud.LISTERS
+    assert sorted(map(tuple, rows.collect())) == sorted((f"r{k}", k) for k in range(150)) and spark.conf.get(name) == before
+
+
 def test_named_files(spark, tmp_path):
     rows = [(f"{d}/f{k}{end}", f"{d}{k}{i}\n".encode(), i) for d in ("a", "b/c") for k in range(3) for end in ("", ".gz") for i in range(50)]
     pieces = spark.createDataFrame(rows, "file string, data binary, at bigint").repartition(7)
