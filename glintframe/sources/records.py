@@ -7,6 +7,7 @@ a partition, so many short recordings are few tasks.  Bounds on the time column
 task reads the instants of its range first and then only the structs between the
 first and the last that lie inside; a range without any is never read.  Only the
 fields of the asked columns are decoded.
+Folders are listed, and dtype files read, once: when the frame is made.
 
 Options: ``folders`` (JSON list of recordings or folders of them), ``part`` (file
 stem, such as ``gaze``), ``timed`` (``true`` for streams), ``records``, ``columns``
@@ -17,6 +18,8 @@ from __future__ import annotations
 
 import ast
 import json
+import pickle
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -74,7 +77,8 @@ def recordings(folders: list[str], stem: str, timed: bool) -> list[dict]:
 
     def text(uri: str) -> str:
         # One file in each recording, but few different contents; it is a line of text.
-        return texts.setdefault(uri, read_all(uri).decode())
+        t = read_all(uri).decode()
+        return texts.setdefault(t, t)
 
     for folder, files in sorted(by.items()):
         raws = sorted((f for f in files if f.endswith(".raw") and f.startswith((f"{stem} ps", f"{stem}_200hz"))), key=lambda f: ("200hz" not in f, f))
@@ -104,11 +108,17 @@ class Records(DataSource):
     def name(cls) -> str:
         return "glintframe_records"
 
+    #: What was found, packed: Spark keeps this object from the schema to the plans, so the store is listed once.
+    _packed: bytes | None = None
+
     def _found(self) -> list[dict]:
+        if self._packed is not None:
+            return pickle.loads(zlib.decompress(self._packed))
         folders = json.loads(self.options["folders"])
         found = recordings(folders, self.options["part"], self.options.get("timed") == "true")
         if not found:
             raise FileNotFoundError(f"no recording with {self.options['part']} in {', '.join(folders)}")
+        self._packed = zlib.compress(pickle.dumps(found), 1)
         return found
 
     def schema(self) -> StructType:
@@ -192,13 +202,13 @@ class RecordsReader(DataSourceReader):
             n = min(ROWS, p.start + p.count - start)
             place, times = np.arange(start, start + n), None
             if p.time:
-                times = np.frombuffer(read_at(p.time, 8 * start, 8 * n), "<i8")
+                times = np.frombuffer(_exactly(p.time, 8 * start, 8 * n), "<i8")
                 inside = np.flatnonzero((times >= self.low) & (times <= self.high))
                 if not len(inside):
                     continue
                 place, times = place[inside], times[inside]
             first, last = int(place[0]), int(place[-1])
-            records = np.frombuffer(read_at(p.raw, first * dtype.itemsize, (last - first + 1) * dtype.itemsize), dtype)[place - first]
+            records = np.frombuffer(_exactly(p.raw, first * dtype.itemsize, (last - first + 1) * dtype.itemsize), dtype)[place - first]
             yield self._batch(p, place, times, records)
 
     def _batch(self, p: Part, place: np.ndarray, times: np.ndarray | None, records: np.ndarray) -> pa.RecordBatch:
@@ -230,6 +240,13 @@ class RecordsReader(DataSourceReader):
         return pa.array(flags[at].astype("i8") if len(flags) else np.zeros(len(place), "i8"), mask=~known)
 
 
+def _exactly(uri: str, start: int, length: int) -> bytes:
+    data = read_at(uri, start, length)
+    if len(data) != length:
+        raise ValueError(f"{uri} has become shorter since its folder was listed")
+    return data
+
+
 def _joined(batches: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
     return pa.Table.from_batches(batches).combine_chunks().to_batches() if batches else []
 

@@ -205,6 +205,28 @@ def test_many_recordings_are_few_tasks(spark, tmp_path):
     assert len(pickle.dumps(reader)) < 2000 and sum(p.count for b in reader.partitions() for p in b.parts) == 4200
 
 
+def test_folders_are_listed_once(spark, tmp_path, monkeypatch):
+    """The data source keeps what it found from the schema to the plans, and does not lose records of a file cut since."""
+    import pickle
+
+    from glintframe.sources import records
+
+    rows = spark.range(60).select(F.concat(F.lit("r"), F.col("id") % 6).alias(KEY), (F.col("id") * 10).alias(TS), F.col("id").alias("v"))
+    write_native_stream(rows, str(tmp_path), "imu", {"v": ("v", "<i8")})
+    source = records.Records({"folders": json.dumps([str(tmp_path)]), "part": "imu", "timed": "true"})
+    schema = source.schema()
+    kept = pickle.loads(pickle.dumps(source))  # as Spark keeps it between its planners
+    for name in ("listed", "read_all"):
+        monkeypatch.setattr(records, name, None)
+    reader = kept.reader(schema)
+    assert sum(b.num_rows for p in reader.partitions() for b in reader.read(p)) == 60
+    got = native.read_stream(spark, str(tmp_path), "imu")
+    times = tmp_path / "r3" / "imu ps1.time"
+    times.write_bytes(times.read_bytes()[:-8])
+    with pytest.raises(Exception, match="has become shorter"):
+        got.collect()
+
+
 def test_many_folders_are_listed_by_few_tasks(spark, tmp_path):
     from glintframe.sources import cloud
 
