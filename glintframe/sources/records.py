@@ -6,7 +6,7 @@ and each task reads its bytes alone; beyond ``TASKS`` ranges, neighbouring ones
 a partition, so many short recordings are few tasks.  Bounds on the time column are pushed here: a
 task reads the instants of its range first and then only the structs between the
 first and the last that lie inside; a range without any is never read.  Only the
-fields of the asked columns are decoded.
+fields of the asked columns are decoded, and structs without an asked field are not read.
 Folders are listed, and dtype files read, once: when the frame is made.
 
 Options: ``folders`` (JSON list of recordings or folders of them), ``part`` (file
@@ -197,7 +197,7 @@ class RecordsReader(DataSourceReader):
         yield from _joined(held)
 
     def _range(self, p: Part) -> Iterator[pa.RecordBatch]:
-        dtype = dtype_of(p.dtype)
+        dtype, asked = dtype_of(p.dtype), {f.name for f in self.schema.fields}
         for start in range(p.start, p.start + p.count, ROWS):
             n = min(ROWS, p.start + p.count - start)
             place, times = np.arange(start, start + n), None
@@ -207,12 +207,14 @@ class RecordsReader(DataSourceReader):
                 if not len(inside):
                     continue
                 place, times = place[inside], times[inside]
-            first, last = int(place[0]), int(place[-1])
-            records = np.frombuffer(_exactly(p.raw, first * dtype.itemsize, (last - first + 1) * dtype.itemsize), dtype)[place - first]
-            yield self._batch(p, place, times, records)
-
-    def _batch(self, p: Part, place: np.ndarray, times: np.ndarray | None, records: np.ndarray) -> pa.RecordBatch:
-        by = {NATIVE_NAMES.get(n, n): n for n in records.dtype.names}
+            records = None
+            if any(NATIVE_NAMES.get(name, name) in asked for name in dtype.names):
+                first, last = int(place[0]), int(place[-1])
+                records = np.frombuffer(_exactly(p.raw, first * dtype.itemsize, (last - first + 1) * dtype.itemsize), dtype)[place - first]
+            yield self._batch(p, dtype, place, times, records)
+
+    def _batch(self, p: Part, dtype: np.dtype, place: np.ndarray, times: np.ndarray | None, records: np.ndarray | None) -> pa.RecordBatch:
+        by = {NATIVE_NAMES.get(n, n): n for n in dtype.names}
         columns = []
         for field in self.schema.fields:
             kind = pa.float64() if isinstance(field.dataType, DoubleType) else pa.int64()

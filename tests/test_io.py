@@ -227,6 +227,22 @@ def test_folders_are_listed_once(spark, tmp_path, monkeypatch):
         got.collect()
 
 
+def test_instants_alone_are_read_without_structs(spark, tmp_path, monkeypatch):
+    from glintframe.sources import records
+
+    rows = spark.range(60).select(F.concat(F.lit("r"), F.col("id") % 6).alias(KEY), (F.col("id") * 10).alias(TS), F.col("id").alias("v"))
+    write_native_stream(rows, str(tmp_path), "imu", {"v": ("v", "<i8")})
+    opened, read = [], records.read_at
+    monkeypatch.setattr(records, "read_at", lambda uri, *a: opened.append(uri.rpartition(".")[2]) or read(uri, *a))
+    for columns, want in (([TS], {"time"}), ([TS, "v"], {"time", "raw"})):
+        source = records.Records({"folders": json.dumps([str(tmp_path)]), "part": "imu", "timed": "true", "columns": json.dumps(columns)})
+        reader = source.reader(source.schema())
+        opened.clear()
+        found = [x for p in reader.partitions() for b in reader.read(p) for x in b.column(TS).to_pylist()]
+        assert sorted(found) == [10 * i for i in range(60)] and set(opened) == want
+    assert native.read_stream(spark, str(tmp_path), "imu", columns=[]).columns == [KEY, TS]
+
+
 def test_many_folders_are_listed_by_few_tasks(spark, tmp_path):
     from glintframe.sources import cloud
 
