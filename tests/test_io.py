@@ -243,6 +243,17 @@ def test_instants_alone_are_read_without_structs(spark, tmp_path, monkeypatch):
     assert native.read_stream(spark, str(tmp_path), "imu", columns=[]).columns == [KEY, TS]
 
 
+def test_events_are_those_of_the_listing(spark, tmp_path):
+    """A recording that begins to be written after the frame was made does not break its plans."""
+    rows = spark.range(40).select(F.concat(F.lit("r"), F.col("id") % 4).alias(KEY), F.col("id").alias(TS), F.col("id").alias("a"), (F.col("id") + 2_000_000).alias("b"))
+    write_native_stream(rows, str(tmp_path), "blinks", {"a": ("start_timestamp_ns", "<i8"), "b": ("end_timestamp_ns", "<i8")})
+    got = native.read_events(spark, str(tmp_path), "blinks")
+    (tmp_path / "new").mkdir()
+    (tmp_path / "new" / "blinks ps1.raw").write_bytes(bytes(8))
+    want = sorted((f"r{i % 4}", i // 4 + 1, i, i + 2_000_000, 2) for i in range(40))
+    assert sorted(map(tuple, got.collect())) == want
+
+
 def test_many_folders_are_listed_by_few_tasks(spark, tmp_path):
     from glintframe.sources import cloud
 
