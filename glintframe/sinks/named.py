@@ -5,6 +5,8 @@ of one file, and of all files of one folder, must lie in one partition, in order
 ``write_files`` sees to that.  A task writes into a folder of its own below the
 target, and only the commit at the end of the job gives the files their names, so a
 lost executor or a failed task leaves no half file, and a repeated task no second one.
+A folder that is new in the target gets its name as a whole, by one move, in a local
+or mounted store; elsewhere, and in folders that exist, the files are moved one by one.
 """
 
 from __future__ import annotations
@@ -31,10 +33,10 @@ HELD = 1 << 20
 
 @dataclass
 class Written(WriterCommitMessage):
-    """A task's folder, and the file below the target that each of its files becomes."""
+    """A task's folder, and the folder below the target that each of its numbered folders becomes, with the names of the files."""
 
     folder: str
-    files: list[str]
+    folders: list[tuple[str, list[str]]]
 
 
 class NamedFiles(DataSource):
@@ -58,9 +60,8 @@ class NamedFilesWriter(DataSourceArrowWriter):
         folder = f"{self.scratch}/{uuid.uuid4().hex}"
         files, path = store(folder)
         files.create_dir(path, recursive=True)
-        names: list[str] = []
+        folders: list[tuple[str, list[str]]] = []
         now: dict[str, tuple[object, bytearray]] = {}  # open files, all of one folder, and what is not yet written
-        place = None
 
         def put(name: str, least: int) -> None:
             stream, held = now[name]
@@ -75,35 +76,42 @@ class NamedFilesWriter(DataSourceArrowWriter):
             now.clear()
 
         for batch in iterator:
-            for name, data in zip(batch.column("file").to_pylist(), batch.column("data").to_pylist()):
-                if name.rpartition("/")[0] != place:
+            for file, data in zip(batch.column("file").to_pylist(), batch.column("data").to_pylist()):
+                place, _, name = file.rpartition("/")
+                if not folders or place != folders[-1][0]:
                     close()
-                    place = name.rpartition("/")[0]
+                    files.create_dir(f"{path}/{len(folders)}", recursive=False)
+                    folders.append((place, []))
                 if name not in now:
-                    head = self.heads.get(name.rpartition("/")[2], "").encode()
-                    now[name] = files.open_output_stream(f"{path}/{len(names)}", compression=None), bytearray(head)
-                    names.append(name)
+                    now[name] = files.open_output_stream(f"{path}/{len(folders) - 1}/{name}", compression=None), bytearray(self.heads.get(name, "").encode())
+                    folders[-1][1].append(name)
                 now[name][1].extend(data)
                 put(name, HELD)
         close()
-        return Written(folder, names)
+        return Written(folder, folders)
 
     def commit(self, messages: list[Written | None]) -> None:
+        # No two tasks have files of one folder.
+        found = [(f"{m.folder}/{k}", place, names) for m in messages if m is not None for k, (place, names) in enumerate(m.folders)]
         with ThreadPool(16) as pool:
-            pool.map(self._name, [m for m in messages if m is not None])
+            pool.starmap(self._name, found, 64)
         self._clear()
 
-    def _name(self, written: Written) -> None:
-        """Give a task's files their names; no other task has files of their folders."""
-        files, target = store(self.target)
-        _, folder = store(written.folder)
-        made: set[str] = set()
-        for k, name in enumerate(written.files):
-            above = f"{target}/{name}".rpartition("/")[0]
-            if above not in made:
-                files.create_dir(above, recursive=True)
-                made.add(above)
-            files.move(f"{folder}/{k}", f"{target}/{name}")
+    def _name(self, written: str, place: str, names: list[str]) -> None:
+        """Give the files of one folder their names."""
+        files, folder = store(written)
+        _, target = store(f"{self.target}/{place}" if place else self.target)
+        if place and files.type_name == "local":
+            try:
+                if "/" in place:
+                    files.create_dir(target.rpartition("/")[0], recursive=True)
+                files.move(folder, target)
+                return
+            except OSError:  # the folder exists and holds something
+                pass
+        files.create_dir(target, recursive=True)
+        for name in names:
+            files.move(f"{folder}/{name}", f"{target}/{name}")
 
     def abort(self, messages: list[Written | None]) -> None:
         self._clear()
@@ -116,17 +124,25 @@ class NamedFilesWriter(DataSourceArrowWriter):
             pass
 
 
+def tasks(spark) -> int:
+    """How many tasks write: files take their time whatever they hold, so a number that Spark does not lower for few bytes."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def write_files(pieces: DataFrame, target: str, *order: str, heads: dict[str, str] | None = None) -> None:
     """Write pieces (``file, data`` and the columns of ``order``) as the files they name below ``target``, in one job.
 
     Folders are dealt over the tasks, so one job writes the files of any number of
     recordings; the pieces of a file follow one another by ``order``.  ``heads``: what
-    every file of a name, in whatever folder, begins with.
+    every file of a name, in whatever folder, begins with.  Without ``order`` the pieces
+    of a folder lie in one partition already, one after another, and stay where they are.
     """
     spark = pieces.sparkSession
     spark.dataSource.register(NamedFiles)
-    folder = F.regexp_replace("file", "[^/]*$", "")
-    dealt = pieces.withColumn("__folder", folder).repartition("__folder").sortWithinPartitions("__folder", *order)
+    dealt = pieces
+    if order:
+        folder = F.regexp_replace("file", "[^/]*$", "")
+        dealt = pieces.withColumn("__folder", folder).repartition(tasks(spark), "__folder").sortWithinPartitions("__folder", *order)
     options = {"path": str(target), "job": uuid.uuid4().hex, "heads": json.dumps(heads or {})}
     dealt.select("file", "data").write.format("glintframe_files").mode("append").options(**options).save()
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..plans.neighbours import col
 from ..schema import KEY, TS
-from .named import write_files
+from .named import tasks, write_files
 
 
 def write_native_stream(df: DataFrame, target: str, stem: str, fields: dict[str, tuple[str, str]]) -> None:
@@ -25,6 +25,7 @@ def write_native_stream(df: DataFrame, target: str, stem: str, fields: dict[str,
     places = list(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = None
         for batch in batches:
             keys, times = batch.column(0).to_pylist(), batch.column(1).to_numpy()
             records = np.zeros(len(keys), dtype)
@@ -35,14 +36,15 @@ def write_native_stream(df: DataFrame, target: str, stem: str, fields: dict[str,
             begin = [i for i in range(len(keys)) if not i or keys[i] != keys[i - 1]]
             file, data = [], []
             for a, b in zip(begin, [*begin[1:], len(keys)]):
-                file += [f"{keys[a]}/{stem} ps1.raw", f"{keys[a]}/{stem} ps1.time"]
+                if keys[a] != before:
+                    before = keys[a]
+                    file.append(f"{before}/{stem}.dtype")
+                    data.append(str(dtype.descr).encode())
+                file += [f"{before}/{stem} ps1.raw", f"{before}/{stem} ps1.time"]
                 data += [records[a:b].tobytes(), times[a:b].astype("<i8").tobytes()]
-            at = np.repeat(times[begin], 2)
-            yield pa.RecordBatch.from_arrays([pa.array(file, pa.string()), pa.array(data, pa.binary()), pa.array(at)], names=["file", "data", "at"])
-
-    rows = df.select(col(KEY).cast("string"), col(TS), *[col(c) for c in places])
-    # Sorted before the records are packed; the pieces are put in order once more by their first instants.
-    pieces = rows.repartition(col(KEY)).sortWithinPartitions(col(KEY), col(TS), *[col(c) for c in places]).mapInArrow(run, "file string, data binary, at bigint")
-    kinds = df.select(col(KEY).cast("string").alias("key")).distinct()
-    kinds = kinds.select(F.concat("key", F.lit(f"/{stem}.dtype")).alias("file"), F.lit(str(dtype.descr)).cast("binary").alias("data"), F.lit(0).cast("bigint").alias("at"))
-    write_files(pieces.union(kinds), target, "at")
+            yield pa.RecordBatch.from_arrays([pa.array(file, pa.string()), pa.array(data, pa.binary())], names=["file", "data"])
+
+    # A recording is sorted in one task, which packs its records and writes its files.
+    rows = df.select(F.coalesce(col(KEY).cast("string"), F.lit("None")).alias(KEY), col(TS), *[col(c) for c in places])
+    rows = rows.repartition(tasks(df.sparkSession), col(KEY)).sortWithinPartitions(col(KEY), col(TS), *[col(c) for c in places])
+    write_files(rows.mapInArrow(run, "file string, data binary"), target)

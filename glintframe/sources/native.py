@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..functions.geometry import azimuth, elevation
 from ..plans.neighbours import col
 from ..schema import DURATION, END, KEY, NATIVE_NAMES, START, TS, typed
-from .records import PLACE, dtype_of, registered
+from .records import PLACE, dtype_of, listing, registered
 from .stores import reachable
 
 # Names of the parts, and the fields of the calibration file.
@@ -103,6 +103,8 @@ def _records(spark: SparkSession, folder: str | list[str], stem: str, timed: boo
     options = {"folders": json.dumps(folders), "part": stem, "timed": "true" if timed else "false"}
     options |= {"columns": json.dumps(columns)} if columns is not None else {}
     options |= {"records": str(records)} if records else {}
+    found = listing(spark, folders, stem, timed)
+    options |= {"found": found} if found else {}
     return registered(spark).read.format("glintframe_records").options(**options).load()
 
 

@@ -7,16 +7,19 @@ a partition, so many short recordings are few tasks.  Bounds on the time column
 task reads the instants of its range first and then only the structs between the
 first and the last that lie inside; a range without any is never read.  Only the
 fields of the asked columns are decoded, and structs without an asked field are not read.
-Folders are listed, and dtype files read, once: when the frame is made.
+Folders are listed, and dtype files read, once: when the frame is made.  For many
+recordings this is a Spark job (``listing``), as Spark's own readers list folders.
 
 Options: ``folders`` (JSON list of recordings or folders of them), ``part`` (file
 stem, such as ``gaze``), ``timed`` (``true`` for streams), ``records``, ``columns``
-(JSON list of column names; all by default).
+(JSON list of column names; all by default), ``found`` (what ``listing`` found there;
+without it the source lists the folders itself).
 """
 
 from __future__ import annotations
 
 import ast
+import base64
 import json
 import pickle
 import zlib
@@ -30,7 +33,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 from ..schema import KEY, NATIVE_NAMES, TS
-from .stores import listed, read_all, read_at
+from .cloud import LISTERS
+from .stores import below, listed, read_all, read_at
 
 #: Records of one partition, and of one batch of rows.
 RECORDS, ROWS = 1_000_000, 65_536
@@ -101,6 +105,31 @@ def recordings(folders: list[str], stem: str, timed: bool) -> list[dict]:
     return out
 
 
+#: What a recording's entry of a listing is, as columns.
+ENTRY = "key string, raw string, time string, dtype string, count bigint, worn string, worn_dtype string"
+
+
+def listing(spark, folders: list[str], stem: str, timed: bool) -> str | None:
+    """``recordings``, packed, by tasks that list some of the folders each; None where they are few, or a folder is a recording itself."""
+    subs = []
+    for uri in folders:
+        more, own = below(uri)
+        if own:
+            return None
+        subs += more
+    if len(subs) <= LISTERS:
+        return None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([(c.split()[0], pa.int64() if c.endswith("bigint") else pa.string()) for c in ENTRY.split(", ")])
+        for batch in batches:
+            yield pa.RecordBatch.from_pylist(recordings(batch.column(0).to_pylist(), stem, timed), schema)
+
+    dealt = spark.createDataFrame([(uri,) for uri in subs], "folder string").repartition(LISTERS)
+    found = {r["raw"]: r.asDict() for r in dealt.mapInArrow(run, ENTRY).collect()}  # a folder may be asked for twice
+    return base64.b64encode(zlib.compress(json.dumps([found[k] for k in sorted(found)]).encode(), 1)).decode()
+
+
 class Records(DataSource):
     """See the module's text."""
 
@@ -114,11 +143,15 @@ class Records(DataSource):
     def _found(self) -> list[dict]:
         if self._packed is not None:
             return pickle.loads(zlib.decompress(self._packed))
-        folders = json.loads(self.options["folders"])
-        found = recordings(folders, self.options["part"], self.options.get("timed") == "true")
+        folders, listed_before = json.loads(self.options["folders"]), self.options.get("found")
+        if listed_before:
+            found = json.loads(zlib.decompress(base64.b64decode(listed_before)))
+        else:
+            found = recordings(folders, self.options["part"], self.options.get("timed") == "true")
         if not found:
             raise FileNotFoundError(f"no recording with {self.options['part']} in {', '.join(folders)}")
-        self._packed = zlib.compress(pickle.dumps(found), 1)
+        if not listed_before:
+            self._packed = zlib.compress(pickle.dumps(found), 1)
         return found
 
     def schema(self) -> StructType:

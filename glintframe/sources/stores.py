@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from urllib.parse import quote, urlsplit
 
 from pyarrow import fs
@@ -37,6 +38,17 @@ def listed(uris: list[str], suffixes: tuple[str, ...]) -> list[tuple[str, int]]:
     return sorted(found)
 
 
+def below(uri: str) -> tuple[list[str], bool]:
+    """URIs of the folders directly below a folder, and whether it holds files of its own."""
+    files, path = store(uri)
+    if files.type_name == "local":  # the names alone tell, without a look at each
+        with os.scandir(path) as entries:
+            found = [(e.name, e.is_dir()) for e in entries]
+    else:
+        found = [(f.base_name, f.type == fs.FileType.Directory) for f in files.get_file_info(fs.FileSelector(path))]
+    return sorted(f"{uri.rstrip('/')}/{name}" for name, folder in found if folder), not all(folder for _, folder in found)
+
+
 def read_at(uri: str, start: int, length: int) -> bytes:
     files, path = store(uri)
     with files.open_input_file(path) as f:

@@ -254,6 +254,72 @@ def test_events_are_those_of_the_listing(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == want
 
 
+def _stages(spark, group: str, work) -> list[int]:
+    """How many tasks each stage of the jobs of ``work`` has."""
+    spark.sparkContext.setJobGroup(group, "")
+    work()
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    tracker = spark.sparkContext.statusTracker()
+    found = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds]
+    return [s.numTasks for s in found if s]
+
+
+def test_many_recordings_are_listed_by_tasks(spark, tmp_path, monkeypatch):
+    """Neither the driver nor the planner looks at the files of each recording; little data is still written by all tasks."""
+    from glintframe.sources import records
+
+    rows = spark.range(400).select(F.concat(F.lit("r "), F.col("id") % 100).alias(KEY), F.col("id").alias(TS), F.col("id").alias("a"), (F.col("id") + 2_000_000).alias("b"))
+    fields = {"a": ("start_timestamp_ns", "<i8"), "b": ("end_timestamp_ns", "<i8")}
+    assert _stages(spark, "written", lambda: write_native_stream(rows, str(tmp_path), "blinks", fields))[-1] == named.tasks(spark) == 4
+    assert sorted(p.name for p in (tmp_path / "r 7").iterdir()) == ["blinks ps1.raw", "blinks ps1.time", "blinks.dtype"]
+    for name in ("listed", "read_all"):
+        monkeypatch.setattr(records, name, None)
+    found = []
+    assert records.LISTERS in _stages(spark, "found", lambda: found.append(records.listing(spark, [str(tmp_path)] * 2, "blinks", False)))
+    source = records.Records({"folders": json.dumps([str(tmp_path)]), "part": "blinks", "timed": "false", "found": found[0]})
+    reader = source.reader(source.schema())
+    assert sum(b.num_rows for p in reader.partitions() for b in reader.read(p)) == 400
+    want = sorted((f"r {i % 100}", i // 100 + 1, i, i + 2_000_000, 2) for i in range(400))
+    assert sorted(map(tuple, native.read_events(spark, str(tmp_path), "blinks").collect())) == want
+    # A file beside the recordings, or a recording beside them, is found as before.
+    (tmp_path / "blinks ps1.raw").write_bytes((tmp_path / "r 7" / "blinks ps1.raw").read_bytes())
+    (tmp_path / "blinks.dtype").write_bytes((tmp_path / "r 7" / "blinks.dtype").read_bytes())
+    monkeypatch.undo()
+    assert records.listing(spark, [str(tmp_path)], "blinks", False) is None
+    assert native.read_events(spark, str(tmp_path), "blinks").count() == 404
+
+
+def test_new_folders_are_named_by_one_move(tmp_path, monkeypatch):
+    import pyarrow as pa
+
+    moved = []
+
+    class Counting:
+        def __init__(self, files):
+            self.files = files
+
+        def __getattr__(self, name):
+            return getattr(self.files, name)
+
+        def move(self, a, b):
+            moved.append(b)
+            self.files.move(a, b)
+
+    real = named.store
+    monkeypatch.setattr(named, "store", lambda uri: (Counting(real(uri)[0]), real(uri)[1]))
+    places = [*(f"r{k}" for k in range(20)), "r1/deep", "old", ""]
+    file = [f"{p}/{n}".lstrip("/") for p in places for n in ("a", "b", "c")]
+    writer = named.NamedFilesWriter(str(tmp_path), "job", {"b": "head "})
+    (tmp_path / "old").mkdir()
+    (tmp_path / "old" / "kept").write_text("kept")
+    (tmp_path / "old" / "a").write_text("before")
+    batch = pa.RecordBatch.from_arrays([pa.array(file), pa.array([f.encode() for f in file], pa.binary())], names=["file", "data"])
+    writer.commit([writer.write(iter([batch.slice(0, 4), batch.slice(4)])), None])
+    assert len(moved) <= 20 + 3 * 2 + 8  # a folder, and files of those that exist; "r1" and "r1/deep" in either order
+    got = {str(p.relative_to(tmp_path)): p.read_text() for p in tmp_path.rglob("*") if p.is_file()}
+    assert got == {**{f: ("head " if f.endswith("b") else "") + f for f in file}, "old/kept": "kept"}
+
+
 def test_many_folders_are_listed_by_few_tasks(spark, tmp_path):
     from glintframe.sources import cloud
 
