@@ -56,6 +56,20 @@ def test_operators_tell_thue_morse_apart(spark):
         assert got[i] == len(gone)
 
 
+@pytest.mark.parametrize("shared", [399, 400])
+def test_passage_of_sixty_words_goes_by_its_bytes(spark, shared):
+    """A passage of over 50 words goes by words; by the contract's bytes only if the string that repeats has 400."""
+    passage = " ".join(f"w{k:04}" for k in range(60))
+    passage += "x" * (shared - 2 - len(passage))  # the blanks around it repeat too
+    texts = {1: f"xa {passage} two", 2: f"yb {passage} four", 3: "nothing else " * 3}
+    docs = frame(spark, texts.items())
+    got = {r["doc_id"]: tuple(r)[1:] for r in suffix_dedup.suffix_digests(docs).collect()}
+    gone = shared if shared == 400 else 0
+    assert {k: v[:3] for k, v in got.items()} == {k: (len(t), gone * (k < 3), int(gone > 0 and k < 3)) for k, t in texts.items()}
+    by_words = {r["doc_id"]: bytes(r["kept"]).decode() for r in suffix_dedup.suffix_dedup(docs, window=50, words=True).collect()}
+    assert by_words == {1: "xa two", 2: "yb four", 3: texts[3]}
+
+
 def test_distinct():
     r = np.random.default_rng(3)
     for n in (0, 1, 1000):
