@@ -99,11 +99,13 @@ def grand_average(cells: DataFrame, columns: list[str], key: str = KEY) -> DataF
     return cells.groupBy(col(key), col("time index")).agg(*[f(col(c)).alias(f"{n} {c}") for c in columns for n, f in (("mean", F.avg), ("std", F.stddev_pop))])
 
 
-def apply_baseline(epochs: DataFrame, baseline: tuple[float | None, float | None] = (None, 0), method: str = "mean", columns: list[str] | None = None, exclude: tuple[str, ...] = (), key: str = KEY) -> DataFrame:
+def apply_baseline(epochs: DataFrame, baseline: tuple[float | None, float | None] = (None, 0), method: str = "mean", columns: list[str] | None = None, exclude: tuple[str, ...] = (), key: str = KEY, half_turn: float = 1e-9) -> DataFrame:
     """Correct each epoch's doubles by the mean, or the line, of its baseline window (seconds, ends included).
 
     Epochs whose window holds nothing (or, for the line, under two samples or any
-    null) stay as they are.  Circular columns are wrapped to [-180, 180) afterwards.
+    null) stay as they are.  Circular columns are wrapped to [-180, 180) afterwards;
+    with a ``half_turn`` of 0 as ``x - 360 * floor(x / 360)`` gives it in doubles,
+    which is 180 where an angle is below -180 by its last bits.
     """
     low, high = baseline
     if low is None and high is None:
@@ -116,7 +118,8 @@ def apply_baseline(epochs: DataFrame, baseline: tuple[float | None, float | None
     inside = inside if high is None else inside & (seconds <= F.lit(float(high)))
     kinds = dict(epochs.dtypes)
     columns = [c for c in (columns or [c for c in epochs.columns if kinds[c] == "double"]) if c not in exclude]
-    w = Window.partitionBy(col(key), col("epoch index"))
+    # In the order of time, so that every run adds up a mean alike.
+    w = Window.partitionBy(col(key), col("epoch index")).orderBy(col("epoch time [ns]")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     out = epochs
     for c in columns:
         x, y = F.when(inside, seconds), F.when(inside, col(c))
@@ -127,9 +130,12 @@ def apply_baseline(epochs: DataFrame, baseline: tuple[float | None, float | None
             usable = (F.count_if(inside).over(w) >= 2) & (F.count_if(inside & col(c).isNull()).over(w) == 0)
             shift = F.when(usable, slope * seconds + intercept)
         new = col(c) - F.coalesce(shift, F.lit(0.0))
-        if c in CIRCULAR_COLUMNS:
+        if c in CIRCULAR_COLUMNS and half_turn > 0:
             # The last bits of a mean follow the order of its rows: an angle that they alone keep under 180 is -180.
             turned = F.pmod(new + 180, F.lit(360.0))
-            new = F.when(turned.between(360 - 1e-9, 360.0), F.lit(0.0)).otherwise(turned) - 180
+            new = F.when(turned.between(360 - half_turn, 360.0), F.lit(0.0)).otherwise(turned) - 180
+        elif c in CIRCULAR_COLUMNS:
+            turned = new + 180 - 360 * F.floor((new + 180) / 360).cast("double")
+            new = F.when(F.abs(new) == float("inf"), F.lit(float("nan"))).otherwise(turned) - 180
         out = out.withColumn(f"__b {c}", new)
     return out.select(*[(col(f"__b {c}").alias(c) if c in columns else col(c)) for c in epochs.columns])
