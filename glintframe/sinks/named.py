@@ -18,7 +18,9 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from multiprocessing.pool import ThreadPool
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
@@ -39,6 +41,21 @@ class Written(WriterCommitMessage):
     folders: list[tuple[str, list[str]]]
 
 
+def runs(files: pa.Array, data: pa.Array) -> Iterator[tuple[str, memoryview]]:
+    """Each run of pieces of one file, as the bytes that they are in a row."""
+    if data.null_count:
+        raise ValueError("a piece of a file is null")
+    if not len(data):
+        return
+    wide = np.int64 if pa.types.is_large_binary(data.type) else np.int32
+    _, places, held = data.buffers()
+    places, held = np.frombuffer(places, wide)[data.offset : data.offset + len(data) + 1], memoryview(held or b"")
+    same = pc.run_end_encode(files)
+    ends = same.run_ends.to_numpy()
+    for file, start, stop in zip(same.values.to_pylist(), places[np.r_[0, ends[:-1]]].tolist(), places[ends].tolist()):
+        yield file, held[start:stop]
+
+
 class NamedFiles(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -76,7 +93,7 @@ class NamedFilesWriter(DataSourceArrowWriter):
             now.clear()
 
         for batch in iterator:
-            for file, data in zip(batch.column("file").to_pylist(), batch.column("data").to_pylist()):
+            for file, data in runs(batch.column("file"), batch.column("data")):
                 place, _, name = file.rpartition("/")
                 if not folders or place != folders[-1][0]:
                     close()
@@ -85,8 +102,9 @@ class NamedFilesWriter(DataSourceArrowWriter):
                 if name not in now:
                     now[name] = files.open_output_stream(f"{path}/{len(folders) - 1}/{name}", compression=None), bytearray(self.heads.get(name, "").encode())
                     folders[-1][1].append(name)
-                now[name][1].extend(data)
-                put(name, HELD)
+                for at in range(0, len(data), HELD):
+                    now[name][1].extend(data[at : at + HELD])
+                    put(name, HELD)
         close()
         return Written(folder, folders)
 

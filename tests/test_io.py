@@ -397,3 +397,64 @@ def test_dataset_exports(spark, native_dir, cloud_dir, tmp_path):
     assert len(events) == 15 and [int(e[0]) for e in events] == sorted(int(e[0]) for e in events)
     assert json.loads((one / "motion" / "sub-W_ses-1_task-Read_tracksys-NeonIMU_motion.json").read_text())["GYROChannelCount"] == 2
     assert (one / "sub-W_ses-1_scans.tsv").read_text().splitlines()[1].startswith("motion/sub-W_ses-1_task-Read")
+
+
+def test_ranges_of_lines_in_any_cut(tmp_path, monkeypatch):
+    """Every line once, by the range in which it begins, with all three line ends and reads of any length."""
+    from glintframe.sources import lines
+
+    r = np.random.default_rng(7)
+    for k in range(40):
+        text = b"".join(r.choice([b"a", b"bc", b"", b"\xc3\xa9,"]) + r.choice([b"\n", b"\r\n", b"\r"]) for _ in range(r.integers(0, 30))) + r.choice([b"", b"end"])
+        (tmp_path / "f").write_bytes(text)
+        monkeypatch.setattr(lines, "READ", int(r.integers(1, 9)))
+        for split in (2, 3, 5, 11, 1000):
+            cuts = list(lines.ranges(str(tmp_path / "f"), len(text), split))
+            assert [x for c in cuts for some in lines.lines(*c) for x in some] == text.splitlines()
+            assert len(cuts) == -(-len(text) // split)
+
+
+def test_files_of_very_many_folders_in_few_tasks(spark, tmp_path, monkeypatch):
+    """As Spark's reader gives them: odd lines, blank ones, files that are empty, hidden or deep below."""
+    from glintframe.sources import cloud, lines
+
+    odd = b'\xef\xbb\xbf\n"event id",name,timestamp [ns]\r\n1,"a, ""b""",5\r\n\r\n   \n2,,6\n3,"",7\n4\n5,e,8,more\n6,\xff\xc3\xa9,9\n7," x ",10\r8,"open,11\n9,\\"q\\",12'
+    for k in range(200):
+        folder = tmp_path / (f"rec +%20 {k}" if k % 3 else f"deep {k}/below") / ("_hidden" if k % 50 == 49 else "")
+        folder.mkdir(parents=True)
+        body = odd if k % 2 else b'event id,"name",timestamp [ns]\n'
+        (folder / "events.csv").write_bytes(b"" if k % 7 == 5 else body + b"\n" + b"".join(b"%d,n%d,%d\n" % (i, k, i) for i in range(k % 11)))
+        (folder / ".events.csv").write_bytes(b"other\n1\n")
+    read = lambda **x: cloud.read_csv(spark, str(tmp_path), files="events.csv", **x)
+    monkeypatch.setattr(lines.table, "__defaults__", (50,))  # short ranges
+    few = read()
+    assert few.rdd.getNumPartitions() == 4  # one for every 32 files before
+    got, ided = few.collect(), read(recording_id="x").collect()
+    monkeypatch.setattr(cloud, "_many", lambda *a: None)
+    want = read().collect()
+    assert few.columns == read().columns and len(want) > 900
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, map(tuple, want)))
+    assert sorted(map(repr, map(tuple, ided))) == sorted(map(repr, map(tuple, read(recording_id="x").collect())))
+    monkeypatch.undo()
+    (tmp_path / "rec +%20 1" / "events.csv").write_bytes(b"event id,other,timestamp [ns]\n1,a,5\n")
+    with pytest.raises(Exception, match="other"):
+        read().collect()
+    (tmp_path / "own.csv").write_bytes(b"a\n")
+    assert cloud._many(spark, str(tmp_path), "events.csv") is None and cloud._many(spark, f"{tmp_path}/own.csv", "own.csv") is None
+
+
+def test_pieces_of_one_file_are_written_as_one(tmp_path):
+    import pyarrow as pa
+
+    files = pa.array(["x", "a/b", "a/b", "c", "c", "a/b", "z"])
+    for kind in (pa.binary(), pa.large_binary()):
+        data = pa.array([b"0", b"1", b"", b"22", b"3", b"", b"9"], kind)
+        assert [(f, bytes(x)) for f, x in named.runs(files.slice(1, 5), data.slice(1, 5))] == [("a/b", b"1"), ("c", b"223"), ("a/b", b"")]
+        assert not list(named.runs(files[:0], data[:0]))
+        with pytest.raises(ValueError, match="null"):
+            list(named.runs(files[:1], pa.array([None], kind)))
+    big = [bytes([k]) * (named.HELD // 2 + k) for k in range(7)]
+    batch = pa.RecordBatch.from_arrays([pa.array(["r/f"] * 7), pa.array(big, pa.binary())], names=["file", "data"])
+    writer = named.NamedFilesWriter(str(tmp_path), "job", {"f": "head\n"})
+    writer.commit([writer.write(iter([batch.slice(0, 2), batch.slice(2)]))])
+    assert (tmp_path / "r" / "f").read_bytes() == b"head\n" + b"".join(big)
